@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, simhash_dedup
+from . import bpe, line_dedup, mixing, simhash_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+        "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
 
