@@ -217,3 +217,18 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group; all columns kept.
+
+    Defined cases as in :func:`near_duplicate_groups`; rows that share the surviving doc_id are one
+    document, of which one row stays; rows without a doc_id stay if no row of their group has one.
+    """
+    groups = near_duplicate_groups(docs, budget, shingle, max_trie)
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    keep = common.materialise(keep, "simhash-keep")
+    repeated = keep.agg(F.max("n")).first()[0] or 0
+    ids = keep.select(F.col("doc_id").alias("__id"))
+    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if repeated > 1 else kept
