@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, simhash_dedup, toxicity
+from . import bpe, fingerprints, line_dedup, mixing, simhash_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
         "op9_bpe": bpe.op9_bpe,
