@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, line_dedup, mixing, simhash_dedup, toxicity
+from . import bpe, fingerprints, line_dedup, mixing, quality_rules, simhash_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_line_dedup": line_dedup.op6_line_dedup,
