@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, line_dedup, mixing, quality_rules, simhash_dedup, toxicity
+from . import bpe, fingerprints, line_dedup, mixing, quality_rules, simhash_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
