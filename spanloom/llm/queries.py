@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, line_dedup, mixing, quality_rules, simhash_dedup, token_counts, toxicity
+from . import bpe, chat_format, fingerprints, line_dedup, mixing, quality_rules, simhash_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat_format.op1_chat_format,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_fingerprints": fingerprints.op5_fingerprints,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat_format": chat_format.OP1_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
         "op10_mixing": mixing.OP10_SQL,
     }
