@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprints, line_dedup, mixing, quality_rules, simhash_dedup, token_counts, toxicity
+from . import bpe, chat_format, fingerprints, line_dedup, mixing, pii, quality_rules, simhash_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_pii": pii.op3_pii,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_line_dedup": line_dedup.op6_line_dedup,
