@@ -90,8 +90,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lines = common.materialise(
         docs.select("doc_id", F.explode(line_hashes(F.col("text"), min_chars)).alias("h")), "lines"
     )
+    frequent = common.materialise(frequent_lines(lines, min_docs), "frequent-lines")
     dropped = (
-        lines.join(frequent_lines(lines, min_docs), "h")
+        lines.join(common.bounded_broadcast(frequent, frequent.count()), "h")
         .where(F.col("doc_id") != F.col("keeper"))
         .groupBy(F.col("doc_id").alias("__gone_id"))
         .agg(F.collect_set("h").alias("__gone"))
