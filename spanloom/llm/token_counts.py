@@ -123,7 +123,8 @@ def count_documents(docs: DataFrame, cache: str, vocabulary: str | None = None,
     new = new.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version)
-    known = known.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that both sides of the last join are shuffled for it and a very common text can be split.
+    known = common.materialise(known.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-known")
     return keys.join(known, "content").select("doc_id", "n_bytes", "n_tokens")
 
 
