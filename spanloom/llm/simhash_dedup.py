@@ -208,6 +208,8 @@ def near_duplicate_groups(docs: DataFrame, budget: int = BUDGET, shingle: int =
         joined.select(F.col("fp").alias("__fp"), "root").join(smallest, "root").select("__fp", "smallest"),
         F.col("fp") == F.col("__fp"), "left",
     ).select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # Written, so that both sides of the last join are shuffled for it and a very common fingerprint can be split.
+    members = common.materialise(members, "simhash-members")
     return prints.join(members, "fp", "left").select("doc_id", "fp", "component_id")
 
 
