@@ -81,8 +81,9 @@ def features(text: str | None, odds: _Odds) -> list[float]:
     you = sum(map(SECOND_PERSON.__contains__, words)) if any(w in lower for w in ("ou", "du", "tu", "vo", "us", "ich", "ihr", "dir", "te", "to")) else 0
     hidden = 0
     for part in set(re.findall(r"(?=\S*[A-Za-z])(?=\S*[0-9@$!*])\S{4,20}", text)) if _rate(text.encode(), b"0134579@$!*") else ():
-        plain = part.lower().translate(LOOKALIKE).strip("i.,;:*")
-        hidden += odds.words.get(plain, 0.0) >= 3.0 and plain != part.lower().strip("!.,;:*")
+        bare = part.lower().strip("!.,;:*")
+        plain = bare.translate(LOOKALIKE)
+        hidden += plain != bare and odds.words.get(plain, 0.0) >= 3.0
     hidden += sum(odds.words.get(re.sub(r"\W|_", "", m), 0.0) >= 3.0 for m in _SPLIT_UP.findall(lower))
     raw = text.encode()
     shouted = sum(len(w) > 2 for w in re.findall(r"\b[A-Z]{3,}\b", text))
