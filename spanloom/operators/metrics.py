@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import lcs_length
-from ..functions.text import cut, is_claim_like, numbers, numeric_forms, squeeze, strip, tokens
+from ..functions.text import cut, is_claim_like, let, numbers, numeric_forms, squeeze, strip, tokens
 from ..functions.text import containment  # noqa: F401  (part of this module's interface)
 
 
@@ -26,9 +26,14 @@ def f1(overlap: Column, predicted: Column, reference: Column) -> Column:
 
 def ngrams(toks: Column, n: int) -> Column:
     """N-grams as strings; none for a list shorter than n."""
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.coalesce(grams, F.array().cast("array<string>"))
+    if n == 1:
+        return F.coalesce(toks, F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    return F.coalesce(let(toks, grams), F.array().cast("array<string>"))
 
 
 def rouge_n(rows: DataFrame, key: str, prediction: str, reference: str, n: int = 1) -> DataFrame:
@@ -48,10 +53,14 @@ def rouge_n(rows: DataFrame, key: str, prediction: str, reference: str, n: int =
 
 def rouge_n_column(prediction: Column, reference: Column, n: int = 1) -> Column:
     """The same inside a row, for summaries of ordinary length: distinct grams meet the other side's counts."""
-    a, b = ngrams(tokens(prediction), n), ngrams(tokens(reference), n)
     count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    shared = F.transform(F.array_intersect(a, b), lambda g: F.least(count(a, g), count(b, g)))
-    return f1(F.aggregate(shared, F.lit(0), lambda s, x: s + x), F.size(a), F.size(b))
+
+    def both(g: Column) -> Column:
+        a, b = g["a"], g["b"]
+        shared = F.transform(F.array_intersect(a, b), lambda x: F.least(count(a, x), count(b, x)))
+        return f1(F.aggregate(shared, F.lit(0), lambda s, x: s + x), F.size(a), F.size(b))
+
+    return let(F.struct(ngrams(tokens(prediction), n).alias("a"), ngrams(tokens(reference), n).alias("b")), both)
 
 
 def lcs(a: Column, b: Column) -> Column:
@@ -103,7 +112,7 @@ def citation_integrity(facts: Column, text: Column) -> Column:
 def unsupported_numbers(summary: Column, source: Column) -> Column:
     """Numbers of the summary, repeats included, none of whose forms the source has."""
     supported = F.array_distinct(F.flatten(F.transform(numbers(source), numeric_forms)))
-    return F.filter(numbers(summary), lambda n: ~F.arrays_overlap(numeric_forms(n), supported))
+    return let(supported, lambda s: F.filter(numbers(summary), lambda n: ~F.arrays_overlap(numeric_forms(n), s)))
 
 
 def numeric_fidelity(summary: Column, source: Column) -> Column:

@@ -35,6 +35,18 @@ def embed(text: Column, embedder: Embedder) -> Column:
     return vectors(text)
 
 
+def cosines(text: Column, queries: list[str], embedder: Embedder) -> Column:
+    """Cosine of each text to every query, as an array; the vectors stay in the Python worker."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        asked = embedder.encode(queries).T
+        for texts in batches:
+            yield pd.Series(list(embedder.encode([t or "" for t in texts]) @ asked), dtype=object)
+
+    return run(text)
+
+
 def query_table(df: DataFrame, queries: list[str], embedder: Embedder | None = None) -> DataFrame:
     """(query_ix, query, terms, vector) for a caller's list of queries."""
     vectors = embedder.encode(queries).tolist() if embedder else [None] * len(queries)
@@ -48,20 +60,21 @@ def bm25(chunk_rows: DataFrame, queries: list[str], k1: float = SETTINGS.bm25_k1
     A term's weight is ln(N - df + 0.5) - ln(df + 0.5) over the document's N chunks; negative weights
     become epsilon times the mean weight of the document's terms. A repeated query term counts again.
     """
-    toks = chunk_rows.select("doc_id", "chunk_ix", tokens(F.col("text")).alias("t"))
-    sizes = toks.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    counted = (
-        toks.select("doc_id", "chunk_ix", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        .groupBy("doc_id", "chunk_ix", "dl", "term").agg(F.count("*").alias("tf"))
-    )
-    df = counted.groupBy("doc_id", "term").agg(F.count("*").alias("df")).join(sizes, "doc_id")
-    df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = F.avg("idf").over(Window.partitionBy("doc_id"))
-    df = df.withColumn("weight", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
-    asked = [(k, t, n) for k, q in enumerate(queries) for t, n in _counts(re.findall(TOKEN, q.lower())).items()]
+    n = int(chunk_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    toks = chunk_rows.select("doc_id", "chunk_ix", tokens(F.col("text")).alias("t")).repartition(n, "doc_id")
+    # One shuffle, by document; all windows and counts below are inside a document and reuse it.
+    doc, term = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "term")
+    toks = toks.withColumn("dl", F.size("t")).withColumn("n", F.count("*").over(doc)).withColumn("avgdl", F.avg("dl").over(doc))
+    rows = toks.select("doc_id", "chunk_ix", "dl", "n", "avgdl", F.explode("t").alias("term"))
+    rows = rows.groupBy("doc_id", "chunk_ix", "dl", "n", "avgdl", "term").agg(F.count("*").alias("tf"))
+    rows = rows.withColumn("df", F.count("*").over(term))
+    rows = rows.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # a term stands in df rows, so weights of 1 / df make this the mean over distinct terms
+    mean = F.sum(F.col("idf") / F.col("df")).over(doc) / F.sum(1 / F.col("df")).over(doc)
+    rows = rows.withColumn("weight", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
+    asked = [(k, t, c) for k, q in enumerate(queries) for t, c in _counts(re.findall(TOKEN, q.lower())).items()]
     asked = chunk_rows.sparkSession.createDataFrame(asked, "query_ix int, term string, times int")
-    wanted = F.broadcast(asked)  # a row for each term of the caller's queries
-    hits = counted.join(wanted, "term").join(df.select("doc_id", "term", "weight", "avgdl"), ["doc_id", "term"])
+    hits = rows.join(F.broadcast(asked), "term")  # a row for each term of the caller's queries
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("times") * F.col("weight") * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl"))))
     return hits.groupBy("doc_id", "query_ix", "chunk_ix").agg(F.sum(part).alias("sparse_score"))
@@ -83,13 +96,8 @@ def minmax(score: str, *keys: str) -> Column:
 
 def scored(chunk_rows: DataFrame, queries: list[str], embedder: Embedder | None = None) -> DataFrame:
     """(doc_id, query_ix, chunk_ix, score, dense_score, sparse_score) of every query and chunk of a document."""
-    embedder = embedder or HashingEmbedder()
-    table = query_table(chunk_rows, queries, embedder).select("query_ix", F.col("vector").alias("q"))
-    dense = chunk_rows.select("doc_id", "chunk_ix", embed(F.col("text"), embedder).alias("v"))
-    # every chunk meets the caller's few queries: rows grow by their number only
-    dense = dense.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))))
-    dense = dense.join(F.broadcast(table), F.col("__q") == F.col("query_ix"))
-    dense = dense.select("doc_id", "query_ix", "chunk_ix", dot(F.col("v"), F.col("q")).alias("dense_score"))
+    scores = cosines(F.col("text"), queries, embedder or HashingEmbedder())
+    dense = chunk_rows.select("doc_id", "chunk_ix", F.posexplode(scores).alias("query_ix", "dense_score"))
     both = dense.join(bm25(chunk_rows, queries), ["doc_id", "query_ix", "chunk_ix"], "left").na.fill(0.0, ["sparse_score"])
     keys, w = ("doc_id", "query_ix"), SETTINGS.dense_weight
     blend = w * minmax("dense_score", *keys) + (1 - w) * minmax("sparse_score", *keys)

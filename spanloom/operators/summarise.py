@@ -52,17 +52,27 @@ def _facts(text: Column, chunk_spans: Column, queries: list[str], cap: int | Non
     return choose(text, chunk_spans)
 
 
+#: A text up to this length has at most 32 chunks: every second chunk that reached the target is apart
+#: from the others and at least 1200 long, and every third early flush spans over 2400 characters of its
+#: own, which makes at most length * (2 / 1200 + 3 / 2400) + 6 chunks.
+SURELY_WHOLE = 8000
+
+
 def select_chunks(docs: DataFrame, queries: list[str], top_k: int = SETTINGS.top_k, budget: int | None = None, embedder: Embedder | None = None) -> DataFrame:
     """``docs`` (doc_id, text) plus ``chunks_used``: the (ix, start, end) of the chunks that retrieval keeps.
 
     Only documents whose chunks outnumber what is kept are scored; the rest never leave their row.
     """
-    chunked = docs.withColumn("__chunks", chunk_array(F.col("text")))
     every = F.transform("__chunks", lambda c, k: F.struct(k.alias("ix"), c["start"].alias("start"), c["end"].alias("end")))
     limit = F.lit(0 if budget is not None else max(top_k, SETTINGS.top_k_max))
-    small = F.size("__chunks") <= limit
-    passed = chunked.where(small | (F.size("__chunks") == 0)).select("*", every.alias("chunks_used")).drop("__chunks")
-    large = chunked.where(~small & (F.size("__chunks") > 0))
+    length = F.coalesce(F.length("text"), F.lit(0))
+    sure = F.lit(0 if budget is not None else SURELY_WHOLE)
+    chunks = chunk_array(F.col("text"))
+    short = docs.where(length <= sure).withColumn("__chunks", chunks).select("*", every.alias("chunks_used")).drop("__chunks")
+    chunked = docs.where(length > sure).withColumn("__chunks", chunks)
+    small = (F.size("__chunks") <= limit) | (F.size("__chunks") == 0)
+    passed = short.unionByName(chunked.where(small).select("*", every.alias("chunks_used")).drop("__chunks"))
+    large = chunked.where(~small)
     rows = explode_spans(large, F.col("__chunks"), "chunk_ix")
     kept = search_many(rows, queries, top_k, budget, embedder).groupBy("doc_id").agg(F.collect_set("chunk_ix").alias("__kept"))
     chosen = F.filter(every, lambda c: F.array_contains("__kept", c["ix"]))

@@ -123,16 +123,31 @@ def summary_scores(spark, sf_dir):
 def quote_verify(spark, sf_dir):
     """Every benchmark passage against every document: where it stands, white space and typography aside.
 
-    The passages are a stated query set; the cheap test on squeezed texts leaves few pairs to locate.
+    The passages are a stated query set. Words inside a passage must stand whole in a document, so five
+    of them are looked up by hash among the document's own windows; only documents that have them are
+    searched for the passage. Passages of under seven words are looked for in every text.
     """
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    n = quotes.count()
-    quotes = quotes.select("item_id", T.quote_pattern(F.col("text")).alias("pattern"), T.squeeze(T.fold_typography(F.col("text"))).alias("words"))
-    quotes = quotes.where(F.length("words") >= 12)
-    docs = _docs(spark, sf_dir).withColumn("folded", T.fold_typography(F.col("text"))).withColumn("squeezed", T.squeeze(F.col("folded")))
-    few = F.broadcast(quotes) if n <= 10_000 else quotes
-    hits = docs.join(few, F.contains("squeezed", "words")).withColumn("at", F.regexp_instr("folded", F.col("pattern"))).where("at > 0")
-    return hits.select("item_id", "doc_id", (F.col("at") - 1).cast("long").alias("start_at"), (F.col("at") - 1 + F.length(F.regexp_substr("folded", F.col("pattern")))).cast("long").alias("end_at"))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", T.fold_typography(F.col("text")).alias("quote"))
+    quotes = quotes.where(F.length(T.strip(F.col("quote"))) >= 12).withColumn("w", T.word_list(F.col("quote")))
+    quotes = quotes.select("item_id", T.quote_pattern(F.col("quote")).alias("pattern"), T.squeeze(F.col("quote")).alias("squeezed_quote"), "w")
+    key = F.when(F.size("w") >= 7, F.xxhash64(*[F.get("w", F.lit(k)) for k in range(1, 6)]))
+    quotes = quotes.withColumn("key", key).drop("w")
+    n, n_short = quotes.count(), quotes.where("key is null").count()
+    few = (lambda df: F.broadcast(df)) if n <= 10_000 else (lambda df: df)
+    docs = _docs(spark, sf_dir)
+    words = docs.select("doc_id", T.word_list(T.fold_typography(F.col("text"))).alias("w"))
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
+    keys = words.select("doc_id", F.explode(hashes).alias("key"))
+    pairs = keys.join(few(quotes.where("key is not null").select("key", "item_id")), "key").select("doc_id", "item_id").distinct()
+    if n_short:
+        short = few(quotes.where("key is null").select("item_id", "squeezed_quote"))
+        there = F.contains(F.col("squeezed"), F.col("squeezed_quote"))
+        squeezed = docs.select("doc_id", T.squeeze(T.fold_typography(F.col("text"))).alias("squeezed"))
+        pairs = pairs.unionByName(squeezed.join(short, there).select("doc_id", "item_id"))
+    found = pairs.join(few(quotes.select("item_id", "pattern")), "item_id").join(docs, "doc_id")
+    found = found.withColumn("folded", T.fold_typography(F.col("text"))).withColumn("at", F.regexp_instr("folded", F.col("pattern")))
+    end = F.col("at") - 1 + F.length(F.regexp_substr("folded", F.col("pattern")))
+    return found.where("at > 0").select("item_id", "doc_id", (F.col("at") - 1).cast("long").alias("start_at"), end.cast("long").alias("end_at"))
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
