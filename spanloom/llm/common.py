@@ -19,9 +19,20 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: A table up to this size in fewer files than cores is dealt to all cores.
+SMALL_BYTES = 256 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; the rows of a small one in fewer files than cores are dealt to all cores.
+
+    A row group is read by one task, which would leave the other cores idle in the steps that follow.
+    Larger tables, and tables in many files, are read where they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -56,3 +67,16 @@ def remove(df: DataFrame) -> None:
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are few; beyond that the plan shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, chosen by a hash of the keys; all of them if there are no more.
+
+    The share is set by a count and tested row by row, so no task and no driver gathers candidates.
+    Four standard deviations above ``rows`` are allowed for.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    place = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit("sample")), F.lit(1 << 30))
+    return df.where(place < F.lit(int(rows / n * (1 << 30))))
