@@ -18,7 +18,7 @@ from . import common
 
 #: Fixed values of the contract.
 MIN_WORDS, MAX_REPEATED, SYMBOLS = 50, 50, "#*$%&|<>"
-#: The most labelled rows that rules are learned from, thresholds tried for a feature, literals of a
+#: About the most labelled rows that rules are learned from, thresholds tried for a feature, literals of a
 #: rule, rules of a list; the least precision and cover of a rule on the pruning part.
 MAX_ROWS, CUTS, MAX_LITERALS, MAX_RULES, MIN_PRECISION, MIN_COVER = 50_000, 32, 3, 8, 0.9, 5
 #: Statistics that rules may test.
@@ -177,14 +177,14 @@ def learn_rules(stats: DataFrame) -> list[Rule]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Rule]:
-    """Rules against ``labels.quality`` = 0 from at most ``max_rows`` labelled documents, in the order of a hash.
+    """Rules against ``labels.quality`` = 0 from about ``max_rows`` labelled documents, chosen by a hash.
 
     Documents that the base rules reject teach nothing new and are left out.
     """
     some = (
         labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
     )
+    some = common.hash_sample(some, max_rows, "doc_id")
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(3)).cast("int")
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     rows = with_statistics(rows).where(~_base_failed()).select("__s.f.*", (F.col("quality") == 0).cast("int").alias("bad"), part.alias("part"))
