@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_LENGTH, LENGTH_SENTENCES, SETTINGS, aspect_queries
+from ..functions.batches import bounded
 from ..functions import kernels
 from ..functions.text import cut, strip_artifacts
 from .embedders import Embedder
@@ -231,6 +232,7 @@ def required_key(variable: str) -> str:
 
 
 def _complete(excerpts: Column, generator: Generator, task: str, as_json: bool, max_tokens: int) -> Column:
+    bounded()
     @F.pandas_udf(REPLY)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in re.split(r", (?=\w+ (?:string|long)\b)|, (?=blocks )", REPLY)]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from ..functions.batches import bounded
 from ..functions import kernels
 from ..functions.text import TYPOGRAPHIC, fold_typography, quote_pattern, strip, strip_artifacts, tokens
 from .embedders import _TOKENS, Embedder, HashingEmbedder
@@ -56,6 +57,7 @@ def ground(summary: Column, text: Column, chunks_used: Column, embedder: Embedde
     """
     embedder = embedder or HashingEmbedder()
 
+    bounded()
     @F.pandas_udf(FACTS)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for summaries, texts, used in batches:
@@ -143,6 +145,7 @@ def verify(claims: Column, text: Column, chunks_used: Column) -> Column:
     document.
     """
 
+    bounded()
     @F.pandas_udf(CHECKED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for replies, texts, used in batches:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from ..functions.kernels import lcs_length
 from ..functions.text import cut, is_claim_like, let, numbers, numeric_forms, squeeze, strip, tokens
 from ..functions.text import containment  # noqa: F401  (part of this module's interface)
@@ -66,6 +67,7 @@ def rouge_n_column(prediction: Column, reference: Column, n: int = 1) -> Column:
 def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two token arrays."""
 
+    bounded()
     @F.pandas_udf("int")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:

@@ -65,9 +65,14 @@ def to_text(results: DataFrame, show_spans: bool = True, width: int = WIDTH) ->
     rule, (cited, claims) = F.lit("=" * width), _footer(facts, F.col("chunks_used"))
     attribution = F.format_string("attribution: %d/%d claims cited, %d%% of summary text inside a cited span", cited, claims, F.bround(coverage(facts) * 100).cast("int"))
     retrieval = F.format_string("retrieval:   %d chunks used, %d source spans cited", F.size("chunks_used"), F.size(all_spans(facts)))
+    if "usage" in results.columns:
+        count = lambda c: F.format_string("%,d", F.coalesce(F.col(f"usage.{c}"), F.lit(0)))
+        used = F.when(F.col("usage").isNotNull(), F.concat(F.lit("tokens:      "), count("input_tokens"), F.lit(" in / "), count("output_tokens"), F.lit(" out")))
+    else:
+        used = F.when(F.size(facts) > 0, F.lit("tokens:      0 in / 0 out"))
     body = F.concat_ws(
         "\n", rule, F.lit("SUMMARY"), rule, strip(F.col("summary")), F.lit(""), rule, F.lit("FACTS AND SOURCES"), rule,
-        F.when(F.size(visible_facts(facts)) > 0, F.array_join(F.transform(visible_facts(facts), one), "\n")), F.lit(""), rule, attribution, retrieval,
+        F.when(F.size(visible_facts(facts)) > 0, F.array_join(F.transform(visible_facts(facts), one), "\n")), F.lit(""), rule, attribution, retrieval, used,
     )
     if "refusal" in results.columns:
         body = F.when(F.col("refusal").isNotNull(), F.concat(F.lit("Request declined by the model: "), "refusal")).otherwise(body)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from ..functions.batches import bounded
 from ..functions.text import TOKEN, tokens
 from .embedders import Embedder, HashingEmbedder
 
@@ -27,6 +28,7 @@ def dot(a: Column, b: Column) -> Column:
 def embed(text: Column, embedder: Embedder) -> Column:
     """Vectors of a text column, by batches in the Python workers."""
 
+    bounded()
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -38,6 +40,7 @@ def embed(text: Column, embedder: Embedder) -> Column:
 def cosines(text: Column, queries: list[str], embedder: Embedder) -> Column:
     """Cosine of each text to every query, as an array; the vectors stay in the Python worker."""
 
+    bounded()
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         asked = embedder.encode(queries).T

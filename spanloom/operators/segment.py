@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from ..functions.batches import bounded
 from ..functions import kernels
 from ..functions.text import citation_title, cut
 
@@ -20,6 +21,7 @@ SPANS = "array<struct<start:int,end:int>>"
 
 
 def _spans(text: Column, kernel: Callable[[str], list[tuple[int, int]]]) -> Column:
+    bounded()
     @F.pandas_udf(SPANS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

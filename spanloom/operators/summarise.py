@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, aspect_queries, sentence_cap
+from ..functions.batches import bounded
 from ..functions import kernels
 from .embedders import Embedder, HashingEmbedder
 from .retrieve import search_many
@@ -23,6 +24,7 @@ RESULT = f"summary string, facts {FACTS}"
 def _facts(text: Column, chunk_spans: Column, queries: list[str], cap: int | None, embedder: Embedder) -> Column:
     """Facts of a text from its selected chunks, given as an array of (ix, start, end) in document order."""
 
+    bounded()
     @F.pandas_udf(FACTS)
     def choose(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         asked = embedder.encode(queries)

@@ -16,6 +16,12 @@ def average_rank(value: str, *keys: str) -> Column:
     return F.rank().over(by) + (F.count("*").over(same) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r; null where a side does not vary."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.covar_pop(a, b) / F.when(spread > 0, spread))
+
+
 def average_ranks(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     """(key, one rank column for each) with average ranks over the whole table, without a one-task window.
 
@@ -49,7 +55,7 @@ def correlations(rows: DataFrame, automatic: list[str], human: list[str], key: s
     """Spearman's rho of every pair of metrics, with its two-sided p-value."""
     ranks = average_ranks(rows, [*automatic, *human], key)
     pairs = [(a, h) for a in automatic for h in human]
-    got = ranks.agg(F.count("*").alias("n"), *[F.corr(f"rank_{a}", f"rank_{h}").alias(f"{a}|{h}") for a, h in pairs]).first()
+    got = ranks.agg(F.count("*").alias("n"), *[correlation(f"rank_{a}", f"rank_{h}").alias(f"{a}|{h}") for a, h in pairs]).first()
     return [{"metric": a, "human": h, "rho": got[f"{a}|{h}"], "p": p_value(got[f"{a}|{h}"], got["n"])} for a, h in pairs]
 
 
@@ -101,3 +107,34 @@ def block_means(rows: DataFrame, position: str, columns: list[str], size: int =
     """(block, n, a mean for each column) over blocks of rows by position."""
     block = F.floor(F.col(position) / size).cast("long").alias("block")
     return rows.groupBy(block).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])
+
+
+#: The automatic and the human metrics that are compared.
+AUTOMATIC = ["grounding_coverage", "mean_support", "numeric_fidelity", "rouge1", "rougeL"]
+HUMAN = ["FactualF1", "FactualPrecision", "FactualRecall", "HallucinationRate", "OmissionRate"]
+
+
+def validation_rows(pairs: DataFrame, source: str = "Dialogue", summary: str = "Automatic Summary", reference: str = "Reference Summary", embedder=None) -> DataFrame:
+    """(pos, five automatic and five human metrics) of positional pairs; nothing is shuffled.
+
+    Grounding coverage is the share of the summary's sentences with a supporting source sentence, mean
+    support the mean over all spans kept; both are 0 where a side has no sentences.
+    """
+    from . import metrics
+    from .ground import ground
+    from .segment import chunk_array
+
+    text, said = F.col(f"`{source}`"), F.col(f"`{summary}`")
+    chunks = F.transform("__c", lambda c, k: F.struct(k.alias("ix"), c["start"].alias("start"), c["end"].alias("end")))
+    df = pairs.withColumn("__c", chunk_array(text)).withColumn("__u", chunks)
+    df = df.withColumn("__f", ground(said, text, F.col("__u"), embedder, min_chars=0))
+    supports = F.transform(metrics.all_spans(F.col("__f")), lambda s: s["support"])
+    share = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
+    values = {
+        "grounding_coverage": share(F.size(F.filter("__f", lambda f: F.size(f["sources"]) > 0)), F.size("__f")),
+        "mean_support": share(F.aggregate(supports, F.lit(0.0), lambda s, x: s + x), F.size(supports)),
+        "numeric_fidelity": metrics.numeric_fidelity(said, text),
+        "rouge1": metrics.rouge_n_column(said, F.col(f"`{reference}`"), 1)["f1"],
+        "rougeL": metrics.rouge_l(said, F.col(f"`{reference}`"))["f1"],
+    }
+    return df.select("pos", *[v.alias(n) for n, v in values.items()], *[F.col(h).cast("double") for h in HUMAN])

@@ -247,7 +247,7 @@ def label_discrimination(spark, sf_dir):
 def spearman(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
     ranks = validate.average_ranks(rows, ["n_chars", "quality", "toxic"], "doc_id")
-    pair = lambda a, b: F.round(F.corr(f"rank_{a}", f"rank_{b}"), 9).alias(f"{a}_{b}")
+    pair = lambda a, b: F.round(validate.correlation(f"rank_{a}", f"rank_{b}"), 9).alias(f"{a}_{b}")
     return ranks.agg(F.count("*").alias("n"), pair("n_chars", "quality"), pair("n_chars", "toxic"), pair("quality", "toxic"))
 
 
