@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import html_escape, is_claim_like, line_of, shorten, squeeze, strip
 from .metrics import all_spans, coverage
 
+#: The width and the wording of the text report, as format strings.
 WIDTH = 88
+HEADS = ("SUMMARY", "FACTS AND SOURCES")
+SPAN_LINE = "      -> chunk %d, chars %d-%d, line %d"
+NO_SOURCE = "      (no citation attached)"
+DECLINED = "Request declined by the model: "
+ATTRIBUTION = "attribution: %d/%d claims cited, %d%% of summary text inside a cited span"
+RETRIEVAL = "retrieval:   %d chunks used, %d source spans cited"
 
 
 def merge_spans(spans: DataFrame, *keys: str) -> DataFrame:
@@ -52,30 +59,30 @@ def to_text(results: DataFrame, show_spans: bool = True, width: int = WIDTH) ->
     facts, text = F.col("facts"), F.col("text")
 
     def source(s: Column) -> Column:
-        where = F.format_string("      -> chunk %d, chars %d-%d, line %d", s["chunk_ix"], s["start"], s["end"], line_of(text, s["start"]))
+        where = F.format_string(SPAN_LINE, s["chunk_ix"], s["start"], s["end"], line_of(text, s["start"]))
         quote = F.concat(F.lit('\n         "'), shorten(squeeze(s["cited_text"]), width - 12, width - 15), F.lit('"'))
         return F.concat(where, quote) if show_spans else where
 
     def one(f: Column, k: Column) -> Column:
         cited = F.size(f["sources"]) > 0
         head = F.concat(F.lit("\n"), F.when(cited, " ").otherwise("!"), F.format_string("[%d] ", k + 1), strip(f["text"]))
-        below = F.when(cited, F.array_join(F.transform(f["sources"], source), "\n")).otherwise("      (no citation attached)")
+        below = F.when(cited, F.array_join(F.transform(f["sources"], source), "\n")).otherwise(NO_SOURCE)
         return F.concat_ws("\n", head, below)
 
     rule, (cited, claims) = F.lit("=" * width), _footer(facts, F.col("chunks_used"))
-    attribution = F.format_string("attribution: %d/%d claims cited, %d%% of summary text inside a cited span", cited, claims, F.bround(coverage(facts) * 100).cast("int"))
-    retrieval = F.format_string("retrieval:   %d chunks used, %d source spans cited", F.size("chunks_used"), F.size(all_spans(facts)))
+    attribution = F.format_string(ATTRIBUTION, cited, claims, F.bround(coverage(facts) * 100).cast("int"))
+    retrieval = F.format_string(RETRIEVAL, F.size("chunks_used"), F.size(all_spans(facts)))
     if "usage" in results.columns:
         count = lambda c: F.format_string("%,d", F.coalesce(F.col(f"usage.{c}"), F.lit(0)))
         used = F.when(F.col("usage").isNotNull(), F.concat(F.lit("tokens:      "), count("input_tokens"), F.lit(" in / "), count("output_tokens"), F.lit(" out")))
     else:
         used = F.when(F.size(facts) > 0, F.lit("tokens:      0 in / 0 out"))
     body = F.concat_ws(
-        "\n", rule, F.lit("SUMMARY"), rule, strip(F.col("summary")), F.lit(""), rule, F.lit("FACTS AND SOURCES"), rule,
+        "\n", rule, F.lit(HEADS[0]), rule, strip(F.col("summary")), F.lit(""), rule, F.lit(HEADS[1]), rule,
         F.when(F.size(visible_facts(facts)) > 0, F.array_join(F.transform(visible_facts(facts), one), "\n")), F.lit(""), rule, attribution, retrieval, used,
     )
     if "refusal" in results.columns:
-        body = F.when(F.col("refusal").isNotNull(), F.concat(F.lit("Request declined by the model: "), "refusal")).otherwise(body)
+        body = F.when(F.col("refusal").isNotNull(), F.concat(F.lit(DECLINED), "refusal")).otherwise(body)
     return results.withColumn("report", body)
 
 
