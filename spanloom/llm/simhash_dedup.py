@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected
+from .near_copies import likeness_links, set_ids
 
 #: Fixed values of the contract: words in a shingle, differing bits of a link, hash seed.
 SHINGLE, BUDGET, SEED = 3, 2, 42
@@ -189,19 +190,26 @@ def hamming_links(prints: DataFrame, budget: int = BUDGET, max_trie: int = MAX_T
     return dealt.mapInPandas(_local_links(budget), "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, max_trie: int = MAX_TRIE) -> DataFrame:
+def near_duplicate_groups(
+    docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, max_trie: int = MAX_TRIE, likeness: bool = True
+) -> DataFrame:
     """One row (doc_id, fp, component_id) per input row.
 
-    ``component_id`` is the smallest doc_id that links of at most ``budget`` bits reach. Defined
+    ``component_id`` is the smallest doc_id that links reach: links of at most ``budget`` bits and,
+    with ``likeness``, links of texts whose 5-word shingles have a Jaccard likeness of 0.8 or more. Defined
     cases: null and empty texts, and texts of white space, have fingerprint 0 and link like any
     other; fewer words than a shingle are one shingle; rows with equal doc_id keep their own
     fingerprints; a null doc_id gets the smallest doc_id of its group, null if it has none; an empty
     table gives no rows; other columns are not read.
     """
     common.small_batches(docs.sparkSession)
-    prints = common.materialise(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
+    sets = [set_ids(F.col("text")).alias("set")] if likeness else []
+    prints = common.materialise(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp"), *sets), "simhash")
     classes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    found = connected(hamming_links(classes.select("fp"), budget, max_trie))
+    links = hamming_links(classes.select("fp"), budget, max_trie)
+    if likeness:
+        links = links.unionByName(likeness_links(docs.select("text"), prints.select("fp", "set")))
+    found = connected(links)
     joined = common.materialise(found.join(classes, found.node == classes.fp).select("fp", "root", "first"), "simhash-linked")
     smallest = joined.groupBy("root").agg(F.min("first").alias("smallest"))
     members = classes.join(
@@ -214,9 +222,9 @@ def near_duplicate_groups(docs: DataFrame, budget: int = BUDGET, shingle: int =
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's view of :func:`near_duplicate_groups` over all documents."""
+    """The contract's view of :func:`near_duplicate_groups` over all documents: links by bits alone."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicate_groups(docs).select(
+    return near_duplicate_groups(docs, likeness=False).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
