@@ -55,12 +55,19 @@ class Counter:
 
     def count(self, text: str) -> int:
         if self.ranks is not None and _SETTLED.fullmatch(text):
-            if self.special is None or not self.special.search(text):
-                return len(self.ranks.encode_ordinary(text))
-            parts = self.special.split(text)
-            return len(parts) - 1 + sum(len(self.ranks.encode_ordinary(p)) for p in parts if p)
+            try:
+                return self._fast(text)
+            except BaseException as e:  # the faster library's matcher gives up on some very long runs
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
         return len(self.library.encode_batch_fast([text], add_special_tokens=False)[0])
 
+    def _fast(self, text: str) -> int:
+        if self.special is None or not self.special.search(text):
+            return len(self.ranks.encode_ordinary(text))
+        parts = self.special.split(text)
+        return len(parts) - 1 + sum(len(self.ranks.encode_ordinary(p)) for p in parts if p)
+
 
 @lru_cache(maxsize=4)
 def counter(vocabulary: str, ranks: str | None) -> Counter:

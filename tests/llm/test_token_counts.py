@@ -55,3 +55,9 @@ def test_awkward_rows(spark, tmp_path):
     out = tc.count_documents(df, str(tmp_path / "cache"))
     assert out.count() == df.count()
     assert tc.count_documents(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_runs_that_the_faster_library_gives_up_on():
+    counter = tc.counter(VOCABULARY, RANKS)
+    for text in (" " * 1_000_000 + "x", "x" + " " * 2_000_000, "<|endoftext|>" + " " * 1_000_000 + "x"):
+        assert counter.count(text) == len(counter.library.encode(text, add_special_tokens=False).ids)
