@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -141,14 +142,27 @@ def search_many(chunk_rows: DataFrame, queries: list[str], top_k: int = SETTINGS
     return passed.unionByName(best)
 
 
+#: Query vectors of one broadcast block.
+QUERY_BLOCK = 10_000
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int) -> DataFrame:
-    """Exact nearest vectors of a stated, small query set: each block of vectors meets all queries.
+    """Exact nearest vectors of a query set: each block of vectors meets all queries.
 
-    ``queries`` has the same columns and is collected after its size is checked.
+    ``queries`` has the same columns. It is counted; beyond QUERY_BLOCK rows it is dealt by a hash of the
+    key into blocks of about that size at most, which are answered one by one and united.
     """
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("cosine_topk takes at most 10,000 query vectors; call it by blocks")
+    n_blocks = -(-queries.count() // QUERY_BLOCK)
+    if n_blocks <= 1:
+        return _cosine_topk(vectors, queries, key, vector, top_k)
+    n_blocks += n_blocks // 4 + 1  # a hash deals unevenly
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks))
+    parts = [_cosine_topk(vectors, queries.where(place == k), key, vector, top_k) for k in range(n_blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int) -> DataFrame:
+    """The nearest vectors of one block of queries, which is broadcast."""
     asked = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")))
     pairs = vectors.join(asked, F.lit(True)).select("query_id", F.col(key).alias("hit_id"), dot(F.col("__q"), F.col(vector)).alias("cosine"))
     order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "hit_id")

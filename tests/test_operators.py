@@ -333,3 +333,15 @@ def test_rank_correlation(spark):
 @pytest.mark.parametrize(("rho", "n", "p"), [(-0.367, 33, 0.0357), (0.5, 10, 0.1411), (0.0, 50, 1.0), (0.117, 400, 0.0192)])
 def test_p_values(rho, n, p):
     assert validate.p_value(rho, n) == pytest.approx(p, abs=6e-4)
+
+
+def test_cosine_topk_answers_more_queries_than_a_block(spark, monkeypatch):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)] + [(None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(str, retrieve.cosine_topk(df, df, "vec_id", "embedding", 4).collect()))
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 10)
+    got = sorted(map(str, retrieve.cosine_topk(df, df, "vec_id", "embedding", 4).collect()))
+    assert got == want and len(got) == 61 * 4
+    many = spark.range(10_001).selectExpr("id as vec_id", "array(1.0D, cast(id % 3 as double)) as embedding")
+    monkeypatch.undo()
+    assert retrieve.cosine_topk(many.where("vec_id < 5"), many, "vec_id", "embedding", 1).count() == 10_001
