@@ -78,7 +78,7 @@ def features(text: str | None, odds: _Odds) -> list[float]:
     medium = sum(1.5 <= w < 3.0 for w in weights) if max(weights, default=0) > 0 else 0
     insults = sum(words[i] in _INSULT_SET for i in strong)
     near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - 5) : i + 6]) for i in strong)
-    you = sum(map(SECOND_PERSON.__contains__, words)) if any(w in lower for w in ("ou", "du", "tu", "vo", "us", "ich", "ihr", "dir", "te", "to")) else 0
+    you = sum(map(SECOND_PERSON.__contains__, words))
     hidden = 0
     for part in set(re.findall(r"(?=\S*[A-Za-z])(?=\S*[0-9@$!*])\S{4,20}", text)) if _rate(text.encode(), b"0134579@$!*") else ():
         bare = part.lower().strip("!.,;:*")

@@ -68,3 +68,8 @@ def test_awkward_rows(spark):
         assert out.count() == df.count() and set(df.columns) <= set(out.columns)
         assert all(0 <= r[0] <= 1 for r in out.select("__toxicity").collect())
     assert t.score_documents(df.limit(0), labels(spark)).count() == 0
+
+
+@pytest.mark.parametrize("word", sorted(t.SECOND_PERSON))
+def test_every_second_person_word_counts(word):
+    assert t.features(f"{word} a x", t._Odds({}, {}))[t.FEATURES.index("you_density")] == pytest.approx(100 / 3)
