@@ -24,8 +24,6 @@ from . import common
 
 #: Code points of a chunk and of the part it shares with the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-#: A run of white space or of one kind of character beyond this is encoded pre-token by pre-token.
-LONG_RUN = 1 << 17
 RANKS = "byte_bpe_50k.tiktoken"
 
 
