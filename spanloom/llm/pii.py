@@ -222,7 +222,7 @@ def marginals(field: Field, pot: Potentials) -> np.ndarray:
 def added_spans(text: str, spans: list[tuple[int, int, int]], pot: Potentials) -> list[tuple[int, int, int]]:
     """Spans of tokens that the field labels with certainty and that no base span touches."""
     field = build_field(text, spans)
-    if field is None or not (field.fixed < 0).any() or not (field.chain or field.skips):
+    if field is None or not (field.fixed < 0).any():
         return []
     p = marginals(field, pot)
     out, taken, at = [], sorted((a, b) for a, _, b in spans), 0
@@ -296,7 +296,7 @@ def find(text: Column, pot: Potentials) -> Column:
             for t in texts:
                 t = t or ""
                 base = base_spans(t)
-                more = sorted(base + added_spans(t, base, pot)) if base else base
+                more = sorted(base + added_spans(t, base, pot))
                 for out, found in ((base_out, base), (all_out, more)):
                     out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found])
             yield pd.DataFrame({"base": base_out, "spans": all_out})
@@ -307,8 +307,8 @@ def find(text: Column, pot: Potentials) -> Column:
 def find_pii(docs: DataFrame, pot: Potentials | None = None, sample: int = SAMPLE_DOCS) -> DataFrame:
     """``docs`` plus ``__pii``: base spans and all spans of each text, in code points, ends exclusive.
 
-    Nothing is shuffled. A label reaches a token only through links from a base span, so documents
-    without one need no messages. Defined cases: null and empty texts have no spans; repeated rows
+    Nothing is shuffled. The field runs on every text that has a token, as a token's own features can
+    make its label certain without a base span. Defined cases: null and empty texts have no spans; repeated rows
     repeat; spans of different kinds may overlap, added ones never overlap base ones; an empty table
     stays empty; other columns pass through.
     """

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,3 +99,14 @@ def test_awkward_rows(spark):
     out = pii.find_pii(df)
     assert out.count() == df.count() and set(df.columns) <= set(out.columns)
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["+1/555/123/4567", "no mail or number else, only +1/555/123/4567"])
+def test_field_runs_without_base_spans_and_edges(text, spark):
+    node = np.zeros((len(pii.FEATURE_NAMES), pii.N_LABELS))
+    node[pii.FEATURE_NAMES.index("plus"), pii.KINDS.index("phone") + 1] = 4.0
+    pot = pii.Potentials(node, np.zeros((pii.N_LABELS, pii.N_LABELS)), 5.0)
+    a = text.index("+")
+    assert pii.base_spans(text) == [] and pii.added_spans(text, [], pot) == [(a, 3, len(text))]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [tuple(s) for s in pii.find_pii(df, pot).first()["__pii"]["spans"]] == [("phone", a, len(text))]
