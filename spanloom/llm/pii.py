@@ -35,6 +35,8 @@ SAMPLE_DOCS = 4000
 ROUNDS, DAMPING, CERTAIN, MAX_NODE, MAX_SKIP, MAX_CHAIN = 12, 0.3, 0.85, 4.0, 7.0, 1.0
 #: Digits that two numbers must end in alike to be similar.
 SIMILAR_DIGITS = 8
+#: Digits from which equal plain numbers are linked; shorter ones repeat by chance.
+LEAST_DIGITS = 6
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 # The lookbehinds only spare attempts that would fail from inside the same run, so long runs cost linear time.
@@ -146,7 +148,8 @@ def build_field(text: str, spans: list[tuple[int, int, int]]) -> Field | None:
             digits = ""
         else:
             digits = _NOT_DIGIT.sub("", token)
-            key = "n" + digits
+            short_ip = len(digits) < LEAST_DIGITS and token.count(".") == 3 and all(p.isdigit() for p in token.split("."))
+            key = "i" + token if short_ip else "n" + digits
         starts.append(m.start())
         ends.append(m.start() + len(token))
         rows.append(_features(token, digits))
@@ -171,7 +174,7 @@ def build_field(text: str, spans: list[tuple[int, int, int]]) -> Field | None:
             links.append(("s" + key[-SIMILAR_DIGITS:], 0.8))
         elif key[0] == "m" and "@" in key:
             links.append(("l" + key[1:].split("@")[0], 0.5))
-        if len(key) < 7:
+        if key[0] == "n" and len(key) <= LEAST_DIGITS:
             links = []
         for name, weight in links:
             j = last.get(name)

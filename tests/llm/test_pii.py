@@ -110,3 +110,8 @@ def test_field_runs_without_base_spans_and_edges(text, spark):
     assert pii.base_spans(text) == [] and pii.added_spans(text, [], pot) == [(a, 3, len(text))]
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [tuple(s) for s in pii.find_pii(df, pot).first()["__pii"]["spans"]] == [("phone", a, len(text))]
+
+
+@pytest.mark.parametrize(("text", "n"), [("10.0.0.1 host 10.0.0.1", 1), ("a@b.c or a@b.c", 1), ("10001 host 10.0.0.1", 0), ("12345 and 12345", 0), ("123456 and 123456", 1)])
+def test_short_addresses_have_skip_edges(text, n):
+    assert sum(w == 1.0 for _, _, w in pii.build_field(text, []).skips) == n
