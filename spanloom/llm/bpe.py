@@ -1,14 +1,18 @@
-"""Byte-level BPE: overlapping chunk encoding and byte-exact decoding.
-
-A long text is cut into chunks that overlap. Each chunk is pre-tokenised from its own start, so its
-first boundaries may be wrong; as the pattern looks at nothing before a match, every boundary after
-one that two neighbouring chunks share is right. The text is cut at the first shared boundary of
-each overlap, and the pieces between cuts are encoded one by one. Decoding concatenates raw bytes.
+"""Byte-level BPE: overlapping chunks pre-tokenised in parallel, stitched where they agree, and byte-exact decoding.
+
+A text is cut into chunks, and each chunk reads on into the next one by an overlap. A chunk is
+pre-tokenised from its own start, so its first boundaries may be wrong; but the pattern looks at
+nothing before a match, so every boundary after one that two neighbours share is right. Each chunk
+finds the first boundary that it shares with the next one; the pieces between those places are
+pre-tokenised and encoded in parallel, every distinct pre-token once, and put together by position.
+Texts in which two neighbours share no boundary go round again with larger chunks. Decoding
+concatenates raw bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,9 +26,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Code points of a chunk and of the part it shares with the next one.
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Code points of a chunk and of the part it shares with the next one; larger chunks grow by a factor.
+CHUNK, OVERLAP, GROW = 1 << 16, 1 << 10, 8
 RANKS = "byte_bpe_50k.tiktoken"
+#: Pre-tokens whose ids a worker remembers, and the longest of them.
+CACHED, CACHED_CHARS = 1 << 18, 64
 
 
 @lru_cache(maxsize=4)
@@ -50,72 +56,40 @@ def _pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def chunk_boundaries(text: str, start: int, end: int, pattern: str = public_tokenizers.PATTERN) -> list[int]:
-    """Ends of the pre-tokens of ``text[start:end]``; the last ones, which the cut may have changed, are left out."""
-    ends = [m.end() for m in _pattern(pattern).finditer(text, start, end)]
-    if end < len(text):
-        while ends and ends[-1] >= end - 1:
-            ends.pop()
-        ends = ends[:-1]
-    return ends
+class _Ids(dict):
+    """Packed ids by pre-token; pre-tokens are context-free, so each is merged once while it is remembered."""
 
+    def __init__(self, path: str):
+        self.merge = encoding(path)._encode_single_piece
 
-def _plain(text: str, at: int) -> bool:
-    """A blank after an ASCII letter or digit: a boundary in every version of Unicode."""
-    return 0 < at < len(text) and text[at] in " \n" and text[at - 1].isascii() and text[at - 1].isalnum()
+    def __missing__(self, token: str) -> bytes:
+        ids = self.merge(token)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(token) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[token] = packed
+        return packed
 
 
-def piece_cuts(text: str, chunk: int = CHUNK, overlap: int = OVERLAP, pattern: str = public_tokenizers.PATTERN) -> list[int]:
-    """Positions from 0 to the end between which pieces can be encoded on their own.
+@lru_cache(maxsize=4)
+def _ids(path: str) -> _Ids:
+    return _Ids(path)
 
-    Where two chunks share no plain boundary in their overlap, the right-hand boundaries of the left
-    one are carried on, match by match, until they meet the other's; if they never do, the chunks
-    form one piece.
-    """
-    if len(text) <= chunk + overlap:
-        return [0, len(text)]
-    starts = list(range(0, len(text), chunk))
-    cuts, true = [0], chunk_boundaries(text, 0, min(len(text), chunk + overlap), pattern)
-    for start in starts[1:]:
-        end = min(len(text), start + chunk + overlap)
-        own = chunk_boundaries(text, start, end, pattern)
-        members = set(own)
-        shared = [b for b in true if b >= start and b in members]
-        if not shared:
-            at = true[-1] if true else cuts[-1]
-            while at < end and at not in members:
-                step = _pattern(pattern).match(text, at)
-                at = step.end()
-                true.append(at)
-            shared = [at] if at in members else []
-        plain = next((b for b in shared if _plain(text, b)), None)
-        if shared:
-            true = [b for b in own if b >= shared[0]]
-            if plain is None:
-                plain = next((b for b in true if b < end and _plain(text, b)), None)
-        if plain is not None and plain > cuts[-1]:
-            cuts.append(plain)
-    return [*cuts, len(text)]
-
-
-def _piece_ids(enc: tiktoken.Encoding, piece: str) -> list[int]:
-    try:
-        return enc.encode_ordinary(piece)
-    except BaseException as e:  # the library's matcher gives up on some very long runs
-        if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-            raise
-        out: list[int] = []
-        for token in _pattern(public_tokenizers.PATTERN).findall(piece):
-            out += enc._encode_single_piece(token)
-        return out
 
+def encode_piece(text: str | None, path: str, start: int = 0, end: int | None = None) -> bytes:
+    """Ids of the pre-tokens from the boundary ``start`` to the boundary ``end``, as little-endian unsigned 32-bit integers.
 
-def encode_text(text: str | None, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
-    """Token ids as little-endian unsigned 32-bit integers; nothing for a null or empty text."""
+    What follows ``end`` is still read, as a match may look past its end.
+    """
     if not text:
         return b""
-    enc, cuts = encoding(path), piece_cuts(text, chunk, overlap)
-    return b"".join(np.array(_piece_ids(enc, text[a:b]), "<u4").tobytes() for a, b in zip(cuts, cuts[1:]))
+    tokens = _pattern(public_tokenizers.PATTERN).findall(text, start)
+    if end is not None and end < len(text):
+        size = len(text) - end
+        while size > 0:
+            size -= len(tokens.pop())
+    return b"".join(map(_ids(path).__getitem__, tokens))
 
 
 def decode_ids(ids: bytes | None, path: str) -> bytes:
@@ -123,19 +97,123 @@ def decode_ids(ids: bytes | None, path: str) -> bytes:
     return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-def encode(text: Column, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    """Packed ids of a text column: 4 bytes a token."""
+# ---------------------------------------------------------------- chunks
+
+
+def chunk_rows(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """(number, text) of the overlapping chunks; the last one has no overlap."""
+    for k, start in enumerate(range(0, len(text), chunk)):
+        yield k, text[start : start + chunk + overlap]
+
+
+def boundaries(part: str, cut: bool) -> np.ndarray:
+    """Ends of the pre-tokens of ``part``; of a cut one only those that no character after the cut can change.
+
+    A match looks at most one character past its end, and a contraction two past its start.
+    """
+    ends = np.cumsum(np.fromiter(map(len, _pattern(public_tokenizers.PATTERN).findall(part)), np.int64))
+    return ends[ends <= len(part) - 2] if cut else ends
+
+
+def meeting(part: str, chunk: int) -> int | None:
+    """The first boundary that a chunk shares with the one that begins at ``chunk``; None if they share none."""
+    shared = np.intersect1d(boundaries(part, True), chunk + boundaries(part[chunk:], True), assume_unique=True)
+    return int(shared[0]) if len(shared) else None
+
+
+def _cut(chunk: int, overlap: int):
+    """mapInPandas over (key, text): a row for every chunk."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, text in zip(batch["key"], batch["text"]):
+                held, size = [], 0
+                for k, part in chunk_rows(text, chunk, overlap):
+                    held.append((key, k, part))
+                    size += len(part)
+                    if size >= 1 << 20:
+                        yield pd.DataFrame(held, columns=["key", "k", "part"])
+                        held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=["key", "k", "part"])
+
+    return rows
+
+
+def _meetings(part: Column, chunk: int) -> Column:
+    @F.pandas_udf("int")
+    def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for parts in batches:
+            yield pd.Series([meeting(p, chunk) if len(p) > chunk else None for p in parts], dtype="Int32")
+
+    return places(part)
+
+
+def _piece_ids(part: Column, start: Column, end: Column, path: str) -> Column:
+    @F.pandas_udf("binary")
+    def ids(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for parts, starts, ends in batches:
+            yield pd.Series([encode_piece(p, path, int(a), int(b)) for p, a, b in zip(parts, starts, ends, strict=True)], dtype=object)
+
+    return ids(part, start, end)
+
+
+def _joined(pieces: Column) -> Column:
+    @F.pandas_udf("binary")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([b"".join(bytes(p["ids"]) for p in row) for row in rows], dtype=object)
+
+    return whole(pieces)
+
+
+def _long_ids(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """(key, ids) of the distinct texts of (key, text), each longer than ``chunk``; key is a digest of the text."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = texts.mapInPandas(_cut(chunk, overlap), "key string, k int, part string")
+    # Copies of a text meet before the shuffle; what is left is spread by chunk.
+    parts = common.materialise(parts.groupBy("key", "k").agg(F.first("part").alias("part")), "bpe-chunks")
+    dealt = parts.repartition(n, "key", "k")
+    met = dealt.select("key", "k", (F.length("part") > chunk).alias("more"), _meetings(F.col("part"), chunk).alias("at"))
+    met = common.materialise(met, "bpe-meetings")
+    apart = common.materialise(met.where("more and at is null").select("key").distinct(), "bpe-apart")
+    # The place where a chunk begins is where the one before it met it.
+    starts = met.select(F.col("key").alias("key_"), (F.col("k") + 1).alias("k_"), (F.col("at") - chunk).alias("start"))
+    pieces = (
+        parts.join(met.select("key", "k", "at"), ["key", "k"])
+        .join(starts, (F.col("key") == F.col("key_")) & (F.col("k") == F.col("k_")), "left").drop("key_", "k_")
+        .join(apart.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_"), "left_anti")
+    )
+    end = F.coalesce("at", F.length("part"))
+    pieces = pieces.select("key", "k", _piece_ids(F.col("part"), F.coalesce("start", F.lit(0)), end, path).alias("ids"))
+    out = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("pieces"))
+    out = out.select("key", _joined(F.col("pieces")).alias("ids"))
+    if apart.isEmpty():
+        return out
+    again = texts.join(apart, "key", "left_semi")
+    longer = F.length("text") > chunk * GROW
+    whole = again.where(~longer).groupBy("key").agg(F.first("text").alias("text"))
+    return out.unionByName(whole.select("key", encode(F.col("text"), path).alias("ids"))).unionByName(
+        _long_ids(again.where(longer), path, chunk * GROW, overlap * GROW)
+    )
+
+
+# ---------------------------------------------------------------- columns and frames
+
+
+def encode(text: Column, path: str) -> Column:
+    """Packed ids of a column of texts or pieces: 4 bytes a token."""
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([encode_text(t, path, chunk, overlap) for t in texts], dtype=object)
+            yield pd.Series([encode_piece(t, path) for t in texts], dtype=object)
 
     return ids(text)
 
 
 def decode(ids: Column, path: str) -> Column:
-    """Raw bytes of a packed id column; bytes, as ids cut anywhere need not be valid UTF-8."""
+    """Raw bytes of a packed id column; bytes, as ids cut anywhere need not be valid UTF-8. No ids or null: no bytes."""
 
     @F.pandas_udf("binary")
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -145,21 +223,33 @@ def decode(ids: Column, path: str) -> Column:
     return raw(ids)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` plus ``__ids`` (packed token ids) and ``__decoded`` (their bytes).
 
-    Rows stay where they are: nothing is shuffled. Defined cases: null and empty texts have no ids
-    and decode to no bytes; repeated rows repeat; an empty table stays empty; other columns pass
-    through, whatever their names.
+    A text of one chunk has no neighbours to agree with and stays where it is; the chunks of longer
+    texts are spread over all tasks, so one very long text does not wait for one core. Defined cases:
+    null and empty texts have no ids and decode to no bytes; repeated rows repeat; an empty table
+    stays empty; other columns pass through, and where one already has the name of a new column, the
+    new one gets underscores behind it.
     """
+    if not 4 <= overlap <= chunk:
+        raise ValueError("an overlap has at least 4 code points and at most those of a chunk")
     path = path or public_tokenizers.path(RANKS)
     common.small_batches(docs.sparkSession)
-    return docs.withColumn("__ids", encode(F.col("text"), path)).withColumn("__decoded", decode(F.col("__ids"), path))
-
-
-def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids and of the decoded bytes of every row."""
-    return encode_documents(docs.select("doc_id", "text"), path).select(
+    key, ids, decoded = common.fresh(docs, "__key", "__ids", "__decoded")
+    is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    out = docs.where(~is_long).withColumn(ids, encode(F.col("text"), path))
+    long_docs = docs.where(is_long).withColumn(key, F.sha2("text", 256))
+    if not long_docs.isEmpty():
+        found = common.materialise(_long_ids(long_docs.select(F.col(key).alias("key"), "text"), path, chunk, overlap), "bpe-ids")
+        found = found.select(F.col("key").alias(key), F.col("ids").alias(ids))
+        out = out.unionByName(long_docs.join(found, key).select(*[F.col(f"`{c}`") for c in docs.columns], ids))
+    return out.withColumn(decoded, decode(F.col(ids), path))
+
+
+def token_digests(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids and of the decoded bytes of every row; cases as above."""
+    return encode_documents(docs.select("doc_id", "text"), path, chunk, overlap).select(
         "doc_id",
         (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("__ids", 256).alias("ids_sha256"),
