@@ -1,7 +1,11 @@
 """Toxicity: gradient-boosted trees over dense text features, with isotonic calibration.
 
 The model is fitted on a bounded sample of labelled rows (about ``max_rows``, chosen by a hash of
-the doc_id); it never sees labels of the held-out fold, nor lang, source or doc_id as inputs.
+the doc_id); it never sees labels of the held-out fold, nor lang, source or doc_id as inputs. All of
+these rows serve every step by cross-fitting: they are dealt into parts, the features of a part come
+from a lexicon learned without it, and the calibration reads scores of trees grown without it. The
+score is the isotonic level with a share of 2 % of the raw probability, which only orders texts
+inside a level; it is not the bare isotonic value.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,9 +28,13 @@ from . import common
 FOLDS, HELD_OUT, REJECT = 3, 1, 0.7
 #: About the most labelled rows that a model is fitted on, chosen by a hash.
 MAX_ROWS = 20_000
+#: Parts of the labelled rows for cross-fitting; the least rows of each label that are needed to learn.
+PARTS, LEAST_LABELS = 5, 10
+#: Share of the raw probability that orders texts inside an isotonic level.
+RAW_SHARE = 0.02
 #: Learned lexicon: lengths of word beginnings, the least toxic documents that hold an entry, the
 #: least log odds, and the most entries.
-STEMS, MIN_TOXIC, MIN_ODDS, MAX_ENTRIES = (4, 5, 6, 7), 4, 1.5, 600
+STEMS, MIN_TOXIC, MIN_ODDS, MAX_ENTRIES = (4, 5, 6, 7), 3, 1.5, 600
 #: Common English insults, the start of the lexicon whatever the labels hold.
 INSULTS = """
 asshole bastard bitch bullshit clown coward crap creep cretin cunt dickhead disgusting dumb dumbass
@@ -42,7 +51,11 @@ FEATURES = (
     "punctuation", "digits", "obfuscated", "symbols",
 )
 _WORD = re.compile(r"\w+")
+_RUN = re.compile(r"\S+")
 _SPLIT_UP = re.compile(r"(?<!\w)(?:\w[.\-_*]){3,}\w(?!\w)")
+#: Signs that hide letters, and lengths of words that may hide an insult.
+_HIDING, _HIDDEN_CHARS = re.compile(r"[0-9@$!*]"), (4, 20)
+_LETTER = re.compile(r"[A-Za-z]")
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _PUNCT, _SYMBOL = b".,;:!?\"'()-", b"#*$%&|<>@~^"
 
@@ -80,10 +93,13 @@ def features(text: str | None, odds: _Odds) -> list[float]:
     near = sum(not SECOND_PERSON.isdisjoint(words[max(0, i - 5) : i + 6]) for i in strong)
     you = sum(map(SECOND_PERSON.__contains__, words))
     hidden = 0
-    for part in set(re.findall(r"(?=\S*[A-Za-z])(?=\S*[0-9@$!*])\S{4,20}", text)) if _rate(text.encode(), b"0134579@$!*") else ():
-        bare = part.lower().strip("!.,;:*")
-        plain = bare.translate(LOOKALIKE)
-        hidden += plain != bare and odds.words.get(plain, 0.0) >= 3.0
+    if _HIDING.search(text):
+        runs = {r for r in _RUN.findall(text) if _HIDDEN_CHARS[0] <= len(r) <= _HIDDEN_CHARS[1]}
+        for part in runs:
+            if _HIDING.search(part) and _LETTER.search(part):
+                bare = part.lower().strip("!.,;:*")
+                plain = bare.translate(LOOKALIKE)
+                hidden += plain != bare and odds.words.get(plain, 0.0) >= 3.0
     hidden += sum(odds.words.get(re.sub(r"\W|_", "", m), 0.0) >= 3.0 for m in _SPLIT_UP.findall(lower))
     raw = text.encode()
     shouted = sum(len(w) > 2 for w in re.findall(r"\b[A-Z]{3,}\b", text))
@@ -123,36 +139,42 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, leaf: int = 20) -> Trees:
-    """Newton boosting of the logistic loss on quantile histograms; at least ``leaf`` rows in a leaf."""
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, leaf: int | None = None) -> Trees:
+    """Newton boosting of the logistic loss on quantile histograms; at least ``leaf`` rows in a leaf.
+
+    Without a number the least leaf grows with the rarer label, from 2 to 20 rows.
+    """
+    leaf = leaf or int(np.clip(min(y.sum(), (1 - y).sum()) // 8, 2, 20))
     p = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     model = Trees(math.log(p / (1 - p)))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    n_features = x.shape[1]
+    # The cells of all features lie in one array, so one count over rows and features fills a node's histograms.
+    cells = np.stack([np.searchsorted(e, x[:, f], side="left") + f * bins for f, e in enumerate(edges)], axis=1)
+    no_cut = np.stack([np.arange(bins) >= len(e) for e in edges])
     score = np.full(len(y), model.base)
     for _ in range(rounds):
         prob = 1 / (1 + np.exp(-score))
         g, h = y - prob, np.maximum(prob * (1 - prob), 1e-6)
         nodes: list[list[float]] = []
 
+        def sums(rows: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+            each = None if weight is None else np.repeat(weight[rows], n_features)
+            return np.bincount(cells[rows].ravel(), each, n_features * bins).reshape(n_features, bins).cumsum(axis=1)
+
         def grow(rows: np.ndarray, level: int) -> int:
             at = len(nodes)
             gs, hs = g[rows].sum(), h[rows].sum()
             nodes.append([-1, 0.0, -1, -1, rate * gs / (hs + 1.0)])
-            best = (1e-3, -1, -1)
-            if level < depth and len(rows) >= 2 * leaf:
-                for f, e in enumerate(edges):
-                    if not len(e):
-                        continue
-                    b, k = binned[rows, f], len(e) + 1
-                    gl, hl, nl = (np.cumsum(np.bincount(b, w, k))[:-1] for w in (g[rows], h[rows], None))
-                    gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                    gain[(nl < leaf) | (len(rows) - nl < leaf)] = -1
-                    if gain.max() > best[0]:
-                        best = (float(gain.max()), f, int(gain.argmax()))
-            if best[1] >= 0:
-                f, cut = best[1:]
-                go = binned[rows, f] <= cut
+            if level == depth or len(rows) < 2 * leaf:
+                return at
+            gl, hl, nl = sums(rows, g), sums(rows, h), sums(rows, None)
+            gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+            gain[(nl < leaf) | (len(rows) - nl < leaf) | no_cut] = -1
+            best = int(gain.argmax())
+            if gain.flat[best] > 1e-3:
+                f, cut = divmod(best, bins)
+                go = cells[rows, f] <= best
                 nodes[at][:2] = [f, edges[f][cut]]
                 nodes[at][2] = grow(rows[go], level + 1)
                 nodes[at][3] = grow(rows[~go], level + 1)
@@ -192,88 +214,104 @@ class Model:
     levels: np.ndarray
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated score; a small share of the raw one keeps the order inside flat steps."""
+        """Calibrated score: the isotonic level, and a share of the raw probability to order texts inside a level."""
         raw = self.trees.raw(x)
         step = np.interp(raw, self.knots, self.levels)
-        return np.clip(0.98 * step + 0.02 / (1 + np.exp(-raw)), 0.0, 1.0)
+        return np.clip((1 - RAW_SHARE) * step + RAW_SHARE / (1 + np.exp(-raw)), 0.0, 1.0)
 
 
 # ---------------------------------------------------------------- fitting and scoring on Spark
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(text, toxic, part) of labelled rows outside the held-out fold; part 0 to 4 splits them for calibration."""
+    """(text, toxic, part) of labelled rows outside the held-out fold, dealt into ``PARTS`` parts by a hash."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     rows = (
         labels.where("toxic is not null and doc_id is not null").where(fold % FOLDS != HELD_OUT)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     rows = common.hash_sample(rows, max_rows, "doc_id")
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(5))
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("part")), F.lit(PARTS))
     texts = docs.select("doc_id", "text")
     return texts.join(F.broadcast(rows), "doc_id").select("text", "toxic", part.cast("int").alias("part"))
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    clean, toxic = Counter(), Counter()
+    """Documents by term, label and part: whole words behind w, word beginnings behind s."""
+    seen: Counter = Counter()
     for batch in batches:
-        for text, label in zip(batch["text"], batch["toxic"]):
+        for text, label, part in zip(batch["text"], batch["toxic"], batch["part"]):
             words = set(_WORD.findall((text or "").lower()))
             terms = {"w" + w for w in words if len(w) > 2} | {"s" + w[:n] for w in words for n in STEMS if len(w) >= n}
-            (toxic if label else clean).update(terms)
-    if toxic:
-        rows = [(t, toxic[t], clean[t]) for t in toxic | clean]
-        yield pd.DataFrame(rows, columns=["term", "toxic", "clean"])
-    elif clean:
-        yield pd.DataFrame({"term": list(clean), "toxic": 0, "clean": list(clean.values())})
-
-
-def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Log odds of whole words and word beginnings from document counts; only the best entries reach the driver."""
-    totals = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    t, c = (totals["t"] or 0) + 1, (totals["n"] or 0) - (totals["t"] or 0) + 1
-    counts = rows.select("text", "toxic").mapInPandas(_count_terms, "term string, toxic long, clean long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / t) - F.log((F.col("clean") + 0.5) / c)
-    best = (
-        counts.withColumn("odds", odds).where((F.col("toxic") >= MIN_TOXIC) & (F.col("odds") >= MIN_ODDS))
-        .orderBy((F.col("odds") * F.col("toxic")).desc(), "term").limit(MAX_ENTRIES)
-    )
-    words, stems = dict.fromkeys(INSULTS, 4.0), {}
-    for row in best.collect():
-        kind = words if row["term"][0] == "w" else stems
-        kind[row["term"][1:]] = max(kind.get(row["term"][1:], 0.0), round(row["odds"], 3))
-    return words, stems
+            cell = 2 * int(part) + (label > 0)
+            seen.update((t, cell) for t in terms)
+    if seen:
+        yield pd.DataFrame({"term": [t for t, _ in seen], "cell": [c for _, c in seen], "n": list(seen.values())})
+
+
+Lexicon = tuple[dict[str, float], dict[str, float]]
+
+
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """Log odds of whole words and word beginnings from document counts; only the best entries reach the driver.
+
+    One lexicon without each part, and at the end one of all rows.
+    """
+    at_cell = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"n{c}")
+    cell = (2 * F.col("part") + (F.col("toxic") > 0).cast("int")).alias("cell")
+    totals = rows.select(cell, F.lit(1).alias("n")).agg(*[at_cell(c) for c in range(2 * PARTS)]).first()
+    counts = rows.select("text", "toxic", "part").mapInPandas(_count_terms, "term string, cell int, n long")
+    counts = counts.groupBy("term").agg(*[at_cell(c) for c in range(2 * PARTS)])
+    toxic_docs = sum((F.col(f"n{2 * p + 1}") for p in range(PARTS)), F.lit(0))
+    counts = common.materialise(counts.where(toxic_docs >= MIN_TOXIC), "toxicity-terms")
+    best = []
+    for left_out in range(PARTS + 1):
+        parts = [p for p in range(PARTS) if p != left_out]
+        toxic, clean = (sum((F.col(f"n{2 * p + k}") for p in parts), F.lit(0)) for k in (1, 0))
+        all_toxic, all_clean = (sum(totals[f"n{2 * p + k}"] or 0 for p in parts) + 1 for k in (1, 0))
+        odds = F.log((toxic + 0.5) / all_toxic) - F.log((clean + 0.5) / all_clean)
+        some = counts.select(F.lit(left_out).alias("left_out"), "term", toxic.alias("toxic"), F.round(odds, 3).alias("odds"))
+        some = some.where((F.col("toxic") >= MIN_TOXIC) & (F.col("odds") >= MIN_ODDS))
+        best.append(some.orderBy((F.col("odds") * F.col("toxic")).desc(), "term").limit(MAX_ENTRIES))
+    lexicons: list[Lexicon] = [(dict.fromkeys(INSULTS, 4.0), {}) for _ in best]
+    for row in reduce(DataFrame.unionByName, best).collect():
+        kind = lexicons[row["left_out"]][row["term"][0] == "s"]
+        kind[row["term"][1:]] = max(kind.get(row["term"][1:], 0.0), row["odds"])
+    common.remove(counts)
+    return lexicons
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit lexicon, trees and calibration; without labels of both kinds the lexicon alone decides."""
+    """Fit lexicon, trees and calibration; with fewer than ``LEAST_LABELS`` rows of a label the fixed insults decide."""
     rows = common.materialise(training_rows(docs, labels, max_rows), "toxicity-rows")
-    words, stems = learn_lexicon(rows.where("part < 2"))
-    table = rows.select(_features(F.col("text"), words, stems).alias("x"), "toxic", "part").toPandas()
+    lexicons = learn_lexicons(rows)
+    table = rows.select(_features(F.col("text"), F.col("part"), lexicons).alias("x"), "toxic", "part").toPandas()
     common.remove(rows)
     x = np.array(table["x"].tolist(), float).reshape(-1, len(FEATURES))
-    y, part = table["toxic"].to_numpy(float), table["part"].to_numpy()
-    grow, tune = part != 4, part == 4
-    grow &= part >= 2
-    if min(y[grow].sum(), (1 - y[grow]).sum()) < 5 or min(y[tune].sum(), (1 - y[tune]).sum()) < 2:
+    y, part = (table["toxic"].to_numpy() > 0).astype(float), table["part"].to_numpy()
+    order = np.lexsort((*x.T, y, part))  # the rows' places differ from run to run
+    x, y, part = x[order], y[order], part[order]
+    if min(y.sum(), (1 - y).sum()) < LEAST_LABELS:
         k = FEATURES.index("insults")
         tree = tuple(np.array(v) for v in ([k, -1, -1], [0.5, 0, 0], [1, -1, -1], [2, -1, -1], [0.0, -3.0, 3.0]))
-        return Model(words, {}, Trees(0.0, [tree]), np.array([-3.0, 3.0]), np.array([0.05, 0.95]))
-    trees = fit_trees(x[grow], y[grow])
-    out = np.flatnonzero(tune)
-    knots, levels = isotonic(np.r_[trees.raw(x[out])], y[out])
-    return Model(words, stems, trees, knots, levels)
+        return Model(dict.fromkeys(INSULTS, 4.0), {}, Trees(0.0, [tree]), np.array([-3.0, 3.0]), np.array([0.05, 0.95]))
+    unseen = np.zeros(len(y))
+    for p in np.unique(part):
+        unseen[part == p] = fit_trees(x[part != p], y[part != p]).raw(x[part == p])
+    knots, levels = isotonic(unseen, y)
+    return Model(*lexicons[-1], fit_trees(x, y), knots, levels)
+
 
+def _features(text: Column, part: Column, lexicons: list[Lexicon]) -> Column:
+    """Features of a labelled row, from the lexicon learned without its part."""
 
-def _features(text: Column, words: dict, stems: dict) -> Column:
     @F.pandas_udf("array<double>")
-    def dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        odds = _Odds(words, stems)
-        for texts in batches:
-            yield pd.Series([features(t, odds) for t in texts], dtype=object)
+    def dense(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        odds = [_Odds(*lexicon) for lexicon in lexicons]
+        for texts, parts in batches:
+            yield pd.Series([features(t, odds[p]) for t, p in zip(texts, parts, strict=True)], dtype=object)
 
-    return dense(text)
+    return dense(text, part)
 
 
 def score(text: Column, model: Model) -> Column:
@@ -293,13 +331,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     """Every input row with ``__toxicity``; fitted on the labels of the other folds.
 
     Nothing of the scoring is shuffled. Defined cases: a null text scores as an empty one; labels
-    without a document, without a value or repeated are dropped, or the highest counts; with too few
-    labels a fixed lexicon rule scores 0.05 or 0.95; an empty table stays empty; repeated rows and
-    other columns pass through.
+    without a document or without a value are dropped, and of several for a document the highest
+    counts; with too few labels a fixed lexicon rule scores 0.05 or 0.95; an empty table stays empty;
+    repeated rows and other columns pass through, and where one already has the name of the new
+    column, the new one gets underscores behind it.
     """
     common.small_batches(docs.sparkSession)
     model = fit(docs, labels, max_rows)
-    return docs.withColumn("__toxicity", score(F.col("text"), model))
+    return docs.withColumn(common.fresh(docs, "__toxicity")[0], score(F.col("text"), model))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

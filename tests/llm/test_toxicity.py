@@ -38,14 +38,34 @@ def test_features_are_finite_for_odd_texts():
     assert t.features("you 1d10t and i-d-i-o-t", odds)[t.FEATURES.index("obfuscated")] == 2
 
 
+def held_out(spark, sf):
+    out = t.op4_toxicity(spark, f"/root/testdata/{sf}").toPandas()
+    out = out.merge(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").toPandas(), on="doc_id")
+    return out[out.held_out]
+
+
 def test_held_out_accuracy(spark):
-    out = t.op4_toxicity(spark, "/root/testdata/sf0.1").toPandas().merge(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas(), on="doc_id")
-    held = out[out.held_out]
+    held = held_out(spark, "sf0.1")
     rank, pos = held.score.rank(), held.toxic == 1
     auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / pos.sum() / (~pos).sum()
-    assert auc > 0.95
+    assert auc > 0.97
+    hits = held[held.predicted == 1]
+    assert hits.toxic.mean() >= 0.95 and hits.toxic.sum() / pos.sum() >= 0.9
+
+
+def test_few_labels_are_enough_to_find_most(spark):
+    held = held_out(spark, "sf0.01")
     hits = held[held.predicted == 1]
-    assert hits.toxic.mean() > 0.9 and hits.toxic.sum() / pos.sum() > 0.75
+    assert hits.toxic.mean() >= 0.9 and hits.toxic.sum() / (held.toxic == 1).sum() > 0.5
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000, "!" * 1_000_000, "@1" * 500_000, "a.b-" * 250_000, "_" * 1_000_000, "A1 " * 330_000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    t.features(text, t._Odds(dict.fromkeys(t.INSULTS, 4.0), {"abcd": 2.0}))
+    assert time.process_time() - began < 2
 
 
 def test_scores_do_not_see_labels_of_the_held_out_fold(spark, tmp_path):
