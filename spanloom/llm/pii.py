@@ -5,13 +5,14 @@ at sign. Neighbouring tokens are linked in a chain; distant tokens with the same
 are linked by skip edges, so a number that the patterns know in one place is also known where it is
 written differently. Loopy sum-product messages give each token's label; tokens inside base spans are
 fixed to their kind. Node, chain and skip potentials are fitted piece by piece to the labels of the
-base patterns on a bounded sample of documents.
+base patterns: their statistics are counts, which Spark sums over every document.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,25 +30,35 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CARD_DIGITS, PHONE_DIGITS = (12, 19), (9, 15)
-#: About the most documents that potentials are fitted on.
-SAMPLE_DOCS = 4000
-#: Rounds of messages, their damping, the least probability of an added span; bounds of potentials.
-ROUNDS, DAMPING, CERTAIN, MAX_NODE, MAX_SKIP, MAX_CHAIN = 12, 0.3, 0.85, 4.0, 7.0, 1.0
+#: Most rounds of messages, the change that ends them, their damping, the least probability of an added span.
+ROUNDS, SETTLED, DAMPING, CERTAIN = 30, 1e-4, 0.3, 0.85
+#: Bounds of potentials: patterns can't name what is written differently, so an agreement must be able to overrule a token's own looks.
+MAX_NODE, MIN_SKIP, MAX_SKIP, MAX_CHAIN = 4.0, 6.0, 8.0, 1.0
 #: Digits that two numbers must end in alike to be similar.
 SIMILAR_DIGITS = 8
+#: Share of a skip edge's potential between similar numbers, and between mail names at different places.
+SIMILAR_NUMBER, SIMILAR_MAIL = 0.8, 0.5
 #: Digits from which equal plain numbers are linked; shorter ones repeat by chance.
 LEAST_DIGITS = 6
+#: Texts without a match have no token.
+HAS_TOKEN = r"[0-9@]|[(\[]at[)\]]"
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 # The lookbehinds only spare attempts that would fail from inside the same run, so long runs cost linear time.
 _IP_FROM_RUN = re.compile(r"(?<![0-9])" + IP.pattern)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(EMAIL.pattern.partition("@")[2])
-_TOKEN = re.compile(
-    r"(?P<mail>(?<![^\s<>,;\"'])[^\s<>,;\"']+(?:@| ?[(\[]at[)\]] ?)[^\s<>,;\"']+)"
-    r"|(?P<number>\+?\(?[0-9](?:[().-]*[\x20./()-]?[(+]?[0-9])*)"
-)
-_AT = re.compile(r" ?[(\[]at[)\]] ?")
+#: A mention of an address: two runs without a delimiter around a sign for at, with signs for dot behind.
+_IN_RUN = r"[^\s<>,;\"']"
+_MAIL = re.compile(rf"{_IN_RUN}+(?:@| ?[(\[]at[)\]] ?){_IN_RUN}+(?: ?[(\[]dot[)\]] ?{_IN_RUN}+)*")
+_AT_SIGN = re.compile(r"@| ?[(\[]at[)\]]")
+_DELIMITER = re.compile(r"[\s<>,;\"']")
+#: A mention of a number from its first digit on: groups with few signs between them.
+_NUMBER = re.compile(r"[0-9](?:[().-]*[\x20./()-]?[(+]?[0-9])*")
+_AT, _DOT = re.compile(r" ?[(\[]at[)\]] ?"), re.compile(r" ?[(\[]dot[)\]] ?")
+#: Digits of one unbroken group from which a blank beside it parts two numbers: no kind writes such a group and goes on.
+WHOLE_GROUP = 7
+_GROUP = re.compile(r"[0-9]+")
 N_LABELS = len(KINDS) + 1  # label 0 is none
 
 
@@ -116,44 +127,112 @@ class Field:
     fixed: np.ndarray
     chain: list[tuple[int, int]]
     skips: list[tuple[int, int, float]]
+    alone: list[bool]
 
 
 FEATURE_NAMES = (
     "bias", "at", "at_dot", "hidden_at", "d1_3", "d4_8", "d9_11", "d12_15", "d16_19", "d20", "plus", "three_dots", "four_small", "luhn",
-    "separated", "plain",
+    "separated", "plain", "in_word",
 )
 
 
-def _features(token: str, digits: str) -> list[float]:
+def _features(token: str, digits: str, in_word: bool) -> tuple[bool, ...]:
     n, mail = len(digits), "@" in token
     at = mail or bool(_AT.search(token))
     parts = token.split(".")
     dots = len(parts) == 4 and all(p.isdigit() for p in parts)
-    return [
-        1.0, mail, mail and "." in token.rsplit("@", 1)[1].strip("."), at and not mail,
+    return (
+        True, mail, mail and "." in token.rsplit("@", 1)[1].strip("."), at and not mail,
         not at and n <= 3, not at and 4 <= n <= 8, not at and 9 <= n <= 11, not at and 12 <= n <= 15, not at and 16 <= n <= 19, n >= 20,
         token.startswith("+"), dots, dots and all(map(_small, parts)), not at and CARD_DIGITS[0] <= n <= CARD_DIGITS[1] and luhn(digits),
-        not at and n != len(token), not at and n == len(token),
-    ]
+        not at and n != len(token), not at and n == len(token), in_word,
+    )
+
+
+def _parts(text: str, start: int, end: int, ends_of_spans: list[int]) -> list[tuple[int, int]]:
+    """The numbers of a number token: cut at a blank beside a long group of digits, and where a base span ends or begins."""
+    cuts, groups = [], [(m.start(), m.end()) for m in _GROUP.finditer(text, start, end)]
+    for (a, b), (c, d) in zip(groups, groups[1:]):
+        if " " in text[b:c] and (b - a >= WHOLE_GROUP or d - c >= WHOLE_GROUP):
+            cuts.append((b, c))
+    # A cut at a span keeps what stands before it and after it as numbers of their own.
+    for at in ends_of_spans:
+        if start < at < end:
+            cuts.append((at, at))
+    out, at = [], start
+    for b, c in [*sorted(set(cuts)), (end, end)]:
+        if b > at:
+            out.append((at, b))
+        at = max(at, c)
+    trimmed = []
+    for a, b in out:
+        while a < b and not (text[a] in "+(" or "0" <= text[a] <= "9"):
+            a += 1
+        while a < b and not "0" <= text[b - 1] <= "9":
+            b -= 1
+        if a < b:
+            trimmed.append((a, b))
+    return trimmed
+
+
+def _mails(text: str) -> Iterator[tuple[int, int]]:
+    """Mentions of addresses, each looked for only around a sign for at."""
+    done = 0
+    for sign in _AT_SIGN.finditer(text):
+        start = sign.start()
+        if start < done:
+            continue
+        while start > done and not _DELIMITER.match(text[start - 1]):
+            start -= 1
+        m = _MAIL.match(text, start) if start < sign.start() else None
+        if m:
+            done = m.end()
+            yield start, start + len(m[0].rstrip(".:!?)"))
+
+
+def _tokens(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, is mail, stood alone) of the mentions of a text in order; numbers lie between mails."""
+    edges, at = sorted({x for a, _, b in spans for x in (a, b)}), 0
+    done = 0
+    for mail in [*_mails(text), (len(text), len(text))]:
+        for m in _NUMBER.finditer(text, done, mail[0]):
+            start, end = m.span()
+            for sign in "(+":
+                start -= start > done and text[start - 1] == sign
+            while at < len(edges) and edges[at] <= start:
+                at += 1
+            inside = at
+            while inside < len(edges) and edges[inside] < end:
+                inside += 1
+            parts = _parts(text, start, end, edges[at:inside])
+            for a, b in parts:
+                yield a, b, False, len(parts) == 1
+        if mail[0] < mail[1]:
+            yield *mail, True, True
+        done = mail[1]
 
 
 def build_field(text: str, spans: list[tuple[int, int, int]]) -> Field | None:
-    """The field over a text, or None without tokens. Equal contents are linked in a row, not in all pairs."""
-    starts, ends, rows, keys = [], [], [], []
-    for m in _TOKEN.finditer(text):
-        token = m[0]
-        if m.lastgroup == "mail":
-            token = token.rstrip(".:!?)")
-            key = "m" + _AT.sub("@", token).lower()
-            digits = ""
+    """The field over a text, or None without tokens.
+
+    Mentions with one content are linked to one of them, the first that a base span covers or else
+    the first, so edges are no more than tokens and every mention is two steps from any other.
+    """
+    starts, ends, rows, keys, alone = [], [], [], [], []
+    for a, b, mail, whole in _tokens(text, spans):
+        token = text[a:b]
+        if mail:
+            key, digits = "m" + _DOT.sub(".", _AT.sub("@", token)).lower(), ""
         else:
             digits = _NOT_DIGIT.sub("", token)
             short_ip = len(digits) < LEAST_DIGITS and token.count(".") == 3 and all(p.isdigit() for p in token.split("."))
             key = "i" + token if short_ip else "n" + digits
-        starts.append(m.start())
-        ends.append(m.start() + len(token))
-        rows.append(_features(token, digits))
+        in_word = not mail and ((a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()))
+        starts.append(a)
+        ends.append(b)
+        rows.append(_features(token, digits, in_word))
         keys.append(key)
+        alone.append(whole)
     if not starts:
         return None
     fixed = np.full(len(starts), -1)
@@ -167,21 +246,23 @@ def build_field(text: str, spans: list[tuple[int, int, int]]) -> Field | None:
                 fixed[i] = k + 1
             i += 1
     chain = [(i, i + 1) for i in range(len(starts) - 1) if starts[i + 1] - ends[i] <= 3]
-    skips, last = [], {}
+    groups: dict[str, list[int]] = {}
     for i, key in enumerate(keys):
-        links = [(key, 1.0)]
+        if key[0] != "n" or len(key) > LEAST_DIGITS:
+            groups.setdefault(key, []).append(i)
+    alike: dict[str, list[int]] = {}
+    skips = []
+    for key, members in groups.items():
+        hub = next((i for i in members if fixed[i] > 0), members[0])
+        skips += [(hub, i, 1.0) for i in members if i != hub]
         if key[0] == "n" and len(key) > SIMILAR_DIGITS:
-            links.append(("s" + key[-SIMILAR_DIGITS:], 0.8))
+            alike.setdefault("s" + key[-SIMILAR_DIGITS:], []).append(hub)
         elif key[0] == "m" and "@" in key:
-            links.append(("l" + key[1:].split("@")[0], 0.5))
-        if key[0] == "n" and len(key) <= LEAST_DIGITS:
-            links = []
-        for name, weight in links:
-            j = last.get(name)
-            if j is not None and (name == key or keys[j] != key):
-                skips.append((j, i, weight))
-            last[name] = i
-    return Field(starts, ends, np.array(rows, float), fixed, chain, skips)
+            alike.setdefault("l" + key[1:].split("@")[0], []).append(hub)
+    for key, members in alike.items():
+        hub = next((i for i in members if fixed[i] > 0), members[0])
+        skips += [(hub, i, SIMILAR_NUMBER if key[0] == "s" else SIMILAR_MAIL) for i in members if i != hub]
+    return Field(starts, ends, np.array(rows, float), fixed, chain, skips, alone)
 
 
 @dataclass
@@ -216,7 +297,11 @@ def marginals(field: Field, pot: Potentials) -> np.ndarray:
             send = np.exp(send - send.max(axis=1, keepdims=True))
             new = np.log(np.einsum("ea,eab->eb", send, table))
             new -= new.max(axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
+            new = DAMPING * message + (1 - DAMPING) * new
+            settled = np.abs(new - message).max() < SETTLED
+            message = new
+            if settled:
+                break
         np.add.at(unary, target, message)
     p = np.exp(unary - unary.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -251,38 +336,66 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds
     return w
 
 
-def fit_potentials(texts: list[str]) -> Potentials:
-    """Piecewise fit to the base patterns' own labels: nodes by softmax regression, edges by counts."""
-    xs, ys, pairs, agree, seen = [], [], np.ones((N_LABELS, N_LABELS)), 9.0, 10.0
+def statistics(texts: list[str | None]) -> Counter:
+    """Counts that the fit needs, under the labels of the base patterns: tokens by features, chain pairs, agreeing skip edges.
+
+    Keys are (what, features as a number or label, label); there are no more of them than feature
+    patterns times labels, however many texts are counted.
+    """
+    seen: Counter = Counter()
+    powers = 1 << np.arange(len(FEATURE_NAMES))
     for text in texts:
-        field = build_field(text, base_spans(text))
+        field = build_field(text, base_spans(text)) if text else None
         if field is None:
             continue
         labels = np.maximum(field.fixed, 0)
-        xs.append(field.x)
-        ys.append(labels)
-        for i, j in field.chain:
-            pairs[labels[i], labels[j]] += 1
-        for i, j, w in field.skips:
-            if w == 1.0 and (labels[i] or labels[j]):
-                agree, seen = agree + (labels[i] == labels[j]), seen + 1
-    if not xs:
-        return Potentials(np.zeros((len(FEATURE_NAMES), N_LABELS)), np.zeros((N_LABELS, N_LABELS)), MAX_SKIP)
-    rows, count = np.unique(np.c_[np.concatenate(xs), np.concatenate(ys)], axis=0, return_counts=True)
-    node = _softmax_regression(rows[:, :-1], rows[:, -1].astype(int), count.astype(float))
+        # What the patterns miss for its surroundings is unlabelled: repeats of what they know, and numbers that stand in one run with others.
+        # It is no example of other content, nor a disagreement; two kinds for one content are.
+        missed = {x for i, j, _ in field.skips for x, y in ((i, j), (j, i)) if labels[y] and not labels[x]}
+        missed.update(i for i, whole in enumerate(field.alone) if not whole and not labels[i])
+        looks = zip((field.x @ powers).astype(int).tolist(), labels.tolist(), strict=True)
+        seen.update(("node", p, k) for i, (p, k) in enumerate(looks) if i not in missed)
+        seen.update(("chain", int(labels[i]), int(labels[j])) for i, j in field.chain if i not in missed and j not in missed)
+        seen.update(("skip", int(labels[i] == labels[j]), 0) for i, j, w in field.skips if w == 1.0 and labels[i] and labels[j])
+    return seen
+
+
+def potentials(seen: Counter) -> Potentials:
+    """Piecewise fit: nodes by softmax regression, chain and skip edges by log odds of counts."""
+    cells = sorted((p, k, n) for (what, p, k), n in seen.items() if what == "node")
+    pairs = np.ones((N_LABELS, N_LABELS))
+    for (what, a, b), n in seen.items():
+        if what == "chain":
+            pairs[a, b] += n
     share = pairs / pairs.sum()
     chain = np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True)))
-    odds = np.log((agree + 0.5) / (seen - agree + 0.5)) + np.log(N_LABELS - 1)
-    return Potentials(node, np.clip(chain, -MAX_CHAIN, MAX_CHAIN), float(np.clip(odds * 2, 5.0, MAX_SKIP)))
+    agree, differ = 9.0 + seen["skip", 1, 0], 1.0 + seen["skip", 0, 0]
+    odds = np.log((agree + 0.5) / (differ + 0.5)) + np.log(N_LABELS - 1)
+    node = np.zeros((len(FEATURE_NAMES), N_LABELS))
+    if cells:
+        x = (np.array([p for p, _, _ in cells])[:, None] >> np.arange(len(FEATURE_NAMES)) & 1).astype(float)
+        node = _softmax_regression(x, np.array([k for _, k, _ in cells]), np.array([n for _, _, n in cells], float))
+    return Potentials(node, np.clip(chain, -MAX_CHAIN, MAX_CHAIN), float(np.clip(odds, MIN_SKIP, MAX_SKIP)))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Potentials:
-    """Potentials from about ``sample`` documents that hold a digit or an at sign, chosen by a hash.
+def fit_potentials(texts: list[str | None]) -> Potentials:
+    """The potentials of a list of texts."""
+    return potentials(statistics(texts))
 
-    Texts over 20,000 characters are passed over when the sample is drawn, which bounds its size.
-    """
-    rows = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    return fit_potentials([r["text"] for r in common.hash_sample(rows, sample, "doc_id").select("text").collect()])
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: Counter = Counter()
+    for batch in batches:
+        seen.update(statistics(batch["text"].tolist()))
+    if seen:
+        yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["what", "a", "b", "n"])
+
+
+def fit(docs: DataFrame) -> Potentials:
+    """Potentials from the counts of every text that holds a digit or a sign for at; only sums reach the driver."""
+    rows = docs.where(F.col("text").rlike(HAS_TOKEN)).select("text").mapInPandas(_counted, "what string, a long, b long, n long")
+    sums = rows.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    return potentials(Counter({(r["what"], r["a"], r["b"]): r["n"] for r in sums}))
 
 
 # ---------------------------------------------------------------- operator
@@ -307,16 +420,18 @@ def find(text: Column, pot: Potentials) -> Column:
     return spans(text)
 
 
-def find_pii(docs: DataFrame, pot: Potentials | None = None, sample: int = SAMPLE_DOCS) -> DataFrame:
+def find_pii(docs: DataFrame, pot: Potentials | None = None) -> DataFrame:
     """``docs`` plus ``__pii``: base spans and all spans of each text, in code points, ends exclusive.
 
-    Nothing is shuffled. The field runs on every text that has a token, as a token's own features can
-    make its label certain without a base span. Defined cases: null and empty texts have no spans; repeated rows
-    repeat; spans of different kinds may overlap, added ones never overlap base ones; an empty table
-    stays empty; other columns pass through.
+    Nothing but counts is shuffled. The field runs on every text that has a token, as a token's own
+    features can make its label certain without a base span. Defined cases: null and empty texts have
+    no spans; repeated rows repeat; spans of different kinds may overlap, added ones never overlap base
+    ones; an empty table stays empty; other columns pass through, and where one already has the name
+    of the new column, the new one gets underscores behind it.
     """
     common.small_batches(docs.sparkSession)
-    return docs.withColumn("__pii", find(F.col("text"), pot or fit(docs.select("doc_id", "text"), sample)))
+    name = common.fresh(docs, "__pii")[0]
+    return docs.withColumn(name, find(F.col("text"), pot or fit(docs.select("text"))))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
