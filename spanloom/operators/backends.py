@@ -8,25 +8,23 @@ values in the ``error`` column: a document that fails never fails its task.
 from __future__ import annotations
 
 import json
-import os
-import random
 import re
-import time
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Any, Protocol
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_LENGTH, LENGTH_SENTENCES, SETTINGS, aspect_queries
-from ..functions.batches import bounded
 from ..functions import kernels
+from ..functions.batches import bounded
 from ..functions.text import cut, strip_artifacts
 from .embedders import Embedder
 from .ground import citation_precision, ground, parse_claims, shift_citations, verify
 from .summarise import FACTS, select_chunks, summarise_extractive
+from .transport import ChatClient, GenerationError, LocalModel, Pacer, QuotaExhausted, Truncated, parse_wait, required_key  # noqa: F401
 
 REPLY = "content string, blocks array<struct<text:string,citations:array<struct<type:string,cited_text:string,document_index:int,start_char_index:int,end_char_index:int>>>>, stop_reason string, model string, input_tokens long, output_tokens long, error string"
 LENGTH_NOTES = {
@@ -42,25 +40,12 @@ CLAIM_TASK = (
 
 
 class Generator(Protocol):
-    """``prompt`` has task, excerpts (a list of texts) and max_tokens; the reply has the fields of REPLY, missing ones null."""
-
-    def complete(self, prompt: dict) -> dict: ...
-
-
-class GenerationError(RuntimeError):
-    """A request failed for good."""
-
+    """``prompt`` has task, excerpts (a list of texts), documents (JSON of citable blocks, or null), json and max_tokens.
 
-class Truncated(GenerationError):
-    """The reply was cut off at its token limit."""
-
-
-class QuotaExhausted(GenerationError):
-    """The daily quota is used up; ``retry_after`` seconds remain."""
+    The reply has the fields of REPLY, missing ones null.
+    """
 
-    def __init__(self, message: str, retry_after: float):
-        super().__init__(message)
-        self.retry_after = retry_after
+    def complete(self, prompt: dict) -> dict: ...
 
 
 # ---------------------------------------------------------------- stand-ins
@@ -99,156 +84,29 @@ class RefusingGenerator:
         return {"content": self.reason, "stop_reason": "refusal"}
 
 
-# ---------------------------------------------------------------- transport
-
-_DURATION = re.compile(r"(?:(?P<m>\d+(?:\.\d+)?)m)?(?:(?P<s>\d+(?:\.\d+)?)s)?(?:(?P<ms>\d+(?:\.\d+)?)ms)?")
-_WAIT_HEADERS = ("retry-after", "x-ratelimit-reset-tokens", "x-ratelimit-reset-requests")
-
-
-def parse_wait(value: str | None) -> float | None:
-    """Seconds of a plain number or of minutes, seconds and milliseconds; None for anything else."""
-    value = (value or "").strip()
-    try:
-        return float(value)
-    except ValueError:
-        m = _DURATION.fullmatch(value)
-    if not m or not any(m.groups()):
-        return None
-    return 60 * float(m["m"] or 0) + float(m["s"] or 0) + float(m["ms"] or 0) / 1000
-
-
-@dataclass
-class Pacer:
-    """A token bucket as the server last reported it; ``share`` is this partition's part of the refill."""
-
-    share: float = 1.0
-    clock: Callable[[], float] = time.monotonic
-    sleep: Callable[[float], None] = time.sleep
-    limit: float = 0.0
-    remaining: float = 0.0
-    at: float = 0.0
-
-    def remember(self, headers: dict) -> None:
-        try:
-            limit, left = float(headers["x-ratelimit-limit-tokens"]), float(headers["x-ratelimit-remaining-tokens"])
-        except (KeyError, ValueError):
-            return
-        self.limit, self.remaining, self.at = limit, left, self.clock()
-
-    def wait_for(self, tokens: float) -> float:
-        """Sleep until so many tokens, or a whole bucket, have likely been refilled; the seconds slept."""
-        if not self.limit:
-            return 0.0
-        rate = self.limit / 60 * self.share
-        there = min(self.limit, self.remaining + (self.clock() - self.at) * rate)
-        lacking = min(tokens, self.limit) - there
-        if lacking <= 0:
-            return 0.0
-        pause = min(lacking / rate, SETTINGS.longest_wait)
-        self.sleep(pause)
-        return pause
-
-
-Transport = Callable[[dict, float], "tuple[int, dict, str]"]
-"""(payload, timeout) -> (status, lower-case headers, body); raises OSError when the host can't be reached."""
-
-
-@dataclass
-class ChatClient:
-    """A chat-completions generator with retries and pacing over an injected transport.
-
-    401 fails at once, 429 and server errors are retried, other client errors are raised; the server's
-    named delay is honoured with a floor and a cap; an exhausted daily quota is raised with its wait.
-    """
-
-    transport: Transport
-    model: str = "model"
-    timeout: float = SETTINGS.timeout
-    retries: int = SETTINGS.retries
-    pacer: Pacer = field(default_factory=Pacer)
-    jitter: Callable[[float, float], float] = random.uniform
-
-    def delay(self, headers: dict, attempt: int) -> float:
-        named = next((w for h in _WAIT_HEADERS if (w := parse_wait(headers.get(h))) is not None), None)
-        pause = 2.0**attempt + self.jitter(0, 1) if named is None else max(named, SETTINGS.least_wait) + self.jitter(0.1, 0.5)
-        return min(pause, SETTINGS.longest_wait)
-
-    def post(self, payload: dict) -> dict:
-        needed = payload.get("max_tokens", 1024) + sum(len(m.get("content") or "") for m in payload["messages"]) // 4
-        for attempt in range(self.retries + 1):
-            self.pacer.wait_for(needed)
-            last = attempt == self.retries
-            try:
-                status, headers, body = self.transport(payload, self.timeout)
-            except OSError as e:
-                if last:
-                    raise GenerationError(f"the host can't be reached: {e}") from e
-                self.pacer.sleep(min(2.0**attempt, SETTINGS.longest_wait))
-                continue
-            self.pacer.remember(headers)
-            if status < 400:
-                return json.loads(body)
-            if status == 401:
-                raise GenerationError("the key was rejected (401)")
-            if status == 429 and re.search(r"tokens per day|\(tpd\)", body, re.I):
-                wait = next((w for h in _WAIT_HEADERS[:2] if (w := parse_wait(headers.get(h))) is not None), SETTINGS.longest_daily_wait)
-                raise QuotaExhausted(f"the daily quota is used up: {body[:200]}", min(wait, SETTINGS.longest_daily_wait))
-            if status != 429 and status < 500:
-                kind = Truncated if "json_validate_failed" in body else GenerationError
-                raise kind(f"status {status}: {body[:300]}")
-            if last:
-                raise GenerationError(f"status {status} after {attempt + 1} attempts: {body[:200]}")
-            self.pacer.sleep(self.delay(headers, attempt))
-        raise GenerationError("no attempt was made")
-
-    def complete(self, prompt: dict) -> dict:
-        content = "\n\n".join([f"[excerpt {k + 1}]\n{t}" for k, t in enumerate(prompt["excerpts"])] + ["---", prompt["task"]])
-        payload: dict[str, Any] = {"model": self.model, "temperature": 0, "max_tokens": prompt["max_tokens"], "messages": [{"role": "user", "content": content}]}
-        if prompt["json"]:
-            payload["response_format"] = {"type": "json_object"}
-        for k in range(SETTINGS.verified_escalations + 1):
-            try:
-                data = self.post(payload)
-                break
-            except Truncated:
-                if k == SETTINGS.verified_escalations:
-                    raise
-                payload["max_tokens"] = min(2 * payload["max_tokens"], SETTINGS.verified_ceiling)
-        choice, usage = data["choices"][0], data.get("usage", {})
-        return {
-            "content": choice["message"].get("content"), "stop_reason": choice.get("finish_reason"), "model": data.get("model", self.model),
-            "input_tokens": usage.get("prompt_tokens", 0), "output_tokens": usage.get("completion_tokens", 0),
-        }
-
-
-def required_key(variable: str) -> str:
-    """A credential from the environment, or an error that names the backends that need none."""
-    if value := os.environ.get(variable, "").strip():
-        return value
-    raise GenerationError(f"{variable} is not set; the extractive backend needs no key, the local one no network")
-
-
 # ---------------------------------------------------------------- generation on Spark
 
 
-def _complete(excerpts: Column, generator: Generator, task: str, as_json: bool, max_tokens: int) -> Column:
+def _complete(excerpts: Column, documents: Column, generator: Generator, task: str, as_json: bool, max_tokens: int) -> Column:
+    """The replies to prompts over (texts, blocks); a document without texts is not asked for."""
     bounded()
+    names = [part.split()[0] for part in re.split(r", (?=\w+ (?:string|long)\b)|, (?=blocks )", REPLY)]
+
     @F.pandas_udf(REPLY)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in re.split(r", (?=\w+ (?:string|long)\b)|, (?=blocks )", REPLY)]
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for texts in batch:
+            for texts, blocks in zip(*batch, strict=True):
                 reply: dict = {}
                 if texts is not None and len(texts):
                     try:
-                        reply = generator.complete({"task": task, "excerpts": list(texts), "json": as_json, "max_tokens": max_tokens})
+                        reply = generator.complete({"task": task, "excerpts": list(texts), "documents": blocks, "json": as_json, "max_tokens": max_tokens})
                     except Exception as e:  # noqa: BLE001  a failed document is a row, not a failed task
                         reply = {"error": f"{type(e).__name__}: {e}"}
                 rows.append([reply.get(n) for n in names])
             yield pd.DataFrame(rows, columns=names)
 
-    return run(excerpts)
+    return run(excerpts, documents)
 
 
 def task_text(length: str | None, instruction: str | None, base: str) -> str:
@@ -277,7 +135,10 @@ def summarise(
     excerpts = F.transform("chunks_used", lambda c: cut(F.col("text"), c["start"], c["end"]))
     verified = backend == "verified"
     task = f"{instruction or TASK} {CLAIM_TASK}" if verified else task_text(length, instruction, TASK)
-    df = chosen.withColumn("__r", _complete(excerpts, generator, task, verified, limits[backend]))
+    if isinstance(generator, ChatClient):
+        generator = generator.shared(docs.sparkSession.sparkContext.defaultParallelism)
+    blocks = document_blocks(F.col("text"), F.col("chunks_used")) if backend == "api" else F.lit(None).cast("string")
+    df = chosen.withColumn("__r", _complete(excerpts, blocks, generator, task, verified, limits[backend]))
     refused = F.col("__r.stop_reason") == "refusal"
     content, blank = F.coalesce(F.col("__r.content"), F.lit("")), F.from_json(F.lit("[]"), FACTS)
     checked = None
@@ -308,11 +169,12 @@ def summarise(
 
 
 def document_blocks(text: Column, chunks_used: Column) -> Column:
-    """The request's JSON: one citable document for each chunk, titled by its place."""
+    """The api request's JSON: one citable document for each chunk, titled by its place, in context of its neighbours' number."""
     block = lambda c: F.struct(
         F.lit("document").alias("type"),
         F.struct(F.lit("text").alias("type"), F.lit("text/plain").alias("media_type"), cut(text, c["start"], c["end"]).alias("data")).alias("source"),
         F.format_string("[%d] chars %d-%d", c["ix"], c["start"], c["end"]).alias("title"),
+        F.format_string("Excerpt %d of the document, characters %d to %d.", c["ix"] + 1, c["start"], c["end"]).alias("context"),
         F.struct(F.lit(True).alias("enabled")).alias("citations"),
     )
     return F.to_json(F.transform(chunks_used, block))

@@ -16,6 +16,7 @@ def one(spark, expr, **values):
     return row.select(expr.alias("x")).first()["x"]
 
 
+#: Summaries, sources, shares and missing numbers that must be matched.
 FIDELITY = [
     ("Patient is 29 and got 500 mg.", "A 29-year-old given 500 mg daily.", 1.0, []),
     ("Patient is 42 and got 750 mg.", "A 29-year-old given 500 mg daily.", 0.0, ["42", "750"]),
@@ -64,6 +65,7 @@ def test_containment_and_artifacts(spark):
         assert one(spark, T.strip_artifacts(F.col("a")), a=said) == "The patient improved."
 
 
+#: A source with quotes that must be found and quotes that must be rejected.
 SOURCE = (
     "A 52-year-old female patient presented with anterior neck swelling. She was managed with propylthiouracil 100 mg orally "
     "three times per day. After 2 weeks of steroid treatment the patient improved markedly."
