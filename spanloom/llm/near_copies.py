@@ -3,8 +3,10 @@
 Candidates come from prefix filtering, which misses no such pair: under one order of all shingles,
 rare ones first, two sets this alike share a shingle of their prefixes (the first fifth and one). Sets
 that share prefix shingles are gathered into candidate groups, and likeness is computed inside a group
-on the whole sets. Jaccard distance is a metric, so members near a hub stand behind it: a text
-below likeness 0.6 to a hub cannot be 0.8 alike to what stands behind it. Sets are sets of 64-bit hashes.
+on the whole sets. A group that is too large for one task is dealt into cells that together hold every
+candidate pair: its prefix shingles, or pairs of blocks of it, whichever is less to ship. Inside a cell one set
+at a time is counted against all others, and sets that are connected with the largest part need no
+turn of their own. Sets are sets of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from .components import connected
 
 #: Words in a shingle, hash seed, fifths of the union that two linked sets share.
 WORDS, SEED, FIFTHS = 5, 42, 4
-#: Shingles and sets of one packed block; blocks go to so many buckets for each shuffle partition.
-BLOCK_SHINGLES, BLOCK_SETS, BUCKETS = 1 << 18, 1 << 15, 4
+#: Shingles and sets of one packed block; the bytes of a hash that are shipped. A hash cut short can only add candidates.
+BLOCK_SHINGLES, BLOCK_SETS, HASH_BYTES = 1 << 18, 1 << 15, 6
+#: Bits of the map that tells which texts may be in a candidate group; a full map only lets more through.
+MAP_BITS = 1 << 24
+#: Shingles that one cell holds; larger groups and cells are dealt into blocks of half as many.
+CELL_SHINGLES = 1 << 20
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -71,27 +77,47 @@ def set_ids(text: Column) -> Column:
     return ids(text)
 
 
+def _short(h: np.ndarray) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
+#: Rows between the steps: a block's sets (bucket below 0), or the part of a block that one bucket of shingles holds.
+PACKED = "bucket long, block long, ids binary, counts binary, h binary"
+RETURNED = "block long, ids binary, counts binary, places binary, often binary, h binary"
+
+
 def _packed(buckets: int):
-    """mapInPandas over texts: blocks (bucket, shingles, places, ids, sizes) of distinct sets."""
+    """mapInPandas over texts: blocks of distinct sets, dealt by shingle.
+
+    A part has the ids of the sets that have shingles in its bucket, how many, and the shingles in the
+    order of the sets. The sets of a block with their sizes are a row of their own.
+    """
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[int, np.ndarray] = {}
         total = 0
 
         def flush() -> pd.DataFrame:
-            all_ids = np.fromiter(sets, np.int64, len(sets))
+            ids = np.fromiter(sets, np.int64, len(sets))
             sizes = np.fromiter(map(len, sets.values()), np.int64, len(sets))
-            h = np.concatenate(list(sets.values()))
-            place = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            # The same sets in the same order make the same block, whichever attempt of a task packs them.
+            block = int(np.uint64(xxhash.xxh64_intdigest(ids.tobytes(), SEED)).astype(np.int64))
+            h = np.concatenate(list(sets.values())) & np.uint64((1 << 8 * HASH_BYTES) - 1)
+            place, bucket = np.repeat(np.arange(len(sets)), sizes), (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, h, place = bucket[order], h[order], place[order]
             cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-            out = []
+            out = [(-1 - block % buckets, block, ids.tobytes(), sizes.astype("<u4").tobytes(), None)]
             for a, b in zip(cut, cut[1:]):
-                used, at = np.unique(place[a:b], return_inverse=True)
-                out.append((int(bucket[a]), h[a:b].tobytes(), at.astype(np.uint16).tobytes(), all_ids[used].tobytes(), sizes[used].astype(np.uint32).tobytes()))
-            return pd.DataFrame(out, columns=["bucket", "h", "place", "ids", "sizes"])
+                used, count = np.unique(place[a:b], return_counts=True)
+                out.append((int(bucket[a]), block, ids[used].tobytes(), count.astype("<u4").tobytes(), _short(h[a:b])))
+            return pd.DataFrame(out, columns=["bucket", "block", "ids", "counts", "h"])
 
         for batch in batches:
             for text in batch["text"]:
@@ -110,98 +136,115 @@ def _packed(buckets: int):
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas over blocks sorted by bucket: (id, size, n, h) of each shingle that n > 1 distinct sets hold."""
+    """mapInPandas over parts sorted by bucket: back to each block the shingles that several distinct sets hold, and how many do."""
     bucket, held = None, []
     for batch in batches:
         for r in batch.itertuples(index=False):
+            if r.bucket < 0:
+                yield pd.DataFrame([(r.block, r.ids, r.counts, None, None, None)], columns=["block", "ids", "counts", "places", "often", "h"])
+                continue
             if r.bucket != bucket:
                 if held:
-                    yield from _shared_of_bucket(held)
+                    yield _shared_of_bucket(held)
                 bucket, held = r.bucket, []
-            at = np.frombuffer(r.place, np.uint16)
-            held.append((np.frombuffer(r.h, np.uint64), np.frombuffer(r.ids, np.int64)[at], np.frombuffer(r.sizes, np.uint32)[at]))
+            held.append((r.block, np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, "<u4"), _long(r.h)))
     if held:
-        yield from _shared_of_bucket(held)
+        yield _shared_of_bucket(held)
 
 
-def _shared_of_bucket(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
-    h, name, size = (np.concatenate(x) for x in zip(*held))
+def _shared_of_bucket(held: list[tuple]) -> pd.DataFrame:
+    h = np.concatenate([x[3] for x in held])
+    name = np.concatenate([np.repeat(x[1], x[2]) for x in held])
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     order = order[np.r_[same, False] | np.r_[False, same]]  # shingles that stand once are in no pair
     order = order[np.lexsort((name[order], h[order]))]
-    h, name, size = h[order], name[order], size[order]
-    fresh = np.r_[True, (np.diff(h) != 0) | (np.diff(name) != 0)][: len(h)]
-    h, name, size = h[fresh], name[fresh], size[fresh]
-    _, count = np.unique(h, return_counts=True)
-    n = np.repeat(count, count)
-    for a in range(0, len(h), 1 << 16):
-        part = slice(a, a + (1 << 16))
-        keep = n[part] > 1
-        yield pd.DataFrame({
-            "id": name[part][keep], "size": size[part][keep].astype(np.int64), "n": n[part][keep].astype(np.int64), "h": h[part][keep].view(np.int64),
-        })
+    hs, names = h[order], name[order]
+    new_h = np.r_[True, hs[1:] != hs[:-1]][: len(hs)]
+    fresh = new_h | np.r_[True, names[1:] != names[:-1]][: len(hs)]
+    run = np.cumsum(new_h) - 1
+    n = np.bincount(run[fresh], minlength=int(run[-1]) + 1 if len(run) else 0)
+    often = np.zeros(len(h), np.uint32)
+    often[order] = n[run]
+    out, at = [], 0
+    for block, ids, counts, part in held:
+        mine = often[at : at + len(part)]
+        at += len(part)
+        keep = np.flatnonzero(mine > 1)
+        if len(keep):
+            place = np.repeat(np.arange(len(ids)), counts)[keep]
+            used, place = np.unique(place, return_inverse=True)
+            out.append((block, ids[used].tobytes(), None, place.astype("<u2").tobytes(), mine[keep].astype("<u4").tobytes(), _short(part[keep])))
+    return pd.DataFrame(out, columns=["block", "ids", "counts", "places", "often", "h"])
+
+
+def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas over returned parts sorted by block, its sets first: (id, size, h) of each shared prefix shingle."""
+    block, sizes, parts = None, {}, []
 
+    def solve() -> pd.DataFrame:
+        name, often, h = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (list(zip(*parts)) or [[]] * 3))
+        order = np.lexsort((h, often, name))
+        name, often, h = name[order], often[order], h[order]
+        # Partitions that hold the same texts pack the same block.
+        fresh = np.r_[True, (name[1:] != name[:-1]) | (h[1:] != h[:-1])][: len(name)]
+        name, h = name[fresh], h[fresh]
+        known, at, n_shared = np.unique(name, return_inverse=True, return_counts=True)
+        size = np.fromiter((sizes[int(x)] for x in known), np.int64, len(known))
+        # Unshared shingles come first in the order and need no place: a prefix has what is left of it for shared ones.
+        left = n_shared - (FIFTHS * size + 4) // 5 + 1
+        rank = np.arange(len(name)) - np.r_[0, np.cumsum(n_shared)][at]
+        keep = rank < left[at]
+        return pd.DataFrame({"id": name[keep], "size": size[at[keep]], "h": h[keep].view(np.int64)})
 
-def alike(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Sizes of the intersection and of the union."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both, len(a) + len(b) - both
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if r.block != block:
+                if parts:
+                    yield solve()
+                block, sizes, parts = r.block, {}, []
+            ids = np.frombuffer(r.ids, np.int64)
+            if r.counts is not None:
+                sizes = dict(zip(ids.tolist(), np.frombuffer(r.counts, "<u4").tolist(), strict=True))
+            else:
+                parts.append((ids[np.frombuffer(r.places, "<u2")], np.frombuffer(r.often, "<u4"), _long(r.h)))
+    if parts:
+        yield solve()
 
 
 def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect exactly what links between all pairs of likeness 0.8 or more connect.
 
-    Every set is a hub or stands behind one that is at least so alike; the hubs that share a shingle
-    are found by an index, and sets behind a hub are compared only from likeness 0.6 to the hub on
-    and while they are not connected anyway.
+    A set's turn counts its shingles in all other sets at once. A pair inside one component adds
+    nothing, so turns end when all sets that had none are connected; the rarer parts go first.
     """
-    parent, links = list(range(len(sets))), []
-    behind: dict[int, list[int]] = {}
-    index: dict[int, list[int]] = {}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, s in enumerate(sets):
-        overlap: dict[int, int] = {}
-        for h in s.tolist():
-            for hub in index.get(h, ()):
-                overlap[hub] = overlap.get(hub, 0) + 1
-        home = None
-        near = []
-        for hub, both in overlap.items():
-            union = len(s) + len(sets[hub]) - both
-            if 5 * both >= FIFTHS * union:
-                home = hub if home is None else home
-                if find(i) != find(hub):
-                    parent[find(i)] = find(hub)
-                    links.append((i, hub))
-            if 5 * both >= (2 * FIFTHS - 5) * union:
-                near.append(hub)
-        for hub in near:
-            for j in behind[hub]:
-                if find(i) == find(j):
-                    break  # all that stand behind a hub are connected with it
-                both, union = alike(s, sets[j])
-                if 5 * both >= FIFTHS * union:
-                    parent[find(i)] = find(j)
-                    links.append((i, j))
-        if home is None:
-            behind[i] = []
-            for h in s.tolist():
-                index.setdefault(h, []).append(i)
-        else:
-            behind[home].append(i)
-    return links
-
-
-def _group_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas over rows (root, fp, text) sorted by root: links (a, b) of fingerprints."""
-    root, prints, sets = None, [], []
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    edges = np.r_[0, np.cumsum(np.bincount(shingle))]
+    order = np.argsort(shingle, kind="stable")
+    holders = np.repeat(np.arange(n), size)[order]
+    of_set = np.split(shingle, np.cumsum(size)[:-1])
+    label, waiting, links = np.arange(n), np.ones(n, bool), []
+    while True:
+        most = int(np.bincount(label[waiting], minlength=n).argmax())
+        turns = np.flatnonzero(waiting & (label != most))
+        if not len(turns):
+            return links
+        i = int(turns[0])
+        waiting[i] = False
+        both = np.bincount(np.concatenate([holders[edges[x] : edges[x + 1]] for x in of_set[i]]), minlength=n)
+        near = 5 * both >= FIFTHS * (size[i] + size - both)
+        near &= label != label[i]
+        if near.any():
+            found, at = np.unique(label[near], return_index=True)
+            links += [(i, int(j)) for j in np.flatnonzero(near)[at]]
+            label[np.isin(label, found)] = label[i]
+
+
+def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas over rows (root, cell, pair, fp, text) sorted by the first three: links (a, b) of fingerprints."""
+    name, prints, sets = None, [], []
 
     def solve() -> pd.DataFrame:
         found = group_links(sets)
@@ -209,37 +252,93 @@ def _group_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for r in batch.itertuples(index=False):
-            if r.root != root:
+            if (r.root, r.cell, r.pair) != name:
                 if len(sets) > 1:
                     yield solve()
-                root, prints, sets = r.root, [], []
+                name, prints, sets = (r.root, r.cell, r.pair), [], []
             prints.append(int(r.fp))
             sets.append(shingle_set(r.text))
     if len(sets) > 1:
         yield solve()
 
 
-def likeness_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
+def _cells(prefix: DataFrame, found: DataFrame, cell_shingles: int) -> DataFrame:
+    """(id, root, cell, pair): cells of bounded size that together hold every candidate pair.
+
+    ``prefix`` has the shared prefix shingles (id, size, h), ``found`` the groups (node, root). A small
+    group is one cell. A larger one has a cell for each prefix shingle, if that ships fewer rows than
+    pairs of its blocks do; cells that are still too large are dealt into pairs of blocks.
+    """
+    members = prefix.groupBy("id", "size").agg(F.count("*").alias("held"))
+    members = common.materialise(members.join(found, F.col("id") == F.col("node")).select("id", "size", "held", "root"), "likeness-members")
+    block = max(1, cell_shingles // 2)
+    blocks = F.ceil(F.col("total") / block)
+    groups = members.groupBy("root").agg(F.sum("size").alias("total"), F.sum("held").alias("held"), F.count("*").alias("n"))
+    big = common.materialise(groups.where(F.col("total") > cell_shingles).select("root", (F.col("held") < F.col("n") * blocks).alias("by_shingle")), "likeness-large")
+    n_big = big.count()
+    whole = members.select("id", "size", "root", F.lit(0).cast("long").alias("cell"))
+    if not n_big:
+        return whole.select("id", "root", "cell", F.lit(0).cast("long").alias("pair"))
+    marked = members.join(common.bounded_broadcast(big.withColumnRenamed("root", "root_"), n_big), F.col("root") == F.col("root_"), "left")
+    whole = marked.where(~F.coalesce("by_shingle", F.lit(False))).select(*whole.columns[:3], F.lit(0).cast("long").alias("cell"))
+    split = marked.where("by_shingle").select("id", "size", "root").join(prefix.select(F.col("id").alias("id_"), "h"), F.col("id") == F.col("id_"))
+    cells = common.materialise(whole.unionByName(split.select("id", "size", "root", F.col("h").alias("cell"))), "likeness-cells")
+    large = cells.groupBy("root", "cell").agg(F.sum("size").alias("total")).where(F.col("total") > cell_shingles)
+    large = common.materialise(large.select(F.col("root").alias("r"), F.col("cell").alias("c"), blocks.cast("long").alias("blocks")), "likeness-blocks")
+    cells = cells.join(common.bounded_broadcast(large, large.count()), (F.col("root") == F.col("r")) & (F.col("cell") == F.col("c")), "left")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    return cells.select("id", "root", "cell", F.explode(pairs).alias("pair"))
+
+
+def _may_be_in(key: Column, raw: bytes) -> Column:
+    """Whether a key's bit is set in a map."""
+
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+        for keys in batches:
+            yield pd.Series(bits[keys.to_numpy(np.int64) & (MAP_BITS - 1)].astype(bool))
+
+    return test(key)
+
+
+def _map_of(keys: DataFrame, key: str) -> bytes:
+    """A map of ``MAP_BITS`` bits of the keys; so much reaches the driver, however many keys there are."""
+    place = F.col(key).bitwiseAND(MAP_BITS - 1)
+    per_row = 1 << 15
+    rows = keys.groupBy((place / per_row).cast("int").alias("row")).agg(F.bitmap_construct_agg(place % per_row).alias("bits")).collect()
+    out = bytearray(MAP_BITS // 8)
+    for r in rows:
+        out[r["row"] * per_row // 8 : (r["row"] + 1) * per_row // 8] = r["bits"]
+    return bytes(out)
+
+
+def likeness_links(texts: DataFrame, prints: DataFrame, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """Links (a, b) among ``prints.fp`` that connect all texts of likeness 0.8 or more.
 
-    ``texts`` has the texts, ``prints`` the rows (fp, set) of the same texts with their :func:`set_ids`.
-    Texts with equal sets of shingles count as one set; texts without words are in no link.
+    ``texts`` has the texts, ``prints`` the rows (fp, set, digest) of the same texts with their
+    :func:`set_ids` and a 64-bit digest of the text. Texts with equal sets of shingles count as one set;
+    texts without words are in no link.
     """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.select("text").mapInPandas(_packed(n * BUCKETS), "bucket long, h binary, place binary, ids binary, sizes binary")
-    shared = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared, "id long, size long, n long, h long")
-    least = F.floor((F.col("size") * FIFTHS + 4) / 5).cast("int")
-    ordered = shared.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("o")).where(F.size("o") >= least)
-    prefix = ordered.select("id", F.explode(F.slice("o", F.lit(1), F.size("o") - least + 1)).alias("p")).select("id", "p.h")
-    prefix = common.materialise(prefix, "likeness-prefixes")
+    packed = texts.select("text").mapInPandas(_packed(n), PACKED)
+    shared = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared, RETURNED)
+    back = shared.repartition(n, "block").sortWithinPartitions("block", F.col("counts").isNull())
+    prefix = common.materialise(back.mapInPandas(_prefixes, "id long, size long, h long").distinct(), "likeness-prefixes")
     first = prefix.groupBy(F.col("h").alias("k")).agg(F.min("id").alias("b"))
     found = connected(prefix.join(first, F.col("h") == F.col("k")).select(F.col("id").alias("a"), "b"))
-    named = prints.where("`set` is not null").groupBy("set").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"))
-    found = found.join(named, F.col("node") == F.col("set")).select("node", "root", "fp")
-    found = common.materialise(found, "likeness-groups")
-    rows = texts.select("text", set_ids(F.col("text")).alias("id")).join(found, F.col("id") == F.col("node"))
-    rows = rows.groupBy("root", "id", "fp").agg(F.min("text").alias("text")).select("root", "fp", "text")
-    between = rows.repartition(n, "root").sortWithinPartitions("root").mapInPandas(_group_links, "a long, b long")
+    named = prints.where("`set` is not null").groupBy("set").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min("digest").alias("digest"))
+    cells = _cells(prefix, found, cell_shingles)
+    cells = cells.join(named, F.col("id") == F.col("set")).select(F.col("digest").alias("key"), "root", "cell", "pair", "fp")
+    cells = common.materialise(cells, "likeness-dealt")
+    # Only texts that may be in a cell are shuffled, and copies of one meet before that.
+    rows = texts.select("text", F.xxhash64("text").alias("digest"))
+    rows = rows.where(_may_be_in(F.col("digest"), _map_of(cells, "key"))).groupBy("digest").agg(F.min("text").alias("text"))
+    rows = rows.join(cells, F.col("digest") == F.col("key")).select("root", "cell", "pair", "fp", "text")
+    dealt = rows.repartition(n, "root", "cell", "pair").sortWithinPartitions("root", "cell", "pair")
+    between = dealt.mapInPandas(_cell_links, "a long, b long")
     # Equal sets in another order of words may have different fingerprints.
     equal = prints.join(named.where("fp <> other").select(F.col("set").alias("s"), F.col("fp").alias("b")), F.col("set") == F.col("s"))
     return between.unionByName(equal.select(F.col("fp").alias("a"), "b").where("a <> b"))

@@ -203,12 +203,12 @@ def near_duplicate_groups(
     table gives no rows; other columns are not read.
     """
     common.small_batches(docs.sparkSession)
-    sets = [set_ids(F.col("text")).alias("set")] if likeness else []
+    sets = [set_ids(F.col("text")).alias("set"), F.xxhash64("text").alias("digest")] if likeness else []
     prints = common.materialise(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp"), *sets), "simhash")
     classes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     links = hamming_links(classes.select("fp"), budget, max_trie)
     if likeness:
-        links = links.unionByName(likeness_links(docs.select("text"), prints.select("fp", "set")))
+        links = links.unionByName(likeness_links(docs.select("text"), prints.select("fp", "set", "digest")))
     found = connected(links)
     joined = common.materialise(found.join(classes, found.node == classes.fp).select("fp", "root", "first"), "simhash-linked")
     smallest = joined.groupBy("root").agg(F.min("first").alias("smallest"))
