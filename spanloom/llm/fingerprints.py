@@ -10,6 +10,7 @@ bin; chance agreement of those bits is taken out of the likeness.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from . import common
 SHINGLE, BINS, BITS = 5, 256, 8
 #: Tries of an empty bin that are written out; the whole sequence stands behind them.
 TRIES = 8
-#: Rows of a range of doc_ids, and the most ranges whose limits are found by percentiles.
-RANGE_ROWS, MAX_LIMITS = 1000, 256
+#: Rows that a range of doc_ids is meant to hold; the most ranges of each of two levels, and the most parts of one doc_id.
+RANGE_ROWS, MAX_LIMITS, MAX_PARTS = 1000, 256, 65_536
+RANGE = ("__r1", "__r2", "__r3")
 
 
 def words(text: Column) -> Column:
@@ -94,57 +96,94 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(corrected)
 
 
+def _shares(n: int) -> Column:
+    return F.array(*[F.lit(k / n) for k in range(n)])
+
+
+def _lows(limits: Column) -> Column:
+    """Distinct lower limits of ranges; a limit that percentiles repeat is a common id, which gets a range of its own."""
+    repeated = F.filter(limits, lambda v, i: (i > 0) & (v == F.get(limits, i - 1)) & (v < F.lit(2**63 - 1)))
+    return F.sort_array(F.array_distinct(F.concat(limits, F.transform(repeated, lambda v: v + 1))))
+
+
+def _place(lows: Column) -> Column:
+    """The number of the range that holds doc_id, from 1; 0 for a null one."""
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(F.greatest(F.lit(1), F.size(F.filter(lows, lambda b: b <= F.col("doc_id"))))).cast("int")
+
+
 def _ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) plus ``__range``: ranges of doc_id of about RANGE_ROWS rows each.
+    """``docs`` (doc_id, text) plus ``__hash`` of the text and the columns RANGE, whose order is that of doc_id, then hash.
 
-    Percentiles give at most MAX_LIMITS limits; between two of them ranges are of equal width, as
-    many as the row count asks for. Rows without doc_id are range -1, the last in descending order.
+    Percentiles split the ids into ranges, and percentiles inside each range split it again. A range
+    with a single id that too many rows share, null included, is split by the hash. The tables of
+    limits have at most one row for each range of a level.
     """
+    docs = docs.withColumn("__hash", F.xxhash64("text"))
     n = docs.count()
-    limits = max(1, min(MAX_LIMITS, n // RANGE_ROWS))
-    inner = -(-n // (limits * RANGE_ROWS)) if n else 1
-    shares = F.array(*[F.lit(k / limits) for k in range(limits)])
-    bounds = docs.agg(F.percentile_approx("doc_id", shares, F.lit(40 * limits)).alias("b"), F.max("doc_id").alias("top")).first()
-    lows = sorted(set(bounds["b"] or [0]))
-    highs = [*lows[1:], (bounds["top"] or 0) + 1]
-    lows_at, highs_at = F.lit(lows).cast("array<bigint>"), F.lit(highs).cast("array<bigint>")
-    at = F.greatest(F.lit(1), F.size(F.filter(lows_at, lambda b: b <= F.col("doc_id"))))
-    low, high = F.element_at(lows_at, at), F.element_at(highs_at, at)
-    part = F.floor((F.col("doc_id") - low) / (high - low).cast("double") * inner)
-    place = at * inner + F.greatest(F.lit(0), F.least(F.lit(inner - 1), part))
-    return docs.withColumn("__range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place).cast("long"))
+    first = max(1, min(MAX_LIMITS, n // RANGE_ROWS))
+    second = max(1, min(MAX_LIMITS, -(-n // (first * RANGE_ROWS))))
+    found = docs.agg(_lows(F.percentile_approx("doc_id", _shares(first), F.lit(40 * first))).alias("lows")).first()["lows"]
+    docs = docs.withColumn("__r1", _place(F.lit(found or [0]).cast("array<bigint>")))
+    inner = docs.groupBy(F.col("__r1").alias("k1")).agg(_lows(F.percentile_approx("doc_id", _shares(second), F.lit(40 * second))).alias("__lows"))
+    inner = common.materialise(inner, "fingerprint-limits")
+    docs = docs.join(F.broadcast(inner), F.col("__r1") == F.col("k1")).withColumn("__r2", _place(F.col("__lows"))).drop("k1", "__lows")
+    counts = docs.groupBy(F.col("__r1").alias("k1"), F.col("__r2").alias("k2")).agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    )
+    parts = F.least(F.lit(MAX_PARTS), F.ceil(F.col("n") / RANGE_ROWS)).cast("long").alias("__parts")
+    common_ids = counts.where(F.col("low").eqNullSafe(F.col("high")) & (F.col("n") > RANGE_ROWS)).select("k1", "k2", parts)
+    common_ids = common.materialise(common_ids, "fingerprint-common-ids")
+    docs = docs.join(F.broadcast(common_ids), (F.col("__r1") == F.col("k1")) & (F.col("__r2") == F.col("k2")), "left")
+    # The upper 32 bits of the hash as a number from 0, in the order of the signed hash.
+    upper = F.shiftright("__hash", 32) + F.lit(1 << 31)
+    part = F.shiftright(upper * F.coalesce("__parts", F.lit(1)), 32).cast("int")
+    return docs.withColumn("__r3", part).drop("k1", "k2", "__parts")
+
+
+def _following(tops: DataFrame) -> DataFrame:
+    """RANGE with ``into``: the range that precedes each in descending order, whose last row it follows; the first follows the last.
+
+    Windows run inside a range of the first level; one row of each of these, at most MAX_LIMITS and two for each
+    common id, is ordered as a whole.
+    """
+    place = F.struct(*RANGE)
+    inside = Window.partitionBy("__r1").orderBy(F.col("__r2").desc(), F.col("__r3").desc())
+    tops = tops.select(*RANGE, F.lead(place).over(inside).alias("__after"))
+    firsts = tops.groupBy("__r1").agg(F.max(place).alias("__first"))
+    down = Window.orderBy(F.col("__r1").desc())
+    top = F.max("__first").over(Window.partitionBy())
+    firsts = firsts.select(F.col("__r1").alias("k1"), F.coalesce(F.lead("__first").over(down), top).alias("__next"))
+    after = F.coalesce("__after", "__next").alias("__after")
+    return tops.join(F.broadcast(firsts), F.col("__r1") == F.col("k1")).select(place.alias("into"), after).select("into", "__after.*")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, signature, next_text, next_signature) by descending doc_id; after the last, the first.
 
-    Equal doc_ids are ordered by text. A window runs inside each range of doc_ids; the first row of
+    Equal doc_ids are ordered by a hash of the text, then by the text. A window runs inside each range; the first row of
     the range that follows is appended to a range as its last row, so no window spans the table.
     """
     docs = _ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    tops = common.materialise(docs.groupBy("__range").agg(F.max("doc_id").alias("top")), "fingerprint-tops")
+    tops = common.materialise(docs.groupBy(*RANGE).agg(F.max(F.struct("doc_id", "__hash")).alias("top")), "fingerprint-tops")
     n = tops.count()
-    follow = Window.orderBy(F.col("__range").desc())
-    after = F.coalesce(F.lead("__range").over(follow), F.max("__range").over(Window.partitionBy()))
-    after = tops.select(F.col("__range").alias("into"), after.alias("__range"))
-    heads = docs.join(
-        common.bounded_broadcast(tops, n).select(F.col("__range").alias("r"), "top"),
-        (F.col("__range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")),
-    ).groupBy("__range").agg(F.max("text").alias("text"))
-    ends = heads.join(after, "__range").select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.col("into").alias("__range"))
+    same = [F.col(c) == F.col(f"t{c}") for c in RANGE] + [F.col("doc_id").eqNullSafe(F.col("top.doc_id")), F.col("__hash") == F.col("top.__hash")]
+    named = tops.select(*[F.col(c).alias(f"t{c}") for c in RANGE], "top")
+    heads = docs.join(common.bounded_broadcast(named, n), reduce(lambda a, b: a & b, same)).groupBy(*RANGE).agg(F.max("text").alias("text"))
+    ends = heads.join(_following(tops), list(RANGE)).select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("__hash"), "into.*")
     every = docs.withColumn("__end", F.lit(False)).unionByName(ends.withColumn("__end", F.lit(True)))
     every = with_signature(every, "text", "signature")
-    order = Window.partitionBy("__range").orderBy("__end", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    order = Window.partitionBy(*RANGE).orderBy("__end", F.col("doc_id").desc_nulls_last(), F.col("__hash").desc(), F.col("text").desc())
     every = every.withColumn("next_text", F.lead("text").over(order)).withColumn("next_signature", F.lead("signature").over(order))
-    return every.where(~F.col("__end")).drop("__range", "__end")
+    return every.where(~F.col("__end")).select("doc_id", "text", "signature", "next_text", "next_signature")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts and of their edited texts, and their likeness to the edited and the next text.
 
     Defined cases: a null text is empty; a text without words has the fingerprint ''; a single row is
-    its own next; repeated rows repeat; a null doc_id comes last; no rows, no result; other columns
-    are not read.
+    its own next; repeated rows repeat, and all but the last of equal rows are followed by their equal;
+    a null doc_id comes last; equal doc_ids, null among them, are ordered by a hash of their texts and
+    are spread by it; no rows, no result; other columns are not read.
     """
     near = with_next(docs)
     m = F.floor(F.length("text") / 3).cast("int")
