@@ -52,18 +52,16 @@ def load_corpus(spark: SparkSession, name: str, path: str, split: str = "auto",
     raise ValueError(f"no corpus {name!r}; there are archive and dialogues")
 
 
-#: A table up to this size in fewer files than cores is dealt to all cores.
-SMALL_BYTES = 256 * 1024 * 1024
+#: A setting of the session: the number of partitions that a driver table is dealt to; unset, it is read where it is.
+PARTITIONS = "spanloom.tablePartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table.
 
-    A row group is read by one task. A small table in fewer files than the session has cores would
-    leave most of them idle in the steps that follow, so its rows are dealt out; larger tables, and
-    tables in many files, are read where they are.
+    A row group is read by one task. A session that reads tables of few row groups on many cores may
+    ask for its rows to be dealt out, by the setting ``PARTITIONS``; nothing here looks at their size.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
+    wanted = spark.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
