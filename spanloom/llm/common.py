@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+from ..sources.tables import table  # noqa: F401  the operators' queries read their tables by it
+
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints/spanloom"
 #: Rows of one Arrow batch, so that a batch of long texts stays small.
 ARROW_ROWS = 256
@@ -19,22 +21,6 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-#: A table up to this size in fewer files than cores is dealt to all cores.
-SMALL_BYTES = 256 * 1024 * 1024
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the rows of a small one in fewer files than cores are dealt to all cores.
-
-    A row group is read by one task, which would leave the other cores idle in the steps that follow.
-    Larger tables, and tables in many files, are read where they are.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,8 +30,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one for local runs."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one for local runs.
+
+    A cluster's executors don't share a machine's folders, so there the setting must be made.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+    return (folder or LOCAL_SHARED).rstrip("/")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

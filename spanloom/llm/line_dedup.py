@@ -84,7 +84,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     ``__n_dropped``. Defined cases: a null or empty text is one empty line and becomes ''; a row
     whose doc_id is null is neither counted nor changed; rows that share a doc_id count as one
     document and lose the same lines; a document whose lines all go keeps an empty text; an empty
-    table stays empty; other columns, whatever their names, pass through.
+    table stays empty; other columns, whatever their names, pass through, and where one already has
+    the name of a new column, the new one gets underscores behind it.
     """
     common.small_batches(docs.sparkSession)
     lines = common.materialise(
@@ -94,15 +95,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     dropped = (
         lines.join(common.bounded_broadcast(frequent, frequent.count()), "h")
         .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("__gone_id"))
-        .agg(F.collect_set("h").alias("__gone"))
+        .groupBy(F.col("doc_id").alias("gone_id"))
+        .agg(F.collect_set("h").alias("gone"))
     )
-    out = docs.join(dropped, F.col("doc_id") == F.col("__gone_id"), "left")
-    out = out.withColumn("__kept", _without(F.col("text"), F.col("__gone"), min_chars))
+    # The caller's row travels in one column, so that no name of it meets a name from here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(dropped, F.col("row.doc_id") == F.col("gone_id"), "left")
+    out = out.select("row", _without(F.col("row.text"), F.col("gone"), min_chars).alias("kept"))
+    n_lines, n_dropped = common.fresh(docs, "__n_lines", "__n_dropped")
     return out.select(
-        *[F.col("__kept.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.col("__kept.n_lines").alias("__n_lines"),
-        F.col("__kept.n_dropped").alias("__n_dropped"),
+        *[F.col("kept.text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+        F.col("kept.n_lines").alias(n_lines),
+        F.col("kept.n_dropped").alias(n_dropped),
     )
 
 

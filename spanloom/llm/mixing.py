@@ -84,18 +84,21 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it, all columns kept.
 
     A text is repeated only whole: a row at the cut is in if at least half of it fits. Rows of size 0
-    carry no words and are kept once, so that no clean row is lost. Rows that share a doc_id are
-    counted as one document with the sum of their sizes.
+    carry no words and are kept once, so that no clean row is lost. Defined cases: a null text has size
+    0; rows that share a doc_id and a source, null included, are counted as one document with the sum
+    of their sizes; an empty table stays empty; other columns, whatever their names, pass through.
     """
-    sized = docs.withColumn("__size", n_words())
-    one = sized.groupBy("doc_id", "source").agg(F.sum("__size").alias("size"))
+    # The caller's row travels in one column, so that no name of it meets a name from here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sized = docs.select("doc_id", "source", n_words().alias("size"))
+    one = sized.groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
     taken = mix(one, **how).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
-        F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times"),
+        F.col("doc_id").alias("id"), F.col("source").alias("of"),
+        F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("times"),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    out = docs.join(taken, same).where("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("of"))
+    out = rows.join(taken, same).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

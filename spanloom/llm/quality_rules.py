@@ -28,11 +28,13 @@ FEATURES = (
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``__s``: a struct of the base counts and of the features.
+    """``docs`` as the struct ``row``, plus ``s``: a struct of the base counts and of the features.
 
-    A null text has no words; rates of a text without words are 0.
+    A null text has no words; rates of a text without words are 0. Windows of three words are compared
+    by their 64-bit hashes, so counts of repeats are exact but for collisions of these.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
     inner = F.btrim(text, F.lit(common.SPACE_CHARS))
     words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, common.SPACE + "+"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(common.SPACE_CHARS)) != "")
@@ -70,7 +72,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     rates = F.struct(*[f.alias(n) for n, f in zip(FEATURES, features, strict=True)])
     whole = F.struct(F.col("__c.n_words").alias("n_words"), *base, rates.alias("f"))
     # As a generated column it is computed once: a filter on it can't be pushed below and repeat the work.
-    return df.withColumn("__s", F.explode(F.array(whole))).drop("__c")
+    return df.withColumn("s", F.explode(F.array(whole))).drop("__c")
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,7 @@ def _holds(rule: Rule, prefix: str = "") -> Column:
     return reduce(lambda a, b: a & b, [x.column(prefix) for x in rule], F.lit(True))
 
 
-def verdict(rules: list[Rule], prefix: str = "__s.f.") -> Column:
+def verdict(rules: list[Rule], prefix: str = "s.f.") -> Column:
     """The decision list as one ordered conditional expression: false at the first rule that holds, else true."""
     out = None
     for rule in rules:
@@ -185,9 +187,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[
         labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     )
     some = common.hash_sample(some, max_rows, "doc_id")
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(3)).cast("int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = with_statistics(rows).where(~_base_failed()).select("__s.f.*", (F.col("quality") == 0).cast("int").alias("bad"), part.alias("part"))
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
+    part = F.pmod(F.xxhash64(F.col("row.doc_id"), F.lit("part")), F.lit(3)).cast("int")
+    rows = rows.where(~_base_failed()).select("s.f.*", (F.col("row.quality") == 0).cast("int").alias("bad"), part.alias("part"))
     rows = common.materialise(rows, "quality-rows")
     rules = learn_rules(rows)
     common.remove(rows)
@@ -195,12 +197,21 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[
 
 
 def _base_failed() -> Column:
-    return (F.col("__s.n_words") < MIN_WORDS) | (100 * F.col("__s.n_repeat_words") > MAX_REPEATED * F.col("__s.n_words"))
+    return (F.col("s.n_words") < MIN_WORDS) | (100 * F.col("s.n_repeat_words") > MAX_REPEATED * F.col("s.n_words"))
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with ``__s``, ``__base_failed`` and ``__kept``."""
-    return with_statistics(docs).withColumn("__base_failed", _base_failed()).withColumn("__kept", ~F.col("__base_failed") & verdict(rules))
+    """``docs`` with ``__s`` (base counts and features), ``__base_failed`` and ``__kept``.
+
+    Defined cases: a null or blank text has no words and fails; repeated rows repeat; an empty table
+    stays empty; other columns, whatever their names, pass through, and where one already has the
+    name of a new column, the new one gets underscores behind it.
+    """
+    statistics, failed, kept = common.fresh(docs, "__s", "__base_failed", "__kept")
+    judged = with_statistics(docs).select("row", "s", _base_failed().alias("failed"), (~_base_failed() & verdict(rules)).alias("kept"))
+    return judged.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("s").alias(statistics), F.col("failed").alias(failed), F.col("kept").alias(kept)
+    )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

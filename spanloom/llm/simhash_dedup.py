@@ -239,6 +239,8 @@ def one_of_each_group(docs: DataFrame, budget: int = BUDGET, shingle: int = SHIN
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     keep = common.materialise(keep, "simhash-keep")
     repeated = keep.agg(F.max("n")).first()[0] or 0
-    ids = keep.select(F.col("doc_id").alias("__id"))
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # The caller's row travels in one column, so that no name of it meets a name from here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(keep.select("doc_id"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    kept = kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return kept.dropDuplicates(["doc_id"]) if repeated > 1 else kept

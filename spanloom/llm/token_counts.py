@@ -104,7 +104,7 @@ def count_documents(docs: DataFrame, cache: str, vocabulary: str | None = None,
     share a missing text, those with the smallest doc_id are encoded. Texts stay where they are if
     the rows to skip were counted and are few; otherwise they meet the rows to encode in a shuffle.
     Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and doc_ids repeat;
-    a null doc_id is encoded by itself; no rows, no result; other columns are not read.
+    a null doc_id is an id like any other, the last to be encoded for a text; no rows, no result; other columns are not read.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -118,10 +118,10 @@ def count_documents(docs: DataFrame, cache: str, vocabulary: str | None = None,
     first = keys.groupBy("content").agg(F.min("doc_id").alias("first"))
     misses = common.materialise(first.join(stored, "content", "left_anti"), "token-misses")
     missing = misses.select(F.col("content").alias("c"), F.col("first"), F.lit(1).alias("miss"))
-    skip = keys.where("doc_id is not null").join(missing, (F.col("content") == F.col("c")) & (F.col("doc_id") == F.col("first")), "left_anti")
+    skip = keys.join(missing, (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_anti")
     skip = common.materialise(skip.select(F.col("doc_id").alias("d"), F.col("content").alias("c")).distinct(), "token-skip")
     n_skip = skip.count()
-    same = (F.col("doc_id") == F.col("d")) & (F.col("content") == F.col("c"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))
     if n_skip <= SKIP_ROWS:
         fresh = texts.join(F.broadcast(skip), same, "left_anti")
     else:

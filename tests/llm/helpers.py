@@ -16,9 +16,23 @@ def awkward(spark):
     ]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     df = spark.createDataFrame(rows, schema)
-    for name in ("h", "fp", "key", "size", "rank", "words", "signature", "content", "first", "__w", "score", "n_lines"):
-        df = df.selectExpr("*", f"'clash' as `{name}`")
-    return df
+    return df.selectExpr("*", *[f"'clash' as `{name}`" for name in CLASHES])
+
+
+#: Names that operators use inside, or give to new columns.
+CLASHES = (
+    "h", "fp", "key", "size", "rank", "words", "signature", "content", "first", "score", "n_lines", "row", "kept", "gone", "gone_id", "s", "id",
+    "of", "times", "part", "taken", "start", "end", "k", "text_", "row.doc_id", "__w", "__l", "__h", "__p", "__r", "__c", "__s", "__id", "__source",
+    "__size", "__times", "__copy", "__gone", "__gone_id", "__kept", "__n_lines", "__n_dropped", "__base_failed", "__pii", "__toxicity", "__ids",
+    "__decoded", "__key", "__hash", "__end", "__range",
+)
+
+
+def same_values(df, out, but=()):
+    """Whether ``out`` has every row of ``df`` as often as ``df``, value for value, in all columns but the named ones."""
+    columns = [f"`{c}`" for c in df.columns if c not in but]
+    count = lambda d: sorted(map(str, d.select(*columns).collect()))
+    return count(df) == count(out)
 
 
 def write_tables(df, labels, folder: str) -> str:

@@ -1,18 +1,17 @@
 from pyspark.sql import functions as F
 
 from spanloom.llm import line_dedup
-from tests.llm.helpers import awkward
+from tests.llm.helpers import awkward, same_values
 
 
 def test_awkward_rows(spark):
     df = awkward(spark)
     out = line_dedup.dedup_lines(df)
-    assert out.count() == df.count()
-    assert set(df.columns) <= set(out.columns)
+    assert out.columns == [*df.columns, "__n_lines_", "__n_dropped_"] and same_values(df, out, but=["text"])
     got = {r["doc_id"]: r for r in out.where("doc_id >= 10").collect()}
     for k in range(5):
-        assert got[10 + k]["text"] == f"start {k}\nend {k}" and got[10 + k]["__n_dropped"] == 2 and got[10 + k]["__n_lines"] == 4
-    assert got[15]["__n_dropped"] == 0 and "This passage" in got[15]["text"]
+        assert got[10 + k]["text"] == f"start {k}\nend {k}" and got[10 + k]["__n_dropped_"] == 2 and got[10 + k]["__n_lines_"] == 4
+    assert got[15]["__n_dropped_"] == 0 and "This passage" in got[15]["text"]
     assert {r["text"] for r in out.where("doc_id = 1").collect()} == {""}
     assert out.where("doc_id = 3").select(F.length("text")).first()[0] == 150_000
 
@@ -23,7 +22,7 @@ def test_empty_table(spark):
 
 def test_four_documents_are_too_few(spark):
     df = awkward(spark).where("doc_id between 10 and 13")
-    assert line_dedup.dedup_lines(df).agg(F.sum("__n_dropped")).first()[0] == 0
+    assert line_dedup.dedup_lines(df).agg(F.sum("__n_dropped_")).first()[0] == 0
 
 
 def test_ascii_only_case_folding():

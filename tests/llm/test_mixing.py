@@ -58,3 +58,4 @@ def test_awkward_rows(spark):
     mixed = mixing.mix_documents(df)
     assert mixed.columns == df.columns and mixed.count() > 0
     assert mixed.where("text is null").count() == 2
+    assert mixed.exceptAll(df.union(df)).count() == 0  # each row whole, at most twice

@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 from spanloom.llm import quality_rules as q
-from tests.llm.helpers import awkward, labels, write_tables
+from tests.llm.helpers import awkward, labels, same_values, write_tables
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -17,7 +17,7 @@ def brute(text):
 
 
 def _base(df):
-    return q.with_statistics(df).select("doc_id", "text", *[f"__s.{n}" for n in NAMES])
+    return q.with_statistics(df).select("row.doc_id", "row.text", *[f"s.{n}" for n in NAMES])
 
 
 def test_statistics_on_all_documents(spark, sf):
@@ -59,3 +59,10 @@ def test_without_labels_base_rules_decide(spark, tmp_path):
 def test_native(spark, sf):
     plan = q.op2_quality_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_callers_columns_pass_through(spark):
+    df = awkward(spark)
+    out = q.judge(df, [(q.Literal("symbol_rate", True, 0.2),)])
+    assert out.columns == [*df.columns, "__s_", "__base_failed_", "__kept_"] and same_values(df, out)
+    assert q.judge(df.limit(0), []).count() == 0

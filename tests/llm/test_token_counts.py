@@ -55,6 +55,11 @@ def test_awkward_rows(spark, tmp_path):
     out = tc.count_documents(df, str(tmp_path / "cache"))
     assert out.count() == df.count()
     assert tc.count_documents(df.limit(0), str(tmp_path / "none")).count() == 0
+    # A second run finds every text in the cache, those without a doc_id too, and adds nothing.
+    rows = spark.read.parquet(str(tmp_path / "cache")).count()
+    again = tc.count_documents(df, str(tmp_path / "cache"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == rows
 
 
 def test_runs_that_the_faster_library_gives_up_on():

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from spanloom.llm import toxicity as t
-from tests.llm.helpers import awkward, labels, write_tables
+from tests.llm.helpers import awkward, labels, same_values, write_tables
 
 
 def brute_isotonic(score, y):
@@ -85,8 +85,8 @@ def test_awkward_rows(spark):
     df = awkward(spark)
     for some in ([], [(1, 1, 1), (1, 1, 0), (99, 1, 1), (3, None, None), (None, 1, 1)]):
         out = t.score_documents(df, labels(spark, some))
-        assert out.count() == df.count() and set(df.columns) <= set(out.columns)
-        assert all(0 <= r[0] <= 1 for r in out.select("__toxicity").collect())
+        assert out.columns == [*df.columns, "__toxicity_"] and same_values(df, out)
+        assert all(0 <= r[0] <= 1 for r in out.select("__toxicity_").collect())
     assert t.score_documents(df.limit(0), labels(spark)).count() == 0
 
 
