@@ -2,9 +2,15 @@
 
 The toxicity stage drops documents whose calibrated score reaches the operator's threshold; line
 dedup drops shared lines and keeps every document; SimHash near-dedup keeps the smallest doc_id of
-each group, with the operator's own shingles and bit budget; mixing repeats or drops whole documents
+each group, linked by the operator's bit budget or by a likeness of 0.8 of five-word shingles; mixing repeats or drops whole documents
 so that each source meets its target; the last stage encodes what is left. Counts of characters
 follow the texts.
+
+Defined cases of every stage but the last: the columns are those of its input; null and empty texts
+are clean, have one empty line (line dedup turns a null text into an empty one), link with each
+other, and are kept once by the mix; rows without a doc_id or a source are kept like others, but
+near-dedup keeps those without a doc_id only if no row of their group has one, and one row of
+each repeated doc_id; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ def _documents(df: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator accepts."""
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    kept = toxicity.score_documents(docs, labels).where(F.col("__toxicity") < toxicity.REJECT)
+    score = common.fresh(docs, "__toxicity")[0]
+    kept = toxicity.score_documents(docs, labels).where(F.col(score) < toxicity.REJECT)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
