@@ -103,7 +103,7 @@ def test_awkward_rows(spark):
     by = {(r["doc_id"], r["fp"]): r["component_id"] for r in out.collect()}
     assert by[(1, 0)] == by[(2, 0)] == by[(4, 0)] == by[(None, 0)] == 1
     kept = sd.one_of_each_group(df)
-    assert kept.columns == df.columns and kept.exceptAll(df).count() == 0
+    assert kept.columns == df.columns and set(map(str, kept.collect())) <= set(map(str, df.collect()))
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and 5 in ids and 6 not in ids and 1 in ids and 2 not in ids
     assert sd.near_duplicate_groups(df.limit(0)).count() == 0
