@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ASPECTS
+from ..config import ABBREVIATIONS, ASPECTS, SETTINGS
 from ..functions import text as T
 from ..operators import backends, compare, ground, metrics, report, retrieve, segment, summarise, validate
 from ..operators.embedders import HashingEmbedder
 from ..sources.tables import table
+from . import summary_sql as S
 
 QUERIES = ASPECTS["generic"]
+#: Dimensions of the stand-in embedder where a query sets none.
+DIMS = HashingEmbedder().dims
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +282,7 @@ def text_functions(spark, sf_dir):
 
 
 WS = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_ABBREVIATED = "dr|drs|mr|mrs|ms|prof|st|mt|sr|jr|vs|etc|eg|ie|cf|al|fig|figs|ref|refs|dept|approx|est|vol|ch|pp|sec|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|inc|ltd|co|corp|univ|hosp|assn"
+_ABBREVIATED = "|".join(sorted(ABBREVIATIONS))
 
 #: Pieces that end at each candidate boundary, flags, and islands between true boundaries.
 SENTENCES = rf"""
@@ -312,9 +315,12 @@ sentences AS (
 _TOKENS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:\.[0-9]+)?')"
 _ASKED = ", ".join(f"({k}, '{q}')" for k, q in enumerate(QUERIES))
 
-#: BM25 over the sentences of each document.
-BM25 = rf"""
-toks AS (SELECT doc_id, sent_ix AS chunk_ix, {_TOKENS.format("body")} AS t FROM sentences),
+
+
+def _bm25(units: str) -> str:
+    """BM25 over the units of each document: (doc_id, chunk_ix, body)."""
+    return rf"""
+toks AS (SELECT doc_id, chunk_ix, {_TOKENS.format("body")} AS t FROM {units}),
 sizes AS (SELECT doc_id, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY doc_id),
 tf AS (SELECT doc_id, chunk_ix, dl, term, count(*) AS tf FROM (SELECT doc_id, chunk_ix, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL),
 dfs AS (SELECT doc_id, term, n, avgdl, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN sizes USING (doc_id) GROUP BY doc_id, term, n, avgdl),
@@ -324,6 +330,28 @@ sparse AS (
   SELECT doc_id, query_ix, chunk_ix, sum(times * weight * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))) AS sparse_score
   FROM tf JOIN asked USING (term) JOIN weights USING (doc_id, term) GROUP BY ALL)
 """
+
+
+def _blended(dims: int) -> str:
+    """Cosine of hashed counts blended with BM25, both scaled by document and query."""
+    return f"""
+cells AS (SELECT doc_id, chunk_ix, ('0x' || substr(md5(term), 1, 8))::BIGINT % {dims} AS cell, sum(tf) AS n FROM tf GROUP BY ALL),
+norms AS (SELECT doc_id, chunk_ix, sum(n * n) AS norm FROM cells GROUP BY ALL),
+qcells AS (SELECT query_ix, ('0x' || substr(md5(term), 1, 8))::BIGINT % {dims} AS cell, sum(times) AS n FROM asked GROUP BY ALL),
+qnorms AS (SELECT query_ix, sum(n * n) AS norm FROM qcells GROUP BY ALL),
+dots AS (SELECT doc_id, chunk_ix, query_ix, sum(c.n * q.n) AS d FROM cells c JOIN qcells q USING (cell) GROUP BY ALL),
+every AS (SELECT doc_id, chunk_ix, query_ix, q.norm AS qnorm FROM toks, qnorms q),
+dense AS (SELECT doc_id, chunk_ix, query_ix, coalesce(d::DOUBLE / sqrt(norm::DOUBLE * qnorm::DOUBLE), 0) AS dense_score
+          FROM every LEFT JOIN dots USING (doc_id, chunk_ix, query_ix) LEFT JOIN norms USING (doc_id, chunk_ix)),
+both_ AS (SELECT doc_id, chunk_ix, query_ix, dense_score AS d, coalesce(sparse_score, 0) AS s FROM dense LEFT JOIN sparse USING (doc_id, chunk_ix, query_ix)),
+ranges AS (SELECT *, min(d) OVER w AS dl, max(d) OVER w AS dh, min(s) OVER w AS sl, max(s) OVER w AS sh FROM both_ WINDOW w AS (PARTITION BY doc_id, query_ix)),
+blended AS (SELECT doc_id, query_ix, chunk_ix, 0.65 * CASE WHEN dh - dl < 1e-9 THEN 0 ELSE (d - dl) / (dh - dl) END
+            + 0.35 * CASE WHEN sh - sl < 1e-9 THEN 0 ELSE (s - sl) / (sh - sl) END AS score FROM ranges)
+"""
+
+
+#: Sentences as the units that are ranked.
+_UNITS = "units AS (SELECT doc_id, sent_ix AS chunk_ix, body FROM sentences)"
 _NUM = r"regexp_extract_all({}, '\d+(?:[.,/]\d+)*')"
 _FORMS = (
     "list_concat([{0}, replace({0}, ',', '')], CASE WHEN contains({0}, '/') THEN flatten(list_transform("
@@ -352,6 +380,14 @@ def _rouge_sql(n: int) -> str:
     return _ROUGE.format(a=_TOKENS.format("s.text"), b=_TOKENS.format("u.text"), m=n - 1)
 
 
+_CHUNKS = f"WITH RECURSIVE {SENTENCES}, {S.PIECES}, {S.CHUNKS}".replace("[[:WS:]]", WS)
+_RETRIEVED = f"{_CHUNKS}, {_bm25('chunks')}, {_blended(DIMS)}"
+_SUMMARIES = f"{_RETRIEVED}, {S.KEPT}, " + ", ".join([
+    S.vectors("query", "query_ix", _TOKENS.format("q"), f"(VALUES {_ASKED}) AS v(query_ix, q)", DIMS),
+    S.CHOICES.format(vectors=S.vectors("candidate", "doc_id, pos", _TOKENS.format("body"), "candidates", DIMS), aspects=len(QUERIES)),
+])
+
+
 _SQL = {
     "token_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('''coalesce(text, '')''')} AS t FROM documents)",
     "sentences": f"WITH {SENTENCES} SELECT doc_id, sent_ix, start_at, end_at, md5(body) AS digest FROM sentences",
@@ -367,23 +403,11 @@ _SQL = {
                length(text) - length(regexp_extract(text, '{WS}+$')) AS last_end
         FROM documents WHERE regexp_matches(text, '[^\s\x0B\x1C-\x1F\x85\xA0]')""",
     "bm25_topk": f"""
-        WITH {SENTENCES}, {BM25}, rounded AS (SELECT doc_id, query_ix, chunk_ix, sparse_score AS score FROM sparse)
+        WITH {SENTENCES}, {_UNITS}, {_bm25("units")}, rounded AS (SELECT doc_id, query_ix, chunk_ix, sparse_score AS score FROM sparse)
         SELECT doc_id, query_ix::BIGINT AS query_ix, chunk_ix, row_number() OVER (PARTITION BY doc_id, query_ix ORDER BY round(score, 9) DESC, chunk_ix) AS rank, round(score, 7) AS score
         FROM rounded QUALIFY rank <= 3""",
     "hybrid_topk": f"""
-        WITH {SENTENCES}, {BM25},
-        cells AS (SELECT doc_id, chunk_ix, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS cell, sum(tf) AS n FROM tf GROUP BY ALL),
-        norms AS (SELECT doc_id, chunk_ix, sum(n * n) AS norm FROM cells GROUP BY ALL),
-        qcells AS (SELECT query_ix, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS cell, sum(times) AS n FROM asked GROUP BY ALL),
-        qnorms AS (SELECT query_ix, sum(n * n) AS norm FROM qcells GROUP BY ALL),
-        dots AS (SELECT doc_id, chunk_ix, query_ix, sum(c.n * q.n) AS d FROM cells c JOIN qcells q USING (cell) GROUP BY ALL),
-        every AS (SELECT doc_id, chunk_ix, query_ix, q.norm AS qnorm FROM toks, qnorms q),
-        dense AS (SELECT doc_id, chunk_ix, query_ix, coalesce(d::DOUBLE / sqrt(norm::DOUBLE * qnorm::DOUBLE), 0) AS dense_score
-                  FROM every LEFT JOIN dots USING (doc_id, chunk_ix, query_ix) LEFT JOIN norms USING (doc_id, chunk_ix)),
-        both_ AS (SELECT doc_id, chunk_ix, query_ix, dense_score AS d, coalesce(sparse_score, 0) AS s FROM dense LEFT JOIN sparse USING (doc_id, chunk_ix, query_ix)),
-        ranges AS (SELECT *, min(d) OVER w AS dl, max(d) OVER w AS dh, min(s) OVER w AS sl, max(s) OVER w AS sh FROM both_ WINDOW w AS (PARTITION BY doc_id, query_ix)),
-        blended AS (SELECT doc_id, query_ix, chunk_ix, 0.65 * CASE WHEN dh - dl < 1e-9 THEN 0 ELSE (d - dl) / (dh - dl) END
-                    + 0.35 * CASE WHEN sh - sl < 1e-9 THEN 0 ELSE (s - sl) / (sh - sl) END AS score FROM ranges)
+        WITH {SENTENCES}, {_UNITS}, {_bm25("units")}, {_blended(64)}
         SELECT doc_id, query_ix::BIGINT AS query_ix, chunk_ix, row_number() OVER (PARTITION BY doc_id, query_ix ORDER BY round(score, 9) DESC, chunk_ix) AS rank, round(score, 7) AS score
         FROM blended QUALIFY rank <= 3""",
     "cosine_topk": """
