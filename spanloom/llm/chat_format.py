@@ -52,16 +52,9 @@ def _render(source: str, schema: pa.Schema) -> Callable[[Iterable[pa.RecordBatch
         rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True))
         held: list[tuple] = []
         for conv, turns in groupby(rows, key=lambda r: r[0]):
-            n = 0
-
-            def messages(turns: Iterable = turns) -> Iterator[dict]:
-                nonlocal n
-                for _, turn, role, text in turns:
-                    n += 1
-                    yield {"turn": turn, "role": role or "", "text": text or ""}
-
-            text, spans = template.render(messages=messages())
-            held.append((conv, n, text, [{"start": a, "end": b} for a, b in spans]))
+            messages = [{"turn": turn, "role": role or "", "text": text or ""} for _, turn, role, text in turns]
+            text, spans = template.render(messages=messages)
+            held.append((conv, len(messages), text, [{"start": a, "end": b} for a, b in spans]))
             if len(held) >= common.ARROW_ROWS or len(text) > 1 << 20:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h, strict=True)) for h in held], schema)
                 held = []
@@ -75,8 +68,8 @@ def format_conversations(turns: DataFrame, template: str = TURNS) -> DataFrame:
     """One row (conv_id, n_turns, formatted, loss) for each conversation.
 
     The template sees ``messages``, each with turn, role and text, ordered by turn. Rows are dealt
-    by conversation and sorted on disk; a task then streams through them and holds one conversation's
-    output at a time, which is the row it returns. Defined cases: null role and text are empty; a
+    by conversation and sorted on disk; a task then streams through them and holds one conversation
+    and its output at a time, which is the row it returns. Defined cases: null role and text are empty; a
     null turn comes first; equal turns are ordered by role, then text; repeated rows repeat; rows
     without conv_id form one conversation; no rows, no result; other columns are not read.
     """

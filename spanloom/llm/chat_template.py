@@ -12,7 +12,7 @@ the values it is given.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
@@ -127,9 +127,21 @@ def _text(value: Any) -> str:
     raise TemplateError(f"can't print a {type(value).__name__}")
 
 
+def _apply(f: Callable, *args: Any) -> Any:
+    """A filter or an operator on values; what they can't be applied to is an error of the template."""
+    try:
+        return f(*args)
+    except (TypeError, AttributeError, ValueError) as e:
+        raise e if isinstance(e, TemplateError) else TemplateError(str(e)) from e
+
+
 # ---------------------------------------------------------------- parser
 
-_TAG = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#.*?#\}", re.DOTALL)
+_STRING = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*\""""
+# Strings are read whole, so the end of a tag may stand inside one.
+_TAG = re.compile(
+    rf"\{{\{{(-?)((?:{_STRING}|(?!-?\}}\}}).)*)(-?)\}}\}}|\{{%(-?)((?:{_STRING}|(?!-?%\}}).)*)(-?)%\}}|\{{#.*?#\}}", re.DOTALL
+)
 _TOKEN = re.compile(r"""\s*(?:(?P<int>\d+)|(?P<str>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-<>+~|.\[\](),]))""", re.DOTALL)
 _STRING_ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -324,14 +336,14 @@ def fold_expression(e: Any) -> Any:
     elif isinstance(e, Filter):
         e = Filter(e.name, fold_expression(e.arg), tuple(map(fold_expression, e.extra)))
         if all(isinstance(x, Const) for x in (e.arg, *e.extra)):
-            return Const(FILTERS[e.name](e.arg.value, *[x.value for x in e.extra]))
+            return Const(_apply(FILTERS[e.name], e.arg.value, *[x.value for x in e.extra]))
     elif isinstance(e, Op):
         e = Op(e.op, tuple(map(fold_expression, e.args)))
         first = e.args[0]
         if e.op in ("and", "or") and isinstance(first, Const):
             return e.args[1] if bool(first.value) == (e.op == "and") else first
         if e.op not in ("and", "or") and all(isinstance(x, Const) for x in e.args):
-            return Const(_OPS[e.op](*[x.value for x in e.args]))
+            return Const(_apply(_OPS[e.op], *[x.value for x in e.args]))
     return e
 
 
@@ -387,30 +399,25 @@ def _expression(e: Any) -> Callable[[dict], Any]:
         return lambda env: env.get(name)
     if isinstance(e, Item):
         of, key = _expression(e.of), _expression(e.key)
-        return lambda env: _lookup(of(env), key(env))
+        return lambda env: _apply(_lookup, of(env), key(env))
     if isinstance(e, Filter):
         f, arg, extra = FILTERS[e.name], _expression(e.arg), [_expression(x) for x in e.extra]
-        return lambda env: f(arg(env), *[x(env) for x in extra])
+        return lambda env: _apply(f, arg(env), *[x(env) for x in extra])
     args = [_expression(x) for x in e.args]
     if e.op == "and":
         return lambda env: args[0](env) and args[1](env)
     if e.op == "or":
         return lambda env: args[0](env) or args[1](env)
     op = _OPS[e.op]
-    return lambda env: op(*[a(env) for a in args])
+    return lambda env: _apply(op, *[a(env) for a in args])
 
 
-def _with_loop(items: Iterable) -> Iterator[tuple[Any, dict]]:
-    """Items with their loop variable; one item is read ahead, so a stream stays a stream."""
-    it, k = iter(items), 0
-    try:
-        now = next(it)
-    except StopIteration:
-        return
-    for after in it:
-        yield now, {"first": k == 0, "last": False, "index": k + 1, "index0": k}
-        now, k = after, k + 1
-    yield now, {"first": k == 0, "last": True, "index": k + 1, "index0": k}
+def _with_loop(items: Any) -> Iterator[tuple[Any, dict]]:
+    """Items with their loop variable."""
+    if not isinstance(items, (list, tuple, str, Mapping)):
+        raise TemplateError(f"a {type(items).__name__} is no list")
+    for k, item in enumerate(items):
+        yield item, {"first": k == 0, "last": k + 1 == len(items), "index": k + 1, "index0": k}
 
 
 def _body(body: tuple) -> Callable[[dict], Iterator]:
@@ -471,14 +478,14 @@ class Template:
         return self._run(values)
 
     def render(self, **values: Any) -> tuple[str, list[tuple[int, int]]]:
-        """The text and the (start, end) code points of its generated parts."""
-        out, spans, at, start = [], [], 0, 0
+        """The text and the (start, end) code points of its generated parts in order; parts inside parts have their own."""
+        out, spans, at, begun = [], [], 0, []
         for part in self.stream(**values):
             if part is BEGIN:
-                start = at
+                begun.append(at)
             elif part is END:
-                spans.append((start, at))
+                spans.append((begun.pop(), at))
             else:
                 out.append(part)
                 at += len(part)
-        return "".join(out), spans
+        return "".join(out), sorted(spans)

@@ -42,6 +42,36 @@ def test_malformed(source):
         Template(source)
 
 
+def test_messages_are_a_list(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    template = "{{ messages | length }} {{ messages[0].role }}{% for m in messages %} {{ m.text }}{% endfor %}{% for m in messages %}.{% endfor %}"
+    out = {r["conv_id"]: (r["n_turns"], r["formatted"]) for r in chat_format.format_conversations(df, template).collect()}
+    assert out == {1: (3, "3 system s u a..."), 2: (1, "1 user only.")}
+    assert {r["n_turns"] for r in chat_format.format_conversations(df, "no loop").collect()} == {1, 3}
+
+
+def test_generation_inside_generation():
+    text, spans = Template("{% generation %}ab{% generation %}cd{% endgeneration %}ef{% endgeneration %}").render()
+    assert text == "abcdef" and spans == [(0, 6), (2, 4)]
+
+
+def test_strings_hold_the_ends_of_tags():
+    assert Template("""{{ '}}' }}{{ "%}" }}{% if a == '%}' %}y{% endif %}{{- ' -}}' -}} z""").render(a="%}")[0] == "}}%}y -}}z"
+
+
+@pytest.mark.parametrize("source", ["{{ 1 + 'a' }}", "{{ 1 < 'a' }}", "{{ 3 | length }}", "{{ 'a' | escape(1) }}", "{{ 1 in 2 }}"])
+def test_constants_that_do_not_fit(source):
+    with pytest.raises(TemplateError):
+        Template(source)
+
+
+@pytest.mark.parametrize("source", ["{{ x | length }}", "{{ x + 'a' }}", "{% for y in x %}{% endfor %}", "{{ m[l] }}", "{{ x < 'a' }}", "{{ l }}"])
+def test_values_that_do_not_fit(source):
+    with pytest.raises(TemplateError):
+        Template(source).render(x=3, m={"a": 1}, l=[1])
+
+
 def test_sandbox():
     with pytest.raises(TemplateError):
         Template("{{ a.__class__ }}").render(a=object())
