@@ -1,4 +1,4 @@
-"""Command line: ``python -m spanloom summarize | inspect | compare | validate``."""
+"""Command line: ``python -m spanloom summarize | inspect | compare | validate | models``."""
 
 from __future__ import annotations
 
@@ -10,16 +10,34 @@ from pyspark.sql import functions as F
 
 from .config import ASPECTS, LENGTH_SENTENCES, SETTINGS, aspect_queries
 from .operators import compare, report, retrieve, segment, validate
-from .operators.backends import EchoGenerator, summarise
+from .operators.backends import EchoGenerator, Generator, summarise
 from .operators.summarise import select_chunks, summarise_extractive
+from .operators.transport import ChatClient, GenerationError, HttpTransport, LocalModel, required_key
 from .sources import files, tables
 
 BACKENDS = ("extractive", "api", "local", "remote", "verified")
 
 
-def _generator(name: str):
-    """The stand-in; a deployment passes its own generator to :func:`summarise`."""
-    return None if name == "extractive" else EchoGenerator()
+def _transport(args: argparse.Namespace) -> HttpTransport:
+    if not args.endpoint:
+        raise GenerationError("name the server with --endpoint and the variable that holds its key with --key-variable; the extractive backend needs neither")
+    return HttpTransport(args.endpoint, required_key(args.key_variable) if args.key_variable else "")
+
+
+def _generator(name: str, args: argparse.Namespace) -> Generator | None:
+    """What answers a backend's prompts: a server, a model's folder, or the stand-in if it is asked for."""
+    if name == "extractive":
+        return None
+    if args.stand_in:
+        return EchoGenerator()
+    if not args.model:
+        raise GenerationError(f"the {name} backend needs --model; the extractive backend needs none, and --stand-in tries out the formats")
+    return LocalModel(args.model) if name == "local" else ChatClient(_transport(args), args.model)
+
+
+def models(spark: SparkSession, args: argparse.Namespace) -> int:
+    print("\n".join(_transport(args).models()))
+    return 0
 
 
 def _documents(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -38,7 +56,7 @@ def summarize(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.backend == "extractive":
         out = summarise_extractive(docs, args.aspects, args.top_k, args.chunk_budget, args.max_sentences, args.length)
     else:
-        out = summarise(docs, args.backend, _generator(args.backend), args.aspects, args.top_k, args.chunk_budget, args.length)
+        out = summarise(docs, args.backend, _generator(args.backend, args), args.aspects, args.top_k, args.chunk_budget, args.length)
     if args.format == "html":
         report.write_pages(out, args.out or "summaries")
         print(f"pages are in {args.out or 'summaries'}")
@@ -55,7 +73,7 @@ def summarize(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def inspect(spark: SparkSession, args: argparse.Namespace) -> int:
-    docs = _documents(spark, args).select("doc_id", "text").limit(1)
+    docs = _documents(spark, args).select("doc_id", "text").orderBy("doc_id").limit(1)
     chunks = segment.checked(segment.chunks(docs)).orderBy("chunk_ix").collect()
     for c in chunks:
         print(f"  [{c['chunk_ix']:>3}] {c['start']:>6}-{c['end']:<6} {len(c['text']):>5}ch  {' '.join(c['text'].split())[:72]}")
@@ -75,7 +93,7 @@ def inspect(spark: SparkSession, args: argparse.Namespace) -> int:
 def compare_(spark: SparkSession, args: argparse.Namespace) -> int:
     names = args.backends.split(",")
     docs = _documents(spark, args)
-    rows = compare.timed(docs, {n: _generator(n) for n in names}, aspects=args.aspects, reference="reference")
+    rows = compare.timed(docs, {n: _generator(n, args) for n in names}, aspects=args.aspects, reference="reference")
     columns = ["backend", "n_docs", "failed", "sec_per_doc", "rouge1_f1", "rougeL_f1", "attribution_coverage", "citation_integrity", "numeric_fidelity", "error"]
     print(report.format_table(rows, columns))
     return 0
@@ -120,10 +138,19 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--format", default="text", choices=("text", "json", "html"))
             p.add_argument("--out")
             p.add_argument("--show-reference", action="store_true")
+        if name in ("summarize", "compare"):
+            p.add_argument("--endpoint", help="base address of a server of chat completions")
+            p.add_argument("--key-variable", help="the environment variable that holds the server's key")
+            p.add_argument("--model", help="the server's model, or the folder of a local one")
+            p.add_argument("--stand-in", action="store_true", help="answer with a deterministic stand-in, to try out the formats")
         if name == "inspect":
             p.add_argument("--query")
         if name == "compare":
             p.add_argument("--backends", default="extractive")
+    p = commands.add_parser("models")
+    p.set_defaults(run=models)
+    p.add_argument("--endpoint")
+    p.add_argument("--key-variable")
     p = commands.add_parser("validate")
     p.set_defaults(run=validate_)
     p.add_argument("summaries")
@@ -135,7 +162,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    return args.run(SparkSession.builder.appName("spanloom").getOrCreate(), args)
+    try:
+        return args.run(SparkSession.builder.appName("spanloom").getOrCreate(), args)
+    except GenerationError as e:
+        print(e, file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -95,18 +95,20 @@ def locate_quotes(quotes: DataFrame, chunk_rows: DataFrame, *keys: str) -> DataF
     ``chunk_rows`` has the keys and chunk_ix, start, text. Typographic variants and white space are
     matched loosely, case is not. A quote under the least length is never found.
     """
-    from pyspark.sql import Window
-
-    folded = strip(fold_typography(F.col("quote")))
-    asked = quotes.withColumn("__id", F.monotonically_increasing_id()).withColumn("__pattern", quote_pattern(F.col("quote")))
-    asked = asked.withColumn("__ask", F.length(folded) >= SETTINGS.min_quote)
-    shown = chunk_rows.select(*keys, F.col("chunk_ix").alias("__ix"), F.col("start").alias("__at"), fold_typography(F.col("text")).alias("__text"))
-    hits = asked.where("__ask").join(shown, list(keys)).withColumn("__pos", F.regexp_instr("__text", F.col("__pattern")))
-    first = Window.partitionBy("__id").orderBy("__ix")
-    hits = hits.where("__pos > 0").withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    start = F.col("__at") + F.col("__pos") - 1
-    hits = hits.select("__id", F.col("__ix").alias("chunk_ix"), start.alias("start"), (start + F.length(F.regexp_substr("__text", F.col("__pattern")))).alias("end"))
-    return asked.join(hits, "__id", "left").drop("__id", "__pattern", "__ask")
+    # Equal quotes under equal keys are searched once; they are told apart by their words, so no row needs a number.
+    names = {k: f"key_{n}" for n, k in enumerate(keys)}
+    asked = quotes.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()], F.col("quote").alias("words")).distinct()
+    asked = asked.where(F.length(strip(fold_typography(F.col("words")))) >= SETTINGS.min_quote).withColumn("pattern", quote_pattern(F.col("words")))
+    shown = chunk_rows.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()], "chunk_ix", "start", fold_typography(F.col("text")).alias("folded"))
+    hits = asked.join(shown, list(names.values())).withColumn("at", F.regexp_instr("folded", F.col("pattern"))).where("at > 0")
+    start = F.col("start") + F.col("at") - 1
+    place = F.struct("chunk_ix", start.alias("start"), (start + F.length(F.regexp_substr("folded", F.col("pattern")))).alias("end"))
+    first = hits.groupBy(*names.values(), "words").agg(F.min(place).alias("place"))
+    row = quotes.select(F.struct(*[F.col(f"`{c}`") for c in quotes.columns]).alias("row"))
+    same = F.col("row.quote") == F.col("words")
+    for k, v in names.items():
+        same &= F.col(f"row.`{k}`") == F.col(v)
+    return row.join(first, same, "left").select(*[F.col(f"row.`{c}`").alias(c) for c in quotes.columns], "place.chunk_ix", "place.start", "place.end")
 
 
 CHECKED = f"facts {FACTS}, quotes_asserted int, quotes_verified int, rejected_quotes array<string>"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,9 +147,20 @@ def to_html(results: DataFrame, title: str = "Document summary") -> DataFrame:
     return df.withColumn("html", page).drop("__m")
 
 
+def page_name(doc_id: object) -> str:
+    """The file name of a document's page: characters that no file system takes become underscores."""
+    return re.sub(r"[^\w.\-]", "_", str(doc_id)) + ".html"
+
+
 def write_pages(results: DataFrame, path: str, title: str = "Document summary") -> None:
-    """One HTML file in a folder for each document, written by the tasks."""
-    to_html(results, title).select(F.col("doc_id"), F.col("html").alias("value")).write.partitionBy("doc_id").text(path)
+    """One file ``{doc_id}.html`` for each document in a folder of this machine; pages pass through one at a time.
+
+    For a folder that a cluster shares, write the column of :func:`to_html` with Spark.
+    """
+    os.makedirs(path, exist_ok=True)
+    for row in to_html(results, title).select("doc_id", "html").toLocalIterator():
+        with open(os.path.join(path, page_name(row["doc_id"])), "w", encoding="utf-8") as file:
+            file.write(row["html"])
 
 
 def format_table(rows: list[dict], columns: list[str]) -> str:

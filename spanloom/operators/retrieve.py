@@ -113,11 +113,15 @@ def best_first() -> list[Column]:
     return [F.round("score", 9).desc(), F.col("chunk_ix")]
 
 
-def search(chunk_rows: DataFrame, queries: list[str], top_k: int = SETTINGS.top_k, embedder: Embedder | None = None) -> DataFrame:
-    """The best ``top_k`` chunks of each document for each query, with their rank; ties go to the earlier chunk."""
+def top(scores: DataFrame, k: int | Column) -> DataFrame:
+    """The best ``k`` chunks of each document for each query, with their rank; ties go to the earlier chunk."""
     order = Window.partitionBy("doc_id", "query_ix").orderBy(*best_first())
-    hits = scored(chunk_rows, queries, embedder).withColumn("rank", F.row_number().over(order))
-    return hits.where(F.col("rank") <= top_k)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search(chunk_rows: DataFrame, queries: list[str], top_k: int = SETTINGS.top_k, embedder: Embedder | None = None) -> DataFrame:
+    """The best ``top_k`` chunks of each document for each query by their blended score."""
+    return top(scored(chunk_rows, queries, embedder), top_k)
 
 
 def effective_top_k(n: Column, top_k: int = SETTINGS.top_k) -> Column:
@@ -138,9 +142,8 @@ def search_many(chunk_rows: DataFrame, queries: list[str], top_k: int = SETTINGS
         whole = F.lit(False)
     passed = rows.where(whole).select("doc_id", "chunk_ix", F.lit(None).cast("double").alias("score"))
     ranked = rows.where(~whole)
-    order = Window.partitionBy("doc_id", "query_ix").orderBy(*best_first())
-    hits = scored(ranked.drop("n"), queries, embedder).withColumn("rank", F.row_number().over(order)).join(counts, "doc_id")
-    best = hits.where(F.col("rank") <= effective_top_k(F.col("n"), top_k)).groupBy("doc_id", "chunk_ix").agg(F.max("score").alias("score"))
+    hits = top(scored(ranked.drop("n"), queries, embedder).join(counts, "doc_id"), effective_top_k(F.col("n"), top_k))
+    best = hits.groupBy("doc_id", "chunk_ix").agg(F.max("score").alias("score"))
     if budget is not None:
         by_score = Window.partitionBy("doc_id").orderBy(*best_first())
         best = best.withColumn("__r", F.row_number().over(by_score)).where(F.col("__r") <= budget).drop("__r")

@@ -22,17 +22,30 @@ def correlation(a: str, b: str) -> Column:
     return F.when(spread > 0, F.covar_pop(a, b) / F.when(spread > 0, spread))
 
 
+#: A value that at least one in so many rows has is common; there are no more common values than this.
+COMMON_SHARE = 1000
+
+
 def average_ranks(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     """(key, one rank column for each) with average ranks over the whole table, without a one-task window.
 
     Values are counted first; the running count is taken over distinct values, in ranges that are
-    offset by the totals of the ranges before them, so no window sees the whole table.
+    offset by the totals of the ranges before them, so no window sees the whole table. Common values,
+    a bounded number, meet the rows by broadcast; the rest by a join that no value dominates, in which rows
+    that need no partner are dealt out by their key.
     """
     out = rows.select(key, *columns)
+    total = rows.count()
     for c in columns:
-        counts = rows.groupBy(c).agg(F.count("*").alias("__n"))
-        out = out.join(prefix_counts(counts, c), out[c].eqNullSafe(F.col("__value")), "left")
-        out = out.withColumn(f"rank_{c}", F.when(F.col(c).isNotNull(), F.col("__before") + (F.col("__n") + 1) / 2)).drop("__value", "__n", "__before")
+        ranked = prefix_counts(rows.groupBy(c).agg(F.count("*").alias("__n")), c)
+        ranked = ranked.select("__value", (F.col("__before") + (F.col("__n") + 1) / 2).alias("__rank"), (F.col("__n") * COMMON_SHARE >= total).alias("__common"))
+        often = ranked.where("__common").select(F.col("__value").alias("__often"), F.col("__rank").alias("__often_rank"))
+        seldom = ranked.where("not __common").select(F.col("__value").alias("__seldom"), F.col("__rank").alias("__seldom_rank"), F.lit(0).alias("__none"))
+        out = out.join(F.broadcast(often), F.col(c) == F.col("__often"), "left")
+        done = F.col("__often_rank").isNotNull() | F.col(c).isNull()
+        out = out.withColumn("__want", F.when(~done, F.col(c))).withColumn("__deal", F.when(done, F.pmod(F.xxhash64(key), F.lit(1 << 20))).otherwise(0))
+        out = out.join(seldom, (F.col("__want") == F.col("__seldom")) & (F.col("__deal") == F.col("__none")), "left")
+        out = out.withColumn(f"rank_{c}", F.coalesce("__often_rank", "__seldom_rank")).drop("__often", "__often_rank", "__want", "__deal", "__seldom", "__seldom_rank", "__none")
     return out
 
 

@@ -6,7 +6,9 @@ different orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ABBREVIATIONS, ASPECTS, SETTINGS
@@ -48,12 +50,14 @@ def paragraphs(spark, sf_dir):
 
 
 def chunks(spark, sf_dir):
-    return segment.with_titles(segment.checked(segment.chunks(_docs(spark, sf_dir))))
+    rows = segment.with_titles(segment.checked(segment.chunks(_docs(spark, sf_dir))))
+    return rows.select("doc_id", F.col("chunk_ix").cast("long"), F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "title", _digest("text").alias("digest"))
 
 
 def chunk_windows(spark, sf_dir):
     rows = segment.windows(segment.chunks(_docs(spark, sf_dir)), 4)
-    return rows.groupBy("doc_id", "window_ix").agg(F.count("*").alias("n_chunks"), F.min("start").alias("start_at"), F.max("end").alias("end_at"))
+    counts = rows.groupBy("doc_id", F.col("window_ix").cast("long").alias("window_ix"))
+    return counts.agg(F.count("*").alias("n_chunks"), F.min("start").cast("long").alias("start_at"), F.max("end").cast("long").alias("end_at"))
 
 
 def chunk_integrity(spark, sf_dir):
@@ -72,7 +76,8 @@ def chunk_integrity(spark, sf_dir):
 
 def sentences_within(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return segment.sentences_within(segment.sentences(docs), segment.chunks(docs), 40).drop("text")
+    rows = segment.sentences_within(segment.sentences(docs), segment.chunks(docs), SETTINGS.min_sentence)
+    return rows.select("doc_id", F.col("sent_ix").cast("long"), F.col("chunk_ix").cast("long"), F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -83,21 +88,19 @@ def _units(spark, sf_dir) -> DataFrame:
     return segment.sentences(_docs(spark, sf_dir)).withColumnRenamed("sent_ix", "chunk_ix")
 
 
-def _ranked(scores: DataFrame, column: str, most: int) -> DataFrame:
-    scores = scores.withColumn("score", F.col(column)).withColumn("tied", F.round("score", 9))
-    order = Window.partitionBy("doc_id", "query_ix").orderBy(F.col("tied").desc(), "chunk_ix")
-    top = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return top.select(
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select(
         "doc_id", F.col("query_ix").cast("long"), F.col("chunk_ix").cast("long"), F.col("rank").cast("long"), F.round("score", 7).alias("score")
     )
 
 
 def bm25_topk(spark, sf_dir):
-    return _ranked(retrieve.bm25(_units(spark, sf_dir), QUERIES), "sparse_score", 3)
+    scores = retrieve.bm25(_units(spark, sf_dir), QUERIES).withColumnRenamed("sparse_score", "score")
+    return _ranked(retrieve.top(scores, 3))
 
 
 def hybrid_topk(spark, sf_dir):
-    return _ranked(retrieve.scored(_units(spark, sf_dir), QUERIES, HashingEmbedder(64)), "score", 3)
+    return _ranked(retrieve.search(_units(spark, sf_dir), QUERIES, 3, HashingEmbedder(64)))
 
 
 def cosine_topk(spark, sf_dir):
@@ -108,14 +111,18 @@ def cosine_topk(spark, sf_dir):
 
 def retrieved_chunks(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return retrieve.search_many(segment.chunks(docs), QUERIES, budget=4).select("doc_id", "chunk_ix", F.round("score", 6).alias("score"))
+    hits = retrieve.search_many(segment.chunks(docs), QUERIES, budget=4)
+    return hits.select("doc_id", F.col("chunk_ix").cast("long"), F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- summaries and grounding
 
 
 def extractive_summary(spark, sf_dir):
-    return summarise.summarise_extractive(_docs(spark, sf_dir)).drop("text")
+    """Each summary, how many facts it has, and where each stands: chunk, start and end."""
+    out = summarise.summarise_extractive(_docs(spark, sf_dir))
+    source = lambda f: F.concat_ws(":", F.get(f["sources"], F.lit(0))["chunk_ix"], F.get(f["sources"], F.lit(0))["start"], F.get(f["sources"], F.lit(0))["end"])
+    return out.select("doc_id", "summary", F.size("facts").cast("long").alias("n_facts"), F.array_join(F.transform("facts", source), ",").alias("spans"), "stop_reason")
 
 
 def summary_scores(spark, sf_dir):
@@ -132,7 +139,7 @@ def quote_verify(spark, sf_dir):
     """
     quotes = table(spark, sf_dir, "benchmark").select("item_id", T.fold_typography(F.col("text")).alias("quote"))
     quotes = quotes.where(F.length(T.strip(F.col("quote"))) >= 12).withColumn("w", T.word_list(F.col("quote")))
-    quotes = quotes.select("item_id", T.quote_pattern(F.col("quote")).alias("pattern"), T.squeeze(F.col("quote")).alias("squeezed_quote"), "w")
+    quotes = quotes.select("item_id", "quote", T.squeeze(F.col("quote")).alias("squeezed_quote"), "w")
     key = F.when(F.size("w") >= 7, F.xxhash64(*[F.get("w", F.lit(k)) for k in range(1, 6)]))
     quotes = quotes.withColumn("key", key).drop("w")
     n, n_short = quotes.count(), quotes.where("key is null").count()
@@ -147,10 +154,11 @@ def quote_verify(spark, sf_dir):
         there = F.contains(F.col("squeezed"), F.col("squeezed_quote"))
         squeezed = docs.select("doc_id", T.squeeze(T.fold_typography(F.col("text"))).alias("squeezed"))
         pairs = pairs.unionByName(squeezed.join(short, there).select("doc_id", "item_id"))
-    found = pairs.join(few(quotes.select("item_id", "pattern")), "item_id").join(docs, "doc_id")
-    found = found.withColumn("folded", T.fold_typography(F.col("text"))).withColumn("at", F.regexp_instr("folded", F.col("pattern")))
-    end = F.col("at") - 1 + F.length(F.regexp_substr("folded", F.col("pattern")))
-    return found.where("at > 0").select("item_id", "doc_id", (F.col("at") - 1).cast("long").alias("start_at"), end.cast("long").alias("end_at"))
+    # What is found by words or by containment is checked, and placed, by the library's own search, the text as one chunk.
+    asked = pairs.join(few(quotes.select("item_id", "quote")), "item_id")
+    shown = docs.select("doc_id", F.lit(0).alias("chunk_ix"), F.lit(0).alias("start"), "text")
+    found = ground.locate_quotes(asked, shown, "doc_id").where("chunk_ix is not null")
+    return found.select("item_id", "doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"))
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -212,12 +220,14 @@ def span_merge(spark, sf_dir):
 
 def verified_claims(spark, sf_dir):
     out = backends.summarise(_docs(spark, sf_dir), "verified", backends.EchoGenerator())
-    return out.select("doc_id", "usage.quotes_asserted", "usage.quotes_verified", "usage.citation_precision", F.size("facts").alias("n_facts"))
+    count = lambda c: F.col(f"usage.{c}").cast("long").alias(c)
+    return out.select("doc_id", count("quotes_asserted"), count("quotes_verified"), "usage.citation_precision", F.size("facts").cast("long").alias("n_facts"))
 
 
 def native_citations(spark, sf_dir):
     out = backends.summarise(_docs(spark, sf_dir), "api", backends.EchoGenerator(invent=False))
-    return out.select("doc_id", F.size("facts").alias("n_facts"), metrics.citation_integrity(F.col("facts"), F.col("text")).alias("integrity"))
+    said = F.md5(F.array_join(F.transform("facts", lambda f: F.concat_ws(":", f["text"], F.get(f["sources"], F.lit(0))["start"], F.get(f["sources"], F.lit(0))["end"])), "|"))
+    return out.select("doc_id", F.size("facts").cast("long").alias("n_facts"), metrics.citation_integrity(F.col("facts"), F.col("text")).alias("integrity"), said.alias("said"))
 
 
 def grounded_prose(spark, sf_dir):
@@ -260,10 +270,13 @@ def block_means(spark, sf_dir):
 
 
 def claims_json(spark, sf_dir):
-    """JSON properties of events by type: parsed rows, and the sum of a number."""
-    props = F.from_json("props", "map<string,string>")
-    rows = table(spark, sf_dir, "events").select("event_type", F.explode(props).alias("key", "value"))
-    return rows.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+    """Replies that carry a turn as claim and its beginning as quote, in three of the forms that models use, read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    claims = F.array(F.struct(F.col("text").alias("claim"), F.left("text", F.lit(40)).alias("quote")), F.struct(F.lit("").alias("claim"), F.lit("none").alias("quote")))
+    whole = F.to_json(F.struct(claims.alias("claims")))
+    reply = F.when(F.col("turn") % 3 == 0, whole).when(F.col("turn") % 3 == 1, F.to_json(claims)).otherwise(F.concat(F.lit("Sure: "), whole, F.lit(" done")))
+    found = turns.select("conv_id", "turn", F.explode(ground.parse_claims(reply)).alias("c"))
+    return found.select("conv_id", "turn", F.md5("c.claim").alias("claim"), F.md5("c.quote").alias("quote"))
 
 
 def tag_strip(spark, sf_dir):
@@ -388,6 +401,16 @@ _SUMMARIES = f"{_RETRIEVED}, {S.KEPT}, " + ", ".join([
 ])
 
 
+_NAMES = ("pieces", "flags", "cuts", "islands", "raw", "stripped", "sentences")
+#: The first three sentences of the chunks that a model sees, each chunk split by itself, with their places in the document.
+_SAID = f"""{_RETRIEVED}, {S.KEPT},
+excerpts AS (SELECT doc_id * 100000 + chunk_ix AS doc_id, body AS text FROM chunks JOIN kept USING (doc_id, chunk_ix)),
+{re.sub(rf"\b({'|'.join(_NAMES)})\b(?= AS [(]|[ ),]|$)", r"excerpt_\1", SENTENCES.replace("FROM documents", "FROM excerpts"), flags=re.M)},
+said AS (
+  SELECT c.doc_id, x.body, c.start_at + x.start_at AS a, c.start_at + x.end_at AS b, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.chunk_ix, x.sent_ix) AS r
+  FROM excerpt_sentences x JOIN chunks c ON c.doc_id = x.doc_id // 100000 AND c.chunk_ix = x.doc_id % 100000 QUALIFY r <= 3)"""
+
+
 _SQL = {
     "token_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('''coalesce(text, '')''')} AS t FROM documents)",
     "sentences": f"WITH {SENTENCES} SELECT doc_id, sent_ix, start_at, end_at, md5(body) AS digest FROM sentences",
@@ -402,6 +425,24 @@ _SQL = {
         SELECT doc_id, 0::BIGINT AS n_wrong, 0::BIGINT AS n_too_long, 0::BIGINT AS n_gaps, length(regexp_extract(text, '^{WS}+')) AS first_start,
                length(text) - length(regexp_extract(text, '{WS}+$')) AS last_end
         FROM documents WHERE regexp_matches(text, '[^\s\x0B\x1C-\x1F\x85\xA0]')""",
+    "chunks": f"""{_CHUNKS}
+        SELECT doc_id, chunk_ix, start_at, end_at, '[' || chunk_ix || '] chars ' || start_at || '-' || end_at AS title, md5(body) AS digest FROM chunks""",
+    "chunk_windows": f"{_CHUNKS} SELECT doc_id, chunk_ix // 4 AS window_ix, count(*) AS n_chunks, min(start_at) AS start_at, max(end_at) AS end_at FROM chunks GROUP BY ALL",
+    "sentences_within": f"{_CHUNKS} SELECT doc_id, sent_ix, chunk_ix, start_at, end_at FROM within",
+    "retrieved_chunks": f"""{_RETRIEVED},
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, query_ix ORDER BY round(score, 9) DESC, chunk_ix) AS r, count(*) OVER (PARTITION BY doc_id, query_ix) AS n FROM blended),
+        best AS (SELECT doc_id, chunk_ix, max(score) AS score FROM ranked WHERE r <= CASE WHEN n <= {SETTINGS.top_k} THEN {SETTINGS.top_k} ELSE least(n, {SETTINGS.top_k_max}) END GROUP BY doc_id, chunk_ix)
+        SELECT doc_id, chunk_ix, round(score, 6) AS score FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, chunk_ix) <= 4""",
+    "extractive_summary": f"""{_SUMMARIES}
+        SELECT doc_id, coalesce(summary, '') AS summary, coalesce(n_facts, 0) AS n_facts, coalesce(spans, '') AS spans, CASE WHEN n_facts > 0 THEN 'end_turn' END AS stop_reason
+        FROM documents LEFT JOIN summaries USING (doc_id)""",
+    "rouge_l": f"""
+        WITH RECURSIVE pairs AS (
+          SELECT s.conv_id * 100000 + s.turn AS pair_id, {_TOKENS.format("s.text")} AS a, {_TOKENS.format("u.text")} AS b
+          FROM conversations s JOIN conversations u ON u.conv_id = s.conv_id AND u.turn + 1 = s.turn WHERE s.role = 'assistant'), {S.LCS},
+        pr AS (SELECT pair_id, CASE WHEN len(a) > 0 THEN coalesce(lcs, 0)::DOUBLE / len(a) ELSE 0 END AS x, CASE WHEN len(b) > 0 THEN coalesce(lcs, 0)::DOUBLE / len(b) ELSE 0 END AS y
+               FROM pairs LEFT JOIN common USING (pair_id))
+        SELECT pair_id, round(x, 9) AS precision, round(y, 9) AS recall, round(CASE WHEN x + y > 0 THEN 2 * x * y / (x + y) ELSE 0 END, 9) AS f1 FROM pr""",
     "bm25_topk": f"""
         WITH {SENTENCES}, {_UNITS}, {_bm25("units")}, rounded AS (SELECT doc_id, query_ix, chunk_ix, sparse_score AS score FROM sparse)
         SELECT doc_id, query_ix::BIGINT AS query_ix, chunk_ix, row_number() OVER (PARTITION BY doc_id, query_ix ORDER BY round(score, 9) DESC, chunk_ix) AS rank, round(score, 7) AS score
@@ -453,9 +494,14 @@ _SQL = {
                      rank() OVER (ORDER BY toxic) + (count(*) OVER (PARTITION BY toxic) - 1) / 2.0 AS c FROM r)
         SELECT count(*) AS n, round(corr(a, b), 9) AS n_chars_quality, round(corr(a, c), 9) AS n_chars_toxic, round(corr(b, c), 9) AS quality_toxic FROM k""",
     "block_means": "SELECT doc_id // 100 AS block, count(*) AS n, round(avg(n_chars), 9) AS n_chars FROM documents GROUP BY doc_id // 100",
-    "claims_json": """
-        SELECT event_type, key, count(*) AS n, count(DISTINCT v) AS n_values
-        FROM (SELECT event_type, key, json_extract_string(props, '$."' || key || '"') AS v FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)) GROUP BY event_type, key""",
+    "claims_json": "SELECT conv_id, turn, md5(text) AS claim, md5(left(text, 40)) AS quote FROM conversations WHERE text <> ''",
+    "verified_claims": f"""{_SAID}
+        SELECT doc_id, coalesce(n + 1, 0) AS quotes_asserted, coalesce(long_enough, 0) AS quotes_verified,
+               CASE WHEN n IS NULL THEN 1.0 ELSE round(long_enough::DOUBLE / (n + 1), 4) END::DOUBLE AS citation_precision, coalesce(n + 1, 0) AS n_facts
+        FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (length(body) >= {SETTINGS.min_quote}) AS long_enough FROM said GROUP BY doc_id) USING (doc_id)""",
+    "native_citations": f"""{_SAID}
+        SELECT doc_id, coalesce(n, 0) AS n_facts, 1.0::DOUBLE AS integrity, md5(coalesce(facts, '')) AS said
+        FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(body || ':' || a || ':' || b, '|' ORDER BY r) AS facts FROM said GROUP BY doc_id) USING (doc_id)""",
     "tag_strip": "SELECT page_id, length(b) AS n_chars, md5(b) AS digest FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS b FROM pages)",
     "text_functions": rf"""
         SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped,

@@ -14,23 +14,32 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"', maxCharsPerColumn=-1)
 
 
-def load_dialogues(spark: SparkSession, path: str, split: str = "validation", limit: int | None = None, prefix: str = "mts") -> DataFrame:
-    """(doc_id, text, reference, lang, meta) of a CSV with ID, dialogue, section_text and section_header."""
+def load_dialogues(spark: SparkSession, path: str, split: str = "validation", limit: int | None = None, prefix: str = "dialogue") -> DataFrame:
+    """(doc_id, text, reference, lang, meta) of a CSV with ID, dialogue, section_text and section_header.
+
+    Rows with a blank side go first; a limit then takes the smallest IDs, as numbers where they are numbers.
+    """
     rows = read_csv(spark, path)
     body = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     meta = F.create_map(F.lit("section_header"), F.coalesce("section_header", F.lit("")), F.lit("split"), F.lit(split))
     out = rows.select(
         F.concat_ws("-", F.lit(prefix), F.lit(split), "ID").alias("doc_id"), body("dialogue").alias("text"), body("section_text").alias("reference"),
-        F.lit("en").alias("lang"), meta.alias("meta"),
+        F.lit("en").alias("lang"), meta.alias("meta"), "ID",
     ).where("text <> '' and reference <> ''")
-    return out if limit is None else out.limit(limit)
+    if limit is not None:
+        out = out.orderBy(F.col("ID").try_cast("bigint"), "ID").limit(limit)
+    return out.drop("ID")
 
 
 def positional_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two single-file tables side by side by row number, as ``pos``; their row counts must agree.
 
     A multi-line CSV file is read by one task, which numbers its rows; this is for files of that size.
+    Tables of several files have no row order, so they are an error.
     """
+    for df in (left, right):
+        if len(df.inputFiles()) > 1:
+            raise ValueError("rows of several files have no order to pair them by")
     n, m = left.count(), right.count()
     if n != m:
         raise ValueError(f"{n} rows do not pair with {m}")

@@ -49,7 +49,7 @@ def test_archive(spark, tmp_path):
 def test_dialogues_and_pairs(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_bytes('﻿ID,section_header,section_text,dialogue\r\n0,GENHX,"A ""b""\nc",Doctor: x\r\n1,CC,,y\r\n2,CC,z,w\r\n'.encode())
-    rows = tables.load_dialogues(spark, str(path), "train").collect()
+    rows = tables.load_dialogues(spark, str(path), "train", prefix="mts").collect()
     assert [(r["doc_id"], r["reference"], r["meta"]["section_header"]) for r in rows] == [("mts-train-0", 'A "b"\nc', "GENHX"), ("mts-train-2", "z", "CC")]
     assert tables.load_corpus(spark, "dialogues", str(path), limit=1).count() == 1
     with pytest.raises(ValueError):
@@ -59,6 +59,10 @@ def test_dialogues_and_pairs(spark, tmp_path):
     assert sorted((r["pos"], r["ID"]) for r in tables.positional_pairs(left, right).collect()) == [(0, "0"), (1, "1"), (2, "2")]
     with pytest.raises(ValueError):
         tables.positional_pairs(left, right.limit(2))
+    assert [r["doc_id"] for r in tables.load_dialogues(spark, str(path), "train", limit=1).collect()] == ["dialogue-train-0"]
+    right.repartition(3).write.parquet(str(tmp_path / "several"))
+    with pytest.raises(ValueError):
+        tables.positional_pairs(left, spark.read.parquet(str(tmp_path / "several")))
     tables.write_csv(right, str(tmp_path / "out"))
     assert tables.read_csv(spark, str(tmp_path / "out")).count() == 3
 
