@@ -29,8 +29,9 @@ from . import common
 #: Code points of a chunk and of the part it shares with the next one; larger chunks grow by a factor.
 CHUNK, OVERLAP, GROW = 1 << 16, 1 << 10, 8
 RANKS = "byte_bpe_50k.tiktoken"
+CODED = "ids binary, decoded binary"
 #: Pre-tokens whose ids a worker remembers, and the longest of them.
-CACHED, CACHED_CHARS = 1 << 18, 64
+CACHED, CACHED_CHARS = 1 << 16, 64
 
 
 @lru_cache(maxsize=4)
@@ -158,17 +159,20 @@ def _piece_ids(part: Column, start: Column, end: Column, path: str) -> Column:
     return ids(part, start, end)
 
 
-def _joined(pieces: Column) -> Column:
-    @F.pandas_udf("binary")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _joined(pieces: Column, path: str) -> Column:
+    """Ids and decoded bytes of the pieces of a text."""
+
+    @F.pandas_udf(CODED)
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.Series([b"".join(bytes(p["ids"]) for p in row) for row in rows], dtype=object)
+            ids = [b"".join(bytes(p["ids"]) for p in row) for row in rows]
+            yield pd.DataFrame({"ids": ids, "decoded": [decode_ids(i, path) for i in ids]})
 
     return whole(pieces)
 
 
 def _long_ids(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
-    """(key, ids) of the distinct texts of (key, text), each longer than ``chunk``; key is a digest of the text."""
+    """(key, coded) of the distinct texts of (key, text), each longer than ``chunk``; key is a digest of the text."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = texts.mapInPandas(_cut(chunk, overlap), "key string, k int, part string")
     # Copies of a text meet before the shuffle; what is left is spread by chunk.
@@ -187,13 +191,13 @@ def _long_ids(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFram
     end = F.coalesce("at", F.length("part"))
     pieces = pieces.select("key", "k", _piece_ids(F.col("part"), F.coalesce("start", F.lit(0)), end, path).alias("ids"))
     out = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("pieces"))
-    out = out.select("key", _joined(F.col("pieces")).alias("ids"))
+    out = out.select("key", _joined(F.col("pieces"), path).alias("coded"))
     if apart.isEmpty():
         return out
     again = texts.join(apart, "key", "left_semi")
     longer = F.length("text") > chunk * GROW
     whole = again.where(~longer).groupBy("key").agg(F.first("text").alias("text"))
-    return out.unionByName(whole.select("key", encode(F.col("text"), path).alias("ids"))).unionByName(
+    return out.unionByName(whole.select("key", encode_and_decode(F.col("text"), path).alias("coded"))).unionByName(
         _long_ids(again.where(longer), path, chunk * GROW, overlap * GROW)
     )
 
@@ -212,6 +216,18 @@ def encode(text: Column, path: str) -> Column:
     return ids(text)
 
 
+def encode_and_decode(text: Column, path: str) -> Column:
+    """A struct of packed ids and of their raw bytes, in one pass through the workers."""
+
+    @F.pandas_udf(CODED)
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            ids = [encode_piece(t, path) for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [decode_ids(i, path) for i in ids]})
+
+    return both(text)
+
+
 def decode(ids: Column, path: str) -> Column:
     """Raw bytes of a packed id column; bytes, as ids cut anywhere need not be valid UTF-8. No ids or null: no bytes."""
 
@@ -236,15 +252,15 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
         raise ValueError("an overlap has at least 4 code points and at most those of a chunk")
     path = path or public_tokenizers.path(RANKS)
     common.small_batches(docs.sparkSession)
-    key, ids, decoded = common.fresh(docs, "__key", "__ids", "__decoded")
+    key, coded, ids, decoded = common.fresh(docs, "__key", "__coded", "__ids", "__decoded")
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    out = docs.where(~is_long).withColumn(ids, encode(F.col("text"), path))
+    out = docs.where(~is_long).withColumn(coded, encode_and_decode(F.col("text"), path))
     long_docs = docs.where(is_long).withColumn(key, F.sha2("text", 256))
     if not long_docs.isEmpty():
         found = common.materialise(_long_ids(long_docs.select(F.col(key).alias("key"), "text"), path, chunk, overlap), "bpe-ids")
-        found = found.select(F.col("key").alias(key), F.col("ids").alias(ids))
-        out = out.unionByName(long_docs.join(found, key).select(*[F.col(f"`{c}`") for c in docs.columns], ids))
-    return out.withColumn(decoded, decode(F.col(ids), path))
+        found = found.select(F.col("key").alias(key), F.col("coded").alias(coded))
+        out = out.unionByName(long_docs.join(found, key).select(*[F.col(f"`{c}`") for c in docs.columns], coded))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{coded}.ids").alias(ids), F.col(f"{coded}.decoded").alias(decoded))
 
 
 def token_digests(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

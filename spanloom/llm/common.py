@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table  # noqa: F401  the operators' queries read their tables by it
@@ -13,6 +16,8 @@ from ..sources.tables import table  # noqa: F401  the operators' queries read th
 LOCAL_SHARED = "file:///tmp/checkpoints/spanloom"
 #: Rows of one Arrow batch, so that a batch of long texts stays small.
 ARROW_ROWS = 256
+#: Bits of the map that tells which rows may have a key of another table.
+MAP_BITS = 1 << 24
 #: A table is broadcast only if it was counted and has at most so many narrow rows.
 BROADCAST_ROWS = 20_000
 #: The white space of all word and line rules here, as a Java/RE2 character class and as characters.
@@ -67,6 +72,30 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def map_of(keys: DataFrame, key: str) -> bytes:
+    """A map of ``MAP_BITS`` bits of 64-bit keys; so much reaches the driver, however many keys there are."""
+    place = F.col(key).bitwiseAND(MAP_BITS - 1)
+    per_row = 1 << 15
+    rows = keys.groupBy((place / per_row).cast("int").alias("row")).agg(F.bitmap_construct_agg(place % per_row).alias("bits")).collect()
+    out = bytearray(MAP_BITS // 8)
+    for r in rows:
+        out[r["row"] * per_row // 8 : (r["row"] + 1) * per_row // 8] = r["bits"]
+    return bytes(out)
+
+
+def may_be_in(key: Column, bits: bytes) -> Column:
+    """Whether a key's bit is set in a map: false only for keys that are not in it. A full map only lets more through."""
+
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = np.frombuffer(bits, np.uint8)
+        for keys in batches:
+            place = keys.to_numpy(np.int64) & (MAP_BITS - 1)
+            yield pd.Series((table[place >> 3] >> (place & 7) & 1).astype(bool))
+
+    return test(key)
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are few; beyond that the plan shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -24,10 +24,9 @@ from .components import connected
 
 #: Words in a shingle, hash seed, fifths of the union that two linked sets share.
 WORDS, SEED, FIFTHS = 5, 42, 4
-#: Shingles and sets of one packed block; the bytes of a hash that are shipped. A hash cut short can only add candidates.
-BLOCK_SHINGLES, BLOCK_SETS, HASH_BYTES = 1 << 18, 1 << 15, 6
-#: Bits of the map that tells which texts may be in a candidate group; a full map only lets more through.
-MAP_BITS = 1 << 24
+#: Shingles and sets of one packed block; buckets of shingles for each shuffle partition, which are solved one by one;
+#: the bytes of a hash that are shipped. A hash cut short can only add candidates.
+BLOCK_SHINGLES, BLOCK_SETS, BUCKETS, HASH_BYTES = 1 << 18, 1 << 15, 2, 6
 #: Shingles that one cell holds; larger groups and cells are dealt into blocks of half as many.
 CELL_SHINGLES = 1 << 20
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -292,29 +291,6 @@ def _cells(prefix: DataFrame, found: DataFrame, cell_shingles: int) -> DataFrame
     return cells.select("id", "root", "cell", F.explode(pairs).alias("pair"))
 
 
-def _may_be_in(key: Column, raw: bytes) -> Column:
-    """Whether a key's bit is set in a map."""
-
-    @F.pandas_udf("boolean")
-    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
-        for keys in batches:
-            yield pd.Series(bits[keys.to_numpy(np.int64) & (MAP_BITS - 1)].astype(bool))
-
-    return test(key)
-
-
-def _map_of(keys: DataFrame, key: str) -> bytes:
-    """A map of ``MAP_BITS`` bits of the keys; so much reaches the driver, however many keys there are."""
-    place = F.col(key).bitwiseAND(MAP_BITS - 1)
-    per_row = 1 << 15
-    rows = keys.groupBy((place / per_row).cast("int").alias("row")).agg(F.bitmap_construct_agg(place % per_row).alias("bits")).collect()
-    out = bytearray(MAP_BITS // 8)
-    for r in rows:
-        out[r["row"] * per_row // 8 : (r["row"] + 1) * per_row // 8] = r["bits"]
-    return bytes(out)
-
-
 def likeness_links(texts: DataFrame, prints: DataFrame, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """Links (a, b) among ``prints.fp`` that connect all texts of likeness 0.8 or more.
 
@@ -323,7 +299,7 @@ def likeness_links(texts: DataFrame, prints: DataFrame, cell_shingles: int = CEL
     texts without words are in no link.
     """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.select("text").mapInPandas(_packed(n), PACKED)
+    packed = texts.select("text").mapInPandas(_packed(n * BUCKETS), PACKED)
     shared = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_shared, RETURNED)
     back = shared.repartition(n, "block").sortWithinPartitions("block", F.col("counts").isNull())
     prefix = common.materialise(back.mapInPandas(_prefixes, "id long, size long, h long").distinct(), "likeness-prefixes")
@@ -335,7 +311,7 @@ def likeness_links(texts: DataFrame, prints: DataFrame, cell_shingles: int = CEL
     cells = common.materialise(cells, "likeness-dealt")
     # Only texts that may be in a cell are shuffled, and copies of one meet before that.
     rows = texts.select("text", F.xxhash64("text").alias("digest"))
-    rows = rows.where(_may_be_in(F.col("digest"), _map_of(cells, "key"))).groupBy("digest").agg(F.min("text").alias("text"))
+    rows = rows.where(common.may_be_in(F.col("digest"), common.map_of(cells, "key"))).groupBy("digest").agg(F.min("text").alias("text"))
     rows = rows.join(cells, F.col("digest") == F.col("key")).select("root", "cell", "pair", "fp", "text")
     dealt = rows.repartition(n, "root", "cell", "pair").sortWithinPartitions("root", "cell", "pair")
     between = dealt.mapInPandas(_cell_links, "a long, b long")

@@ -236,11 +236,13 @@ def one_of_each_group(docs: DataFrame, budget: int = BUDGET, shingle: int = SHIN
     document, of which one row stays; rows without a doc_id stay if no row of their group has one.
     """
     groups = near_duplicate_groups(docs, budget, shingle, max_trie)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = common.materialise(keep, "simhash-keep")
-    repeated = keep.agg(F.max("n")).first()[0] or 0
-    # The caller's row travels in one column, so that no name of it meets a name from here.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(keep.select("doc_id"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left_semi")
-    kept = kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
+    ids = common.materialise(groups.groupBy("doc_id").agg(F.sum(stays).alias("n"), F.xxhash64("doc_id").alias("key")), "simhash-ids")
+    repeated = ids.agg(F.max("n")).first()[0] or 0
+    gone = ids.where("n = 0")
+    # The caller's row travels in one column, so that no name of it meets a name from here. Only rows that may go are shuffled.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id").alias("key"))
+    rows = rows.withColumn("suspect", common.may_be_in(F.col("key"), common.map_of(gone, "key")))
+    left = rows.where("suspect").join(gone.select(F.col("doc_id").alias("id")), F.col("row.doc_id").eqNullSafe(F.col("id")), "left_anti")
+    kept = rows.where("not suspect").unionByName(left).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return kept.dropDuplicates(["doc_id"]) if repeated > 1 else kept

@@ -74,7 +74,7 @@ class _Odds(dict):
         found = [self.words[word]] if word in self.words else []
         found += [self.stems[word[:n]] for n in STEMS if word[:n] in self.stems and len(word) >= n]
         value = max(found, default=0.0)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value
         return value
