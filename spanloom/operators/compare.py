@@ -8,20 +8,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import aspect_queries
 from .backends import Generator, summarise
 from .embedders import Embedder
 from .metrics import SCORES, aggregate, score
+from .summarise import select_chunks
 
 
 def compare(docs: DataFrame, backends: dict[str, Generator | None], aspects: str | list[str] = "generic", reference: str | None = None, embedder: Embedder | None = None) -> DataFrame:
     """(backend, doc_id, scores..., failed, error): every document scored under every backend.
 
-    The plans share one scan of ``docs``. A document that fails or is refused is a row with ``failed``.
+    Chunks are chosen once and kept for all backends. A document that fails or is refused is a row with ``failed``.
     """
     parts = []
     extra = [F.col("doc_id").alias("__id"), F.col(reference).alias("__ref")] if reference else None
+    chosen = select_chunks(docs.select("doc_id", "text"), aspect_queries(aspects), embedder=embedder)
+    chosen = chosen.persist() if len(backends) > 1 else chosen
     for name, generator in backends.items():
-        out = summarise(docs, name, generator, aspects, embedder=embedder)
+        out = summarise(docs, name, generator, aspects, embedder=embedder, chosen=chosen)
         if extra:
             out = out.join(docs.select(*extra), F.col("doc_id") == F.col("__id"))
         failed = F.col("error").isNotNull() | F.col("refusal").isNotNull()

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS, aspect_queries, sentence_cap
 from ..functions.batches import bounded
 from ..functions import kernels
-from .embedders import Embedder, HashingEmbedder
-from .retrieve import search_many
-from .segment import SPANS, chunk_array, explode_spans
+from .embedders import _TOKENS, Embedder, HashingEmbedder
 
 #: One source span of a fact; support is null where the span is authoritative.
 SOURCE = "struct<cited_text:string,chunk_ix:int,start:int,end:int,support:double>"
 FACTS = f"array<struct<text:string,sources:array<{SOURCE}>>>"
+CHUNKS = "array<struct<ix:int,start:int,end:int>>"
 RESULT = f"summary string, facts {FACTS}"
 
 
@@ -54,45 +53,49 @@ def _facts(text: Column, chunk_spans: Column, queries: list[str], cap: int | Non
     return choose(text, chunk_spans)
 
 
-#: A text up to this length has at most 32 chunks: every second chunk that reached the target is apart
-#: from the others and at least 1200 long, and every third early flush spans over 2400 characters of its
-#: own, which makes at most length * (2 / 1200 + 3 / 2400) + 6 chunks.
-SURELY_WHOLE = 8000
+def chosen_chunks(text: Column, queries: list[str], top_k: int, budget: int | None, embedder: Embedder) -> Column:
+    """The (ix, start, end) of the chunks that retrieval keeps.
 
+    All statistics of retrieval are a document's own, so a text is chunked, scored and ranked in its row.
+    Without a budget a text of few chunks keeps all of them and is not scored.
+    """
+    bounded()
 
-def select_chunks(docs: DataFrame, queries: list[str], top_k: int = SETTINGS.top_k, budget: int | None = None, embedder: Embedder | None = None) -> DataFrame:
-    """``docs`` (doc_id, text) plus ``chunks_used``: the (ix, start, end) of the chunks that retrieval keeps.
+    @F.pandas_udf(CHUNKS)
+    def choose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        asked, words = embedder.encode(queries), [_TOKENS.findall(q.lower()) for q in queries]
+        for texts in batches:
+            out = []
+            for text in texts:
+                spans = kernels.chunk_spans(text or "")
+                kept = range(len(spans))
+                if spans and (budget is not None or len(spans) > max(top_k, SETTINGS.top_k_max)):
+                    parts = [text[a:b] for a, b in spans]
+                    sparse = kernels.scaled(kernels.bm25([_TOKENS.findall(p.lower()) for p in parts], words))
+                    dense = kernels.scaled(asked @ embedder.encode(parts).T)
+                    kept = kernels.retrieved(SETTINGS.dense_weight * dense + (1 - SETTINGS.dense_weight) * sparse, top_k, budget)
+                out.append([{"ix": k, "start": spans[k][0], "end": spans[k][1]} for k in kept])
+            yield pd.Series(out, dtype=object)
 
-    Only documents whose chunks outnumber what is kept are scored; the rest never leave their row.
-    """
-    every = F.transform("__chunks", lambda c, k: F.struct(k.alias("ix"), c["start"].alias("start"), c["end"].alias("end")))
-    limit = F.lit(0 if budget is not None else max(top_k, SETTINGS.top_k_max))
-    length = F.coalesce(F.length("text"), F.lit(0))
-    sure = F.lit(0 if budget is not None else SURELY_WHOLE)
-    chunks = chunk_array(F.col("text"))
-    short = docs.where(length <= sure).withColumn("__chunks", chunks).select("*", every.alias("chunks_used")).drop("__chunks")
-    chunked = docs.where(length > sure).withColumn("__chunks", chunks)
-    small = (F.size("__chunks") <= limit) | (F.size("__chunks") == 0)
-    passed = short.unionByName(chunked.where(small).select("*", every.alias("chunks_used")).drop("__chunks"))
-    large = chunked.where(~small)
-    rows = explode_spans(large, F.col("__chunks"), "chunk_ix")
-    kept = search_many(rows, queries, top_k, budget, embedder).groupBy("doc_id").agg(F.collect_set("chunk_ix").alias("__kept"))
-    chosen = F.filter(every, lambda c: F.array_contains("__kept", c["ix"]))
-    ranked = large.join(kept, "doc_id", "left").withColumn("chunks_used", F.coalesce(chosen, every)).drop("__chunks", "__kept")
-    return passed.unionByName(ranked)
+    return choose(text)
+
+
+def select_chunks(docs: DataFrame, queries: list[str], top_k: int = SETTINGS.top_k, budget: int | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) plus ``chunks_used``: the (ix, start, end) of the chunks that retrieval keeps. Nothing is shuffled."""
+    return docs.withColumn("chunks_used", chosen_chunks(F.col("text"), queries, top_k, budget, embedder or HashingEmbedder()))
 
 
 def summarise_extractive(
     docs: DataFrame, aspects: str | list[str] = "generic", top_k: int = SETTINGS.top_k, chunk_budget: int | None = None,
-    max_sentences: int | None = None, length: str | None = None, embedder: Embedder | None = None,
+    max_sentences: int | None = None, length: str | None = None, embedder: Embedder | None = None, chosen: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, text, summary, facts, chunks_used, stop_reason): one row for each document, also an empty one.
 
-    doc_id is taken as unique where chunks are scored. A null text gives an empty summary.
+    ``chosen`` may be what :func:`select_chunks` has made of the same documents. A null text gives an empty summary.
     """
     embedder, queries = embedder or HashingEmbedder(), aspect_queries(aspects)
     cap = sentence_cap(max_sentences, length)
-    chosen = select_chunks(docs.select("doc_id", "text"), queries, top_k, chunk_budget, embedder)
+    chosen = select_chunks(docs.select("doc_id", "text"), queries, top_k, chunk_budget, embedder) if chosen is None else chosen
     out = chosen.withColumn("facts", _facts(F.col("text"), F.col("chunks_used"), queries, cap, embedder))
     summary = F.array_join(F.transform("facts", lambda f: f["text"]), " ")
     stop = F.when(F.size("facts") > 0, "end_turn")

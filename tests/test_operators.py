@@ -171,6 +171,20 @@ def test_hybrid_scores_against_a_twin(spark, documents):
     assert {r["chunk_ix"] for r in retrieve.search_many(chunks, queries, embedder=embedder).collect()} == best
 
 
+def test_chunks_chosen_in_the_row_are_those_of_the_joined_search(spark, documents):
+    """Two ways to one result: kernels inside a row, and joins over chunk rows."""
+    for budget in (None, 3):
+        df = documents.where("doc_id in (-4, -3, 1, 2, 3)")
+        queries = ["topic 3 of the report, the number", "sentence 12"]
+        inside = {r["doc_id"]: {c["ix"] for c in r["chunks_used"]} for r in summarise.select_chunks(df, queries, budget=budget).collect()}
+        joined = {}
+        for r in retrieve.search_many(segment.chunks(df), queries, budget=budget).collect():
+            joined.setdefault(r["doc_id"], set()).add(r["chunk_ix"])
+        assert {k: v for k, v in inside.items() if v} == joined
+    plan = summarise.summarise_extractive(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan") <= 3
+
+
 def test_effective_top_k(spark):
     df = spark.createDataFrame([(3,), (8,), (20,), (5000,)], "n int")
     assert [r[0] for r in df.select(retrieve.effective_top_k(F.col("n"))).collect()] == [8, 8, 20, 32]
