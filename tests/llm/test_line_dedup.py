@@ -33,3 +33,12 @@ def test_against_sql(spark, duck, sf):
     want = sorted(duck.sql(line_dedup.OP6_SQL).select("doc_id, n_lines, n_dropped, kept_sha256").fetchall())
     got = sorted(tuple(r) for r in line_dedup.op6_line_dedup(spark, sf).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect())
     assert got == want
+
+
+def test_lines_that_are_too_many_to_broadcast(spark, sf, monkeypatch):
+    from spanloom.llm import common
+
+    rows = lambda: sorted(map(tuple, line_dedup.op6_line_dedup(spark, sf).collect()))
+    want = rows()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert rows() == want

@@ -66,3 +66,30 @@ def test_callers_columns_pass_through(spark):
     out = q.judge(df, [(q.Literal("symbol_rate", True, 0.2),)])
     assert out.columns == [*df.columns, "__s_", "__base_failed_", "__kept_"] and same_values(df, out)
     assert q.judge(df.limit(0), []).count() == 0
+
+
+def plain_features(text):
+    """The features that rules test, from their definition."""
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = brute(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n_lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+    per_word, per_line = max(1, n_words), max(1, n_lines)
+    return {
+        "n_words": n_words, "mean_word": word_chars / per_word, "symbol_rate": n_symbols / per_word, "duplicate_lines": n_dup_lines / per_line,
+        "repeated_words": n_repeat / per_word, "distinct_words": len(set(words)) / per_word, "exclamation_rate": (text or "").count("!") / per_word,
+        "words_per_line": n_words / per_line,
+    }
+
+
+def test_learned_verdicts_against_a_plain_reading_of_the_list(spark):
+    """The rules that the labels of a table teach, read one after another for each document."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rules = q.learn(docs, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"))
+    assert rules
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in q.op2_quality_rules(spark, sf).collect()}
+    for d, text in docs.collect():
+        f = plain_features(text)
+        failed = f["n_words"] < 50 or 100 * brute(text)[4] > 50 * f["n_words"]
+        dropped = any(all((f[x.feature] > x.cut) == x.above for x in rule) for rule in rules)
+        assert got[d] == (failed, not failed and not dropped)
