@@ -80,39 +80,67 @@ def archive_name(split: str, lang: str, prefix: str = "corpus") -> str:
     return f"{prefix}_{names[split]}_train_{lang}.zip"
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _opened(path: str):
+    """A seekable file of any store that has a file system in pyarrow; a member is read without the rest of its archive."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return system.open_input_file(inner)
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The names of an archive's text members, from its directory alone."""
+    for batch in batches:
+        for path in batch["path"]:
+            with _opened(path) as file, zipfile.ZipFile(file) as z:
+                names = [i.filename for i in z.infolist() if not i.is_dir() and i.filename.endswith(".txt")]
+            for at in range(0, len(names), 10_000):
+                part = names[at : at + 10_000]
+                yield pd.DataFrame({"archive": [path] * len(part), "member": part})
+
+
+def _read_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (archive, doc_id, full, short) with the two members' texts; a few pairs are held at a time."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                rows: list[tuple[str, str, str]] = []
-                for info in z.infolist():
-                    if not info.is_dir() and info.filename.endswith(".txt"):
-                        rows.append((path, info.filename, z.read(info).decode("utf-8", errors="replace")))
-                    if len(rows) >= 256:
-                        yield pd.DataFrame(rows, columns=["archive", "member", "raw"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["archive", "member", "raw"])
-
-
-def load_archive(spark: SparkSession, path: str, lang: str = "en", split: str = "gs", limit: int | None = None) -> DataFrame:
+        for archive, rows in batch.groupby("archive", sort=False):
+            with _opened(archive) as file, zipfile.ZipFile(file) as z:
+                for at in range(0, len(rows), 64):
+                    part = rows.iloc[at : at + 64]
+                    body = lambda c: [z.read(name).decode("utf-8", errors="replace") for name in part[c]]  # noqa: B023, E731
+                    yield pd.DataFrame({"archive": part["archive"], "doc_id": part["doc_id"], "text": body("full"), "reference": body("short")})
+
+
+def load_archive(spark: SparkSession, path: str, lang: str = "en", split: str = "gs", limit: int | None = None, prefix: str = "corpus") -> DataFrame:
     """(doc_id, text, reference, lang, meta) of the pairs in zip archives, in the order of their trailing number.
 
-    Members under /fulltext/ meet those under /summaries/ (without their _sum) by stem; pairs with a
-    blank side go before a limit counts.
+    ``path`` names archives, or a folder that holds the one of the language and split. Members under
+    /fulltext/ meet those under /summaries/ (without their _sum) by stem, by names alone; then the
+    members of pairs are read, spread over tasks. Pairs with a blank side go before a limit counts; with
+    a limit only as many pairs are read, in their order, as it takes to fill it.
     """
-    if lang not in LANGUAGES:
-        raise ValueError(f"lang is one of {LANGUAGES}, not {lang!r}")
-    if split not in ("gs", "ls", "large-scale"):
-        raise ValueError(f"split is gs or ls, not {split!r}")
-    members = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_members, "archive string, member string, raw string")
-    stem = F.regexp_extract("member", r"([^/]+)\.txt$", 1)
-    members = members.select("archive", "member", stem.alias("stem"), strip(F.col("raw")).alias("body"))
-    full = members.where(F.contains("member", F.lit("/fulltext/"))).select("archive", F.col("stem").alias("doc_id"), F.col("body").alias("text"))
+    name = archive_name(split, lang, prefix)
+    files = path if path.endswith(".zip") else f"{path.rstrip('/')}/{name}"
+    members = spark.read.format("binaryFile").load(files).select("path").mapInPandas(_listed, "archive string, member string")
+    members = members.withColumn("stem", F.regexp_extract("member", r"([^/]+)\.txt$", 1))
+    full = members.where(F.contains("member", F.lit("/fulltext/"))).select("archive", F.col("stem").alias("doc_id"), F.col("member").alias("full"))
     short = members.where(F.contains("member", F.lit("/summaries/"))).select(
-        "archive", F.regexp_replace("stem", "_sum$", "").alias("doc_id"), F.col("body").alias("reference")
+        "archive", F.regexp_replace("stem", "_sum$", "").alias("doc_id"), F.col("member").alias("short")
     )
-    pairs = full.join(short, ["archive", "doc_id"]).where("text <> '' and reference <> ''")
+    pairs = full.join(short, ["archive", "doc_id"])
+    order = [F.coalesce(F.regexp_extract("doc_id", r"_(\d+)$", 1).try_cast("int"), F.lit(0)), F.col("doc_id"), F.col("archive")]
+
+    def read(some: DataFrame) -> DataFrame:
+        bodies = some.select("archive", "doc_id", "full", "short").mapInPandas(_read_pairs, "archive string, doc_id string, text string, reference string")
+        return bodies.withColumns({c: strip(F.col(c)) for c in ("text", "reference")}).where("text <> '' and reference <> ''")
+
+    found = read(pairs)
+    if limit is not None:
+        n, most = pairs.count(), 2 * limit + 16
+        while True:
+            found = read(pairs.orderBy(*order).limit(most))
+            if most >= n or found.count() >= limit:
+                break
+            most *= 4
     meta = F.create_map(F.lit("split"), F.lit(split), F.lit("source"), F.regexp_extract("archive", "([^/]+)$", 1))
-    number = F.coalesce(F.regexp_extract("doc_id", r"_(\d+)$", 1).try_cast("int"), F.lit(0))
-    out = pairs.select("doc_id", "text", "reference", F.lit(lang).alias("lang"), meta.alias("meta")).orderBy(number, "doc_id")
+    out = found.withColumn("lang", F.lit(lang)).withColumn("meta", meta).orderBy(*order).select("doc_id", "text", "reference", "lang", "meta")
     return out if limit is None else out.limit(limit)

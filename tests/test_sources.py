@@ -40,6 +40,20 @@ def test_archive(spark, tmp_path):
     got = files.load_archive(spark, str(tmp_path / "pairs.zip"), limit=2).collect()
     assert [(r["doc_id"], r["text"], r["reference"]) for r in got] == [("case_2", "text 2", "sum 2"), ("case_3", "text 3", "sum 3")]
     assert got[0]["meta"]["source"] == "pairs.zip"
+    (tmp_path / "pairs.zip").rename(tmp_path / "corpus_gs_train_en.zip")
+    assert [r["doc_id"] for r in files.load_archive(spark, str(tmp_path)).collect()] == ["case_2", "case_3", "case_10"]
+    assert [r["doc_id"] for r in files.load_archive(spark, str(tmp_path), limit=0).collect()] == []
+    with pytest.raises(ValueError):
+        files.load_archive(spark, str(tmp_path), lang="xx")
+
+
+def test_archive_reads_no_more_pairs_than_a_limit_takes(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for n in range(300):
+            z.writestr(f"x/fulltext/case_{n}.txt", f"text {n}" if n > 100 else " ")
+            z.writestr(f"x/summaries/case_{n}_sum.txt", f"sum {n}")
+    got = files.load_archive(spark, str(tmp_path / "many.zip"), limit=3).collect()
+    assert [r["doc_id"] for r in got] == ["case_101", "case_102", "case_103"]
     assert files.archive_name("ls", "fr") == "corpus_large-scale_train_fr.zip"
     for bad in (("gs", "de"), ("xx", "en")):
         with pytest.raises(ValueError):
