@@ -244,7 +244,7 @@ def compare_backends(spark, sf_dir):
 def _report(render, column):
     def query(spark, sf_dir):
         out = render(summarise.summarise_extractive(_docs(spark, sf_dir)))
-        return out.select("doc_id", F.length(column).alias("n_chars"), F.md5(column).alias("digest"))
+        return out.select("doc_id", F.length(column).cast("long").alias("n_chars"), F.md5(column).alias("digest"))
 
     return query
 
@@ -401,6 +401,25 @@ _SUMMARIES = f"{_RETRIEVED}, {S.KEPT}, " + ", ".join([
 ])
 
 
+_RULE = "repeat('=', 88) || chr(10)"
+#: The text report of a summary whose facts all have their source.
+_REPORT = rf"""{_SUMMARIES},
+facts AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r, body, trim(regexp_replace(body, '{WS}+', ' ', 'g')) AS quote,
+         '      -> chunk ' || chunk_ix || ', chars ' || start_at || '-' || end_at || ', line ' || (length(substr(text, 1, start_at)) - length(replace(substr(text, 1, start_at), chr(10), '')) + 1) AS place,
+         regexp_matches(body, '\d') OR len(list_filter(regexp_split_to_array(body, '{WS}+'), lambda w: w <> '')) >= 5 AS claim
+  FROM candidates JOIN chosen USING (doc_id, pos) JOIN documents USING (doc_id)),
+blocks AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (claim) AS claims,
+         string_agg(chr(10) || ' [' || r || '] ' || body || chr(10) || place || chr(10) || '         "' || CASE WHEN length(quote) > 76 THEN substr(quote, 1, 73) || '...' ELSE quote END || '"', chr(10) ORDER BY r) AS said
+  FROM facts GROUP BY doc_id),
+reports AS (
+  SELECT doc_id, {_RULE} || 'SUMMARY' || chr(10) || {_RULE} || coalesce(summary, '') || chr(10) || chr(10) || {_RULE} || 'FACTS AND SOURCES' || chr(10) || {_RULE}
+         || coalesce(said || chr(10), '') || chr(10) || {_RULE} || 'attribution: ' || coalesce(claims, 0) || '/' || coalesce(claims, 0) || ' claims cited, '
+         || CASE WHEN n > 0 THEN 100 ELSE 0 END || '% of summary text inside a cited span' || chr(10) || 'retrieval:   ' || coalesce(used, 0) || ' chunks used, ' || coalesce(n, 0)
+         || ' source spans cited' || CASE WHEN n > 0 THEN chr(10) || 'tokens:      0 in / 0 out' ELSE '' END AS report
+  FROM documents LEFT JOIN blocks USING (doc_id) LEFT JOIN summaries USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS used FROM kept GROUP BY doc_id) USING (doc_id))
+"""
 _NAMES = ("pieces", "flags", "cuts", "islands", "raw", "stripped", "sentences")
 #: The first three sentences of the chunks that a model sees, each chunk split by itself, with their places in the document.
 _SAID = f"""{_RETRIEVED}, {S.KEPT},
@@ -494,6 +513,7 @@ _SQL = {
                      rank() OVER (ORDER BY toxic) + (count(*) OVER (PARTITION BY toxic) - 1) / 2.0 AS c FROM r)
         SELECT count(*) AS n, round(corr(a, b), 9) AS n_chars_quality, round(corr(a, c), 9) AS n_chars_toxic, round(corr(b, c), 9) AS quality_toxic FROM k""",
     "block_means": "SELECT doc_id // 100 AS block, count(*) AS n, round(avg(n_chars), 9) AS n_chars FROM documents GROUP BY doc_id // 100",
+    "report_text": f"{_REPORT} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",
     "claims_json": "SELECT conv_id, turn, md5(text) AS claim, md5(left(text, 40)) AS quote FROM conversations WHERE text <> ''",
     "verified_claims": f"""{_SAID}
         SELECT doc_id, coalesce(n + 1, 0) AS quotes_asserted, coalesce(long_enough, 0) AS quotes_verified,
