@@ -420,6 +420,23 @@ reports AS (
          || ' source spans cited' || CASE WHEN n > 0 THEN chr(10) || 'tokens:      0 in / 0 out' ELSE '' END AS report
   FROM documents LEFT JOIN blocks USING (doc_id) LEFT JOIN summaries USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS used FROM kept GROUP BY doc_id) USING (doc_id))
 """
+#: The same as JSON, in the layout that Spark's writer gives it.
+_JSON = rf"""{_SUMMARIES},
+facts AS (
+  SELECT doc_id, pos, to_json(body)::VARCHAR AS body, chunk_ix, start_at, end_at, length(substr(text, 1, start_at)) - length(replace(substr(text, 1, start_at), chr(10), '')) + 1 AS line
+  FROM candidates JOIN chosen USING (doc_id, pos) JOIN documents USING (doc_id)),
+said AS (
+  SELECT doc_id, string_agg('{{\n    "text" : ' || body || ',\n    "grounded" : true,\n    "sources" : [ {{\n      "cited_text" : ' || body || ',\n      "chunk_index" : ' || chunk_ix
+         || ',\n      "start" : ' || start_at || ',\n      "end" : ' || end_at || ',\n      "line" : ' || line || '\n    }} ]\n  }}', ', ' ORDER BY pos) AS facts FROM facts GROUP BY doc_id),
+shown AS (
+  SELECT doc_id, string_agg('{{\n    "index" : ' || chunk_ix || ',\n    "start" : ' || start_at || ',\n    "end" : ' || end_at || '\n  }}', ', ' ORDER BY chunk_ix) AS chunks
+  FROM chunks JOIN kept USING (doc_id, chunk_ix) GROUP BY doc_id),
+reports AS (
+  SELECT doc_id, '{{\n  "summary" : ' || to_json(coalesce(summary, ''))::VARCHAR || ',\n  "coverage" : ' || CASE WHEN facts IS NULL THEN '0.0' ELSE '1.0' END || ',\n  "stop_reason" : '
+         || CASE WHEN facts IS NULL THEN 'null' ELSE '"end_turn"' END || ',\n  "refusal" : null,\n  "usage" : null,\n  "chunks_used" : [ ' || coalesce(chunks || ' ', '') || '],\n  "facts" : [ '
+         || coalesce(facts || ' ', '') || ']\n}}' AS report
+  FROM documents LEFT JOIN summaries USING (doc_id) LEFT JOIN said USING (doc_id) LEFT JOIN shown USING (doc_id))
+""".replace("\\n", "' || chr(10) || '")
 _NAMES = ("pieces", "flags", "cuts", "islands", "raw", "stripped", "sentences")
 #: The first three sentences of the chunks that a model sees, each chunk split by itself, with their places in the document.
 _SAID = f"""{_RETRIEVED}, {S.KEPT},
@@ -513,6 +530,7 @@ _SQL = {
                      rank() OVER (ORDER BY toxic) + (count(*) OVER (PARTITION BY toxic) - 1) / 2.0 AS c FROM r)
         SELECT count(*) AS n, round(corr(a, b), 9) AS n_chars_quality, round(corr(a, c), 9) AS n_chars_toxic, round(corr(b, c), 9) AS quality_toxic FROM k""",
     "block_means": "SELECT doc_id // 100 AS block, count(*) AS n, round(avg(n_chars), 9) AS n_chars FROM documents GROUP BY doc_id // 100",
+    "report_json": f"{_JSON} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",
     "report_text": f"{_REPORT} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",
     "claims_json": "SELECT conv_id, turn, md5(text) AS claim, md5(left(text, 40)) AS quote FROM conversations WHERE text <> ''",
     "verified_claims": f"""{_SAID}
