@@ -222,7 +222,8 @@ class ChatClient:
     def post(self, payload: dict) -> dict:
         """The answer to a payload, by the table of outcomes."""
         # A server reserves the most tokens that a reply may take, and reads about one for four characters.
-        cost = payload["max_tokens"] + len("".join(m["content"] or "" for m in payload["messages"])) // 4
+        said = [m["content"] if isinstance(m["content"], str) else json.dumps(m["content"]) for m in payload["messages"]]
+        cost = payload["max_tokens"] + sum(map(len, said)) // 4
         attempt = 0
         while True:
             self.pacer.wait_for(cost)

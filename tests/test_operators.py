@@ -305,6 +305,34 @@ def test_pacing():
     assert pacer.wait_for(10**9) == pytest.approx(30.0)
 
 
+def test_tasks_share_the_rate():
+    pacer = backends.Pacer(clock=lambda: 0.0, sleep=lambda s: None)
+    client = backends.ChatClient(Server(GOOD), pacer=pacer).shared(4)
+    client.pacer.remember({"x-ratelimit-limit-tokens": "6000", "x-ratelimit-remaining-tokens": "0"})
+    assert client.pacer.wait_for(100) == pytest.approx(4.0) and pacer.limit == 0
+
+
+def test_native_blocks_are_sent_and_read():
+    answer = json.dumps({"choices": [{"message": {"content": [{"text": "a", "citations": []}, {"text": "b"}]}, "finish_reason": "stop"}]})
+    client, server, _ = _client((200, {}, answer))
+    reply = client.complete(PROMPT | {"json": False, "documents": json.dumps([{"type": "document"}])})
+    assert reply["content"] == "ab" and [b["text"] for b in reply["blocks"]] == ["a", "b"]
+    assert [b["type"] for b in server.seen[0]["messages"][0]["content"]] == ["document", "text"]
+
+
+def test_local_prompts_use_the_model_s_own_template():
+    class Tokenizer:
+        chat_template = "x"
+
+        def apply_chat_template(self, messages, **how):
+            assert how["add_generation_prompt"] and not how["tokenize"]
+            return f"<{messages[0]['role']}>{messages[0]['content']}"
+
+    model = backends.LocalModel("nowhere")
+    assert model.render(Tokenizer(), PROMPT) == "<user>a\n\nt"
+    assert model.render(object(), PROMPT) == "a\n\nt\n\n"
+
+
 # ---------------------------------------------------------------- reports and validation
 
 
