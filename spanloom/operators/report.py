@@ -106,7 +106,7 @@ def to_json(results: DataFrame) -> DataFrame:
     return results.withColumn("json", F.to_json(whole, {"pretty": "true", "ignoreNullFields": "false"}))
 
 
-_STYLE = """
+PAGE_STYLE = """
 body{margin:0;font:15px/1.6 system-ui,sans-serif;color:#1c1c1c;background:#fff}
 main{display:flex;gap:2rem;padding:1.5rem}article{flex:1;min-width:0}
 .source{max-height:80vh;overflow:auto}mark{background:#ffe9a8}mark:target,mark.on{background:#ffb84d}
@@ -140,7 +140,7 @@ def to_html(results: DataFrame, title: str = "Document summary") -> DataFrame:
     meta = F.format_string("%d/%d claims cited &middot; %d chunks retrieved &middot; %d source spans", cited, claims, F.size("chunks_used"), F.size(all_spans(facts)))
     name = html_escape(F.lit(title))
     page = F.concat(
-        F.lit('<!doctype html>\n<meta charset="utf-8">\n<title>'), name, F.lit(f"</title>\n<style>{_STYLE}</style>\n<header><h1>"), name,
+        F.lit('<!doctype html>\n<meta charset="utf-8">\n<title>'), name, F.lit(f"</title>\n<style>{PAGE_STYLE}</style>\n<header><h1>"), name,
         F.lit('</h1><p class="meta">'), meta, F.lit('</p></header>\n<main><article class="summary">'), F.array_join(F.transform(facts, claim), ""),
         F.lit('</article><article class="source">'), source, F.lit("</article></main>\n"),
     )

@@ -437,6 +437,26 @@ reports AS (
          || coalesce(facts || ' ', '') || ']\n}}' AS report
   FROM documents LEFT JOIN summaries USING (doc_id) LEFT JOIN said USING (doc_id) LEFT JOIN shown USING (doc_id))
 """.replace("\\n", "' || chr(10) || '")
+_ESCAPED = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+_HEAD = f'<!doctype html>\n<meta charset="utf-8">\n<title>Document summary</title>\n<style>{report.PAGE_STYLE}</style>\n<header><h1>Document summary</h1><p class="meta">'
+#: The page of a summary: its sentences stand apart in the source, so each is a mark of its own.
+_HTML = rf"""{_SUMMARIES},
+facts AS (
+  SELECT doc_id, text, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k, {_ESCAPED.format("body")} AS said, start_at, end_at,
+         lag(end_at, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS before,
+         regexp_matches(body, '\d') OR len(list_filter(regexp_split_to_array(body, '{WS}+'), lambda w: w <> '')) >= 5 AS claim
+  FROM candidates JOIN chosen USING (doc_id, pos) JOIN documents USING (doc_id)),
+sides AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (claim) AS claims, max(end_at) AS rest,
+         string_agg('<span class="claim" data-refs="s' || k || '">' || said || '</span><sup><a href="#s' || k || '" class="cite" data-target="s' || k || '">' || (k + 1) || '</a></sup>', '' ORDER BY k) AS summary_side,
+         string_agg({_ESCAPED.format("substr(text, before + 1, start_at - before)")} || '<mark id="s' || k || '" class="src">' || said || '</mark>', '' ORDER BY k) AS source_side
+  FROM facts GROUP BY doc_id),
+reports AS (
+  SELECT doc_id, '{_HEAD}' || coalesce(claims, 0) || '/' || coalesce(claims, 0) || ' claims cited &middot; ' || coalesce(used, 0) || ' chunks retrieved &middot; ' || coalesce(n, 0)
+         || ' source spans</p></header>' || chr(10) || '<main><article class="summary">' || coalesce(summary_side, '') || '</article><article class="source">'
+         || replace(coalesce(source_side, '') || {_ESCAPED.format("substr(text, coalesce(rest, 0) + 1)")}, chr(10), '<br>') || '</article></main>' || chr(10) AS report
+  FROM documents LEFT JOIN sides USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS used FROM kept GROUP BY doc_id) USING (doc_id))
+"""
 _NAMES = ("pieces", "flags", "cuts", "islands", "raw", "stripped", "sentences")
 #: The first three sentences of the chunks that a model sees, each chunk split by itself, with their places in the document.
 _SAID = f"""{_RETRIEVED}, {S.KEPT},
@@ -530,6 +550,7 @@ _SQL = {
                      rank() OVER (ORDER BY toxic) + (count(*) OVER (PARTITION BY toxic) - 1) / 2.0 AS c FROM r)
         SELECT count(*) AS n, round(corr(a, b), 9) AS n_chars_quality, round(corr(a, c), 9) AS n_chars_toxic, round(corr(b, c), 9) AS quality_toxic FROM k""",
     "block_means": "SELECT doc_id // 100 AS block, count(*) AS n, round(avg(n_chars), 9) AS n_chars FROM documents GROUP BY doc_id // 100",
+    "report_html": f"{_HTML} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",
     "report_json": f"{_JSON} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",
     "report_text": f"{_REPORT} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",
     "claims_json": "SELECT conv_id, turn, md5(text) AS claim, md5(left(text, 40)) AS quote FROM conversations WHERE text <> ''",
