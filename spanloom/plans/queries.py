@@ -232,7 +232,7 @@ def native_citations(spark, sf_dir):
 
 def grounded_prose(spark, sf_dir):
     out = backends.summarise(_docs(spark, sf_dir), "local", backends.EchoGenerator())
-    return out.select("doc_id", F.size("facts").alias("n_facts"), F.round(metrics.coverage(F.col("facts")), 4).alias("coverage"))
+    return out.select("doc_id", F.size("facts").cast("long").alias("n_facts"), F.round(metrics.coverage(F.col("facts")), 4).alias("coverage"))
 
 
 def compare_backends(spark, sf_dir):
@@ -458,13 +458,36 @@ reports AS (
   FROM documents LEFT JOIN sides USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS used FROM kept GROUP BY doc_id) USING (doc_id))
 """
 _NAMES = ("pieces", "flags", "cuts", "islands", "raw", "stripped", "sentences")
+
+
+def _sentences_of(rows: str, prefix: str) -> str:
+    """The sentences of another table (doc_id, text), under names of their own."""
+    return re.sub(rf"\b({'|'.join(_NAMES)})\b(?= AS [(]|[ ),]|$)", rf"{prefix}_\1", SENTENCES.replace("FROM documents", f"FROM {rows}"), flags=re.M)
+
+
 #: The first three sentences of the chunks that a model sees, each chunk split by itself, with their places in the document.
-_SAID = f"""{_RETRIEVED}, {S.KEPT},
+_SAYING = f"""
 excerpts AS (SELECT doc_id * 100000 + chunk_ix AS doc_id, body AS text FROM chunks JOIN kept USING (doc_id, chunk_ix)),
-{re.sub(rf"\b({'|'.join(_NAMES)})\b(?= AS [(]|[ ),]|$)", r"excerpt_\1", SENTENCES.replace("FROM documents", "FROM excerpts"), flags=re.M)},
+{_sentences_of("excerpts", "excerpt")},
 said AS (
   SELECT c.doc_id, x.body, c.start_at + x.start_at AS a, c.start_at + x.end_at AS b, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.chunk_ix, x.sent_ix) AS r
   FROM excerpt_sentences x JOIN chunks c ON c.doc_id = x.doc_id // 100000 AND c.chunk_ix = x.doc_id % 100000 QUALIFY r <= 3)"""
+_SAID = f"{_RETRIEVED}, {S.KEPT}, {_SAYING}"
+#: These sentences and an invented one as prose, split again; a claim has a source if any candidate is like enough.
+_GROUNDED = f"""{_SUMMARIES}, {_SAYING},
+prose AS (SELECT doc_id, string_agg(body, ' ' ORDER BY r) || ' {backends.EchoGenerator.invented}' AS text FROM said GROUP BY doc_id),
+{_sentences_of("prose", "claim")},
+{S.vectors("claim", "doc_id, sent_ix", _TOKENS.format("body"), "claim_sentences", DIMS)},
+pairs AS (
+  SELECT c.doc_id, c.sent_ix, p.pos, sum(c.w * p.w) AS cosine FROM (SELECT doc_id, sent_ix, unnest(places) AS place, unnest(weights) AS w FROM claim_vectors) c
+  JOIN (SELECT doc_id, pos, unnest(places) AS place, unnest(weights) AS w FROM candidate_vectors) p USING (doc_id, place) GROUP BY ALL),
+support AS (
+  SELECT doc_id, p.sent_ix, max(round({SETTINGS.align_dense_weight} * cosine + {1 - SETTINGS.align_dense_weight} * len(list_intersect(c.t, d.t))::DOUBLE / len(c.t), 9)) AS best
+  FROM pairs p JOIN (SELECT doc_id, sent_ix, list_distinct({_TOKENS.format("body")}) AS t FROM claim_sentences) c USING (doc_id, sent_ix)
+  JOIN (SELECT doc_id, pos, list_distinct({_TOKENS.format("body")}) AS t FROM candidates) d USING (doc_id, pos) GROUP BY ALL),
+grounded AS (
+  SELECT doc_id, count(*) AS n_facts, round(coalesce(sum(length(body)) FILTER (best >= {SETTINGS.align_threshold}), 0)::DOUBLE / sum(length(body)), 4) AS coverage
+  FROM claim_sentences LEFT JOIN support USING (doc_id, sent_ix) GROUP BY doc_id)"""
 
 
 _SQL = {
@@ -550,6 +573,7 @@ _SQL = {
                      rank() OVER (ORDER BY toxic) + (count(*) OVER (PARTITION BY toxic) - 1) / 2.0 AS c FROM r)
         SELECT count(*) AS n, round(corr(a, b), 9) AS n_chars_quality, round(corr(a, c), 9) AS n_chars_toxic, round(corr(b, c), 9) AS quality_toxic FROM k""",
     "block_means": "SELECT doc_id // 100 AS block, count(*) AS n, round(avg(n_chars), 9) AS n_chars FROM documents GROUP BY doc_id // 100",
+    "grounded_prose": f"{_GROUNDED} SELECT doc_id, coalesce(n_facts, 0) AS n_facts, coalesce(coverage, 0)::DOUBLE AS coverage FROM documents LEFT JOIN grounded USING (doc_id)",
     "report_html": f"{_HTML} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",
     "report_json": f"{_JSON} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",
     "report_text": f"{_REPORT} SELECT doc_id, length(report) AS n_chars, md5(report) AS digest FROM reports",

@@ -63,8 +63,8 @@ def test_archive_reads_no_more_pairs_than_a_limit_takes(spark, tmp_path):
 def test_dialogues_and_pairs(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_bytes('﻿ID,section_header,section_text,dialogue\r\n0,GENHX,"A ""b""\nc",Doctor: x\r\n1,CC,,y\r\n2,CC,z,w\r\n'.encode())
-    rows = tables.load_dialogues(spark, str(path), "train", prefix="mts").collect()
-    assert [(r["doc_id"], r["reference"], r["meta"]["section_header"]) for r in rows] == [("mts-train-0", 'A "b"\nc', "GENHX"), ("mts-train-2", "z", "CC")]
+    rows = tables.load_dialogues(spark, str(path), "train", prefix="talk").collect()
+    assert [(r["doc_id"], r["reference"], r["meta"]["section_header"]) for r in rows] == [("talk-train-0", 'A "b"\nc', "GENHX"), ("talk-train-2", "z", "CC")]
     assert tables.load_corpus(spark, "dialogues", str(path), limit=1).count() == 1
     with pytest.raises(ValueError):
         tables.load_corpus(spark, "other", str(path))
