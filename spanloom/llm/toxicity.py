@@ -30,6 +30,8 @@ FOLDS, HELD_OUT, REJECT = 3, 1, 0.7
 MAX_ROWS = 20_000
 #: Parts of the labelled rows for cross-fitting; the least rows of each label that are needed to learn.
 PARTS, LEAST_LABELS = 5, 10
+#: Counts that a task holds before it hands them on.
+HELD_TERMS = 1 << 16
 #: Share of the raw probability that orders texts inside an isotonic level.
 RAW_SHARE = 0.02
 #: Learned lexicon: lengths of word beginnings, the least toxic documents that hold an entry, the
@@ -237,16 +239,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents by term, label and part: whole words behind w, word beginnings behind s."""
+    """Documents by term, label and part: whole words behind w, word beginnings behind s. Counts are handed on in parts."""
     seen: Counter = Counter()
+
+    def handed_on() -> pd.DataFrame:
+        return pd.DataFrame({"term": [t for t, _ in seen], "cell": [c for _, c in seen], "n": list(seen.values())})
+
     for batch in batches:
         for text, label, part in zip(batch["text"], batch["toxic"], batch["part"]):
             words = set(_WORD.findall((text or "").lower()))
             terms = {"w" + w for w in words if len(w) > 2} | {"s" + w[:n] for w in words for n in STEMS if len(w) >= n}
             cell = 2 * int(part) + (label > 0)
             seen.update((t, cell) for t in terms)
+            if len(seen) >= HELD_TERMS:
+                yield handed_on()
+                seen.clear()
     if seen:
-        yield pd.DataFrame({"term": [t for t, _ in seen], "cell": [c for _, c in seen], "n": list(seen.values())})
+        yield handed_on()
 
 
 Lexicon = tuple[dict[str, float], dict[str, float]]
