@@ -27,7 +27,8 @@ def _supports(claims: list[str], pool: list[tuple[str, int, int, int]], embedder
     """Sources of each claim: at most three candidates close to its best one, in document order.
 
     Token sets are made once for each side. One claim meets all candidates at a time, so memory grows
-    with their sum, not their product.
+    with their sum, not their product. Scores are compared to nine digits, so that a score which is the
+    threshold but for the order of a sum reaches it.
     """
     if not claims or not pool:
         return [[] for _ in claims]
@@ -41,9 +42,9 @@ def _supports(claims: list[str], pool: list[tuple[str, int, int, int]], embedder
         shared, mine = np.zeros(len(pool)), set(_TOKENS.findall(claim.lower()))
         for t in mine:
             shared[words.get(t, [])] += 1
-        score = w * (sides[1] @ vector) + (1 - w) * (shared / len(mine) if mine else shared)
+        score = (w * (sides[1] @ vector) + (1 - w) * (shared / len(mine) if mine else shared)).round(9)
         near = np.argsort(-score, kind="stable")[: SETTINGS.align_spans]
-        floor = max(SETTINGS.align_threshold, score[near[0]] - SETTINGS.align_margin)
+        floor = max(SETTINGS.align_threshold, (score[near[0]] - SETTINGS.align_margin).round(9))
         kept = sorted((int(k) for k in near if score[k] >= floor), key=lambda k: pool[k][2])
         out.append([{"cited_text": pool[k][0], "chunk_ix": pool[k][1], "start": pool[k][2], "end": pool[k][3], "support": round(float(score[k]), 4)} for k in kept])
     return out

@@ -389,3 +389,18 @@ def test_cosine_topk_answers_more_queries_than_a_block(spark, monkeypatch):
     many = spark.range(10_001).selectExpr("id as vec_id", "array(1.0D, cast(id % 3 as double)) as embedding")
     monkeypatch.undo()
     assert retrieve.cosine_topk(many.where("vec_id < 5"), many, "vec_id", "embedding", 1).count() == 10_001
+
+
+def test_a_score_at_the_threshold_supports_its_claim():
+    """Scores that are 0.45 in exact numbers; one of them is a little less as a sum of doubles."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    pool = [(" ".join(words), 0, 0, 60)]
+    for shared, length in ((1, 2), (2, 4)):
+        claim = " ".join(words[:shared] + [f"other{n}" for n in range(length - shared)])
+
+        class Stand:
+            def encode(self, texts):
+                return np.array([[1.0, 0.0] if t == claim else [0.39999999999999997, 0.916515138991168] for t in texts])
+
+        assert 0.5 * 0.39999999999999997 + 0.5 * shared / length < 0.45
+        assert [s["support"] for s in ground._supports([claim], pool, Stand())[0]] == [0.45]
