@@ -7,10 +7,13 @@ a short list given by the caller and enter plans as literals.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +23,6 @@ from ..functions.text import TOKEN, tokens
 from .embedders import Embedder, HashingEmbedder
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two arrays, summed from the left in double precision."""
-    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-
-
 def embed(text: Column, embedder: Embedder) -> Column:
     """Vectors of a text column, by batches in the Python workers."""
 
@@ -150,28 +147,104 @@ def search_many(chunk_rows: DataFrame, queries: list[str], top_k: int = SETTINGS
     return passed.unionByName(best)
 
 
-#: Query vectors of one broadcast block.
-QUERY_BLOCK = 10_000
+#: Rows of one cell, which is one dense product: vectors and queries.
+VECTOR_BLOCK, QUERY_BLOCK = 16_384, 10_000
+#: Of a product that is looked through at once: its queries; and pairs whose cosines are summed at once.
+_STRIP, _PAIRS = 128, 65_536
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int) -> DataFrame:
-    """Exact nearest vectors of a query set: each block of vectors meets all queries.
+    """Exact nearest vectors of a query set: (query_id, hit_id, cosine, rank); ties go to the smaller key.
 
-    ``queries`` has the same columns. It is counted; beyond QUERY_BLOCK rows it is dealt by a hash of the
-    key into blocks of about that size at most, which are answered one by one and united.
+    ``queries`` has the same columns. Both sides are counted and dealt by a hash into blocks of about the
+    sizes above; every block of vectors meets every block of queries in a cell, which hands on ``top_k`` rows
+    a query. The number of pairs is that of the two sides multiplied; a task holds one cell.
     """
-    n_blocks = -(-queries.count() // QUERY_BLOCK)
-    if n_blocks <= 1:
-        return _cosine_topk(vectors, queries, key, vector, top_k)
-    n_blocks += n_blocks // 4 + 1  # a hash deals unevenly
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks))
-    parts = [_cosine_topk(vectors, queries.where(place == k), key, vector, top_k) for k in range(n_blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, top_k: int) -> DataFrame:
-    """The nearest vectors of one block of queries, which is broadcast."""
-    asked = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")))
-    pairs = vectors.join(asked, F.lit(True)).select("query_id", F.col(key).alias("hit_id"), dot(F.col("__q"), F.col(vector)).alias("cosine"))
+    n_v = max(4, -(-vectors.count() // VECTOR_BLOCK))
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    element = vectors.schema[vector].dataType.elementType.typeName()
+    kind = f"array<{element if element in ('float', 'double') else 'double'}>"
+
+    def dealt(df: DataFrame, own: int, other: int, place: Callable[[Column, Column], Column]) -> DataFrame:
+        rows = df.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(own))).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        # more partitions than cells, so that few cells share one
+        return rows.select(place(F.col("block"), F.col("met")).cast("int").alias("cell"), "id", "v").repartition(4 * n_v * n_q, "cell")
+
+    sides = dealt(vectors, n_v, n_q, lambda b, m: b * n_q + m), dealt(queries, n_q, n_v, lambda b, m: m * n_q + b)
+    id_type = vectors.schema[key].dataType.simpleString()
+    schema = f"query_id {id_type}, hit_id {id_type}, cosine double"
+    hits = sides[0].groupBy("cell").cogroup(sides[1].groupBy("cell")).applyInArrow(partial(_nearest, top_k=top_k), schema)
     order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "hit_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
+def _by_length(lists: pa.ListArray) -> dict[int, np.ndarray]:
+    """Row numbers by the length of their list; lists that are null or hold a null are left out."""
+    length = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).copy()
+    holes = pc.is_null(pc.list_flatten(lists)).to_numpy(zero_copy_only=False)
+    length[pc.list_parent_indices(lists).to_numpy()[holes]] = -1
+    return {int(n): np.flatnonzero(length == n) for n in np.unique(length) if n >= 0}
+
+
+def _matrix(lists: pa.ListArray, rows: np.ndarray, width: int) -> np.ndarray:
+    return pc.list_flatten(lists.take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(len(rows), width)
+
+
+def _nearest(left: pa.Table, right: pa.Table, top_k: int) -> pa.Table:
+    """The ``top_k`` rows of ``left`` nearest to each row of ``right``, by cosine and then by key."""
+    ids, asked = left.column("id").combine_chunks(), right.column("id").combine_chunks()
+    vectors, queries = (t.column("v").combine_chunks() for t in (left, right))
+    by_key = pc.sort_indices(ids, null_placement="at_start").to_numpy().astype(np.int64)
+    place = np.empty(len(ids), np.int64)
+    place[by_key] = np.arange(len(ids))
+    of_vectors, of_queries, found = _by_length(vectors), _by_length(queries), []
+    for width, rows in of_queries.items():
+        if width in of_vectors:
+            mine = of_vectors[width]
+            for q, v, x in _pairs(_matrix(vectors, mine, width), place[mine], _matrix(queries, rows, width), top_k):
+                found.append((rows[q], mine[v], x, np.zeros(len(q), bool)))
+    # A pair of other lengths, or with a null, has no cosine and comes last.
+    for width, rows in [*of_queries.items(), (-1, np.setdiff1d(np.arange(len(asked)), np.concatenate([*of_queries.values(), np.empty(0, int)])))]:
+        mine = of_vectors.get(width, np.empty(0, int))
+        if len(rows) and len(mine) < top_k:
+            rest = by_key[~np.isin(by_key, mine)][:top_k]
+            found.append((np.repeat(rows, len(rest)), np.tile(rest, len(rows)), np.zeros(len(rows) * len(rest)), np.ones(len(rows) * len(rest), bool)))
+    q, v, x, none = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, bool))
+    return pa.table({"query_id": asked.take(pa.array(q)), "hit_id": ids.take(pa.array(v)), "cosine": pa.array(x, mask=none)})
+
+
+def _pairs(vectors: np.ndarray, place: np.ndarray, queries: np.ndarray, top_k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, vector, cosine) of the nearest rows, strip by strip of queries.
+
+    Equal vectors are compared once and stand for their first ``top_k`` rows. A product of matrices names
+    the candidates, with more room than it can err by; their cosines are then summed from the left.
+    """
+    n, width = vectors.shape
+    _, first, inverse = np.unique(np.ascontiguousarray(vectors).view(f"V{max(1, width * vectors.itemsize)}").ravel() if width else np.zeros(n), return_index=True, return_inverse=True)
+    order = np.lexsort((place, inverse))
+    starts = np.searchsorted(inverse[order], np.arange(len(first)))
+    sizes = np.minimum(np.diff(np.append(starts, n)), top_k)
+    apart, queries = vectors[first].astype(float), queries.astype(float)
+    wild, odd = ~np.isfinite(apart).all(axis=1), ~np.isfinite(queries).all(axis=1)
+    tame = np.where(wild[:, None], 0.0, apart)
+    with np.errstate(over="ignore"):
+        longest = np.sqrt((tame * tame).sum(axis=1)).max()
+    for at in range(0, len(queries), _STRIP):
+        with np.errstate(invalid="ignore", over="ignore"):
+            mine = np.where(odd[at : at + _STRIP, None], 0.0, queries[at : at + _STRIP])
+            near = mine @ tame.T
+            near[:, wild] = -np.inf
+            slack = 4 * (width + 4) * np.finfo(float).eps * longest * np.sqrt((mine * mine).sum(axis=1))
+            least = np.partition(near, -top_k, axis=1)[:, -top_k] - slack if near.shape[1] > top_k else np.full(len(mine), -np.inf)
+        # what is not finite is a candidate everywhere
+        q, d = np.nonzero(~(near < least[:, None]) | wild | odd[at : at + _STRIP, None])
+        with np.errstate(invalid="ignore", over="ignore"):
+            parts = [np.cumsum(queries[at + q[i : i + _PAIRS]] * apart[d[i : i + _PAIRS]], axis=1)[:, -1] + 0.0 if width else np.zeros(len(q[i : i + _PAIRS])) for i in range(0, len(q), _PAIRS)]
+        x, copies = np.concatenate([*parts, np.empty(0)]), sizes[d]
+        row = order[np.repeat(starts[d], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)]
+        q, x = np.repeat(q, copies), np.repeat(x, copies)
+        best = np.lexsort((place[row], -x, ~np.isnan(x), q))
+        q, row, x = q[best], row[best], x[best]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < top_k
+        yield at + q[kept], row[kept], x[kept]

@@ -404,3 +404,27 @@ def test_a_score_at_the_threshold_supports_its_claim():
 
         assert 0.5 * 0.39999999999999997 + 0.5 * shared / length < 0.45
         assert [s["support"] for s in ground._supports([claim], pool, Stand())[0]] == [0.45]
+
+
+def test_cosine_topk_sums_only_candidates_and_ranks_odd_vectors(spark):
+    """Every hit is that of brute force: copies, nulls, other lengths, no numbers; few pairs are summed one by one."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [0.1, 0.3, 0.2] if k % 3 == 0 else rng.integers(-2, 3, 3).astype(float).tolist()) for k in range(120)]
+    rows += [(200, None), (201, [1.0, None, 2.0]), (202, [1.0, 2.0]), (203, [float("nan"), 0.0, 1.0]), (204, [float("inf"), 0.0, 1.0]), (205, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def cosine(a, b):
+        return None if a is None or b is None or len(a) != len(b) or None in a or None in b else sum((x * y for x, y in zip(a, b, strict=True)), 0.0)
+
+    worth = lambda c: (c is None, 0 if c is None else c == c, 0 if c is None or c != c else -c)  # noqa: E731  no number is above all, null below
+    want = {(q, h, r + 1) for q, a in rows for r, (h, _) in enumerate(sorted(((h, cosine(a, b)) for h, b in rows), key=lambda x: (*worth(x[1]), x[0]))[:5])}
+    got = retrieve.cosine_topk(df, df, "vec_id", "embedding", 5).collect()
+    assert {(r.query_id, r.hit_id, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_cosine_topk_hands_on_few_rows_of_many_pairs(spark):
+    vectors = np.random.default_rng(4).normal(size=(3000, 8))
+    plan = retrieve.cosine_topk(*[spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "k long, v array<double>")] * 2, "k", "v", 3)
+    assert "NestedLoopJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    nearest = np.argsort(-(vectors @ vectors.T), axis=1, kind="stable")[:, :3]
+    assert {(r.query_id, r.hit_id, r["rank"]) for r in plan.collect()} == {(q, int(h), n + 1) for q, hs in enumerate(nearest) for n, h in enumerate(hs)}
