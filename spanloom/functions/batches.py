@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Documents of one batch between the JVM and Python: enough to vectorise, few enough for long texts.
-ROWS = 512
+ROWS = 64
 
 
 def bounded() -> None:

@@ -20,7 +20,7 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def bucket(token: str, dims: int) -> int:
     """The first 32 bits of the token's MD5, modulo ``dims``."""
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dims
@@ -33,13 +33,22 @@ class HashingEmbedder:
         self.dims = dims
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dims))
-        for k, text in enumerate(texts):
-            places = [bucket(t, self.dims) for t in _TOKENS.findall(text.lower())]
-            if places:
-                out[k] = np.bincount(places, minlength=self.dims)
+        return self.encode_tokens([_TOKENS.findall(text.lower()) for text in texts])
+
+    def encode_tokens(self, texts: list[list[str]]) -> np.ndarray:
+        """The same from the texts' tokens, for callers that need them anyway. All counts are made at once."""
+        n, dims = len(texts), self.dims
+        places = np.array([bucket(t, dims) for tokens in texts for t in tokens], np.intp)
+        places += np.repeat(np.arange(0, n * dims, dims), [len(tokens) for tokens in texts])
+        out = np.bincount(places, minlength=n * dims).astype(float).reshape(n, dims)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, 1.0)
+        out /= np.where(norm > 0, norm, 1.0)
+        return out
+
+
+def encoded(embedder: Embedder, texts: list[str], tokens: list[list[str]]) -> np.ndarray:
+    """Vectors of texts whose tokens are known, which spares an embedder that counts tokens the search for them."""
+    return embedder.encode_tokens(tokens) if hasattr(embedder, "encode_tokens") else embedder.encode(texts)
 
 
 class SentenceTransformerEmbedder:

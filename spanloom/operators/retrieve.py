@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
+from ..functions import kernels
 from ..functions.batches import bounded
 from ..functions.text import TOKEN, tokens
-from .embedders import Embedder, HashingEmbedder
+from .embedders import _TOKENS, Embedder, HashingEmbedder, encoded
 
 
 def embed(text: Column, embedder: Embedder) -> Column:
@@ -147,6 +148,78 @@ def search_many(chunk_rows: DataFrame, queries: list[str], top_k: int = SETTINGS
     return passed.unionByName(best)
 
 
+def _scores(parts: list[str], words: list[list[str]], asked: np.ndarray | None, embedder: Embedder) -> tuple[np.ndarray, list[list[str]]]:
+    """Scores (query, unit) of one document's units, blended if vectors of the queries are given, and the units' tokens."""
+    found = [_TOKENS.findall(p.lower()) for p in parts]
+    sparse = kernels.bm25(found, words)
+    if asked is None:
+        return sparse, found
+    dense = kernels.scaled(asked @ encoded(embedder, parts, found).T)
+    return SETTINGS.dense_weight * dense + (1 - SETTINGS.dense_weight) * kernels.scaled(sparse), found
+
+
+Splitter = Callable[[str], list[kernels.Span]]
+
+
+def search_rows(docs: DataFrame, split: Splitter, queries: list[str], top_k: int = SETTINGS.top_k, embedder: Embedder | None = None, dense: bool = True) -> DataFrame:
+    """(doc_id, query_ix, chunk_ix, rank, score): :func:`search` over the units into which ``split`` cuts each text.
+
+    A document is split, scored and ranked in its row, so nothing is shuffled and a task holds one document.
+    Without ``dense`` units are ranked by BM25 alone, and only those that have a term of the query.
+    """
+    bounded()
+    embedder = embedder or HashingEmbedder()
+
+    @F.arrow_udf("array<struct<query_ix:int,chunk_ix:int,rank:int,score:double>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = [_TOKENS.findall(q.lower()) for q in queries]
+        asked = embedder.encode(queries) if dense else None
+
+        def hits(text: str) -> list[dict]:
+            spans = split(text)
+            if not spans:
+                return []
+            scores, found = _scores([text[a:b] for a, b in spans], words, asked, embedder)
+            out = []
+            for q, row in enumerate(scores):
+                order = np.argsort(-row.round(9), kind="stable")
+                if not dense:
+                    order = order[np.array([not t.isdisjoint(words[q]) for t in map(set, found)])[order]]
+                out += [{"query_ix": q, "chunk_ix": int(k), "rank": r + 1, "score": float(row[k])} for r, k in enumerate(order[:top_k])]
+            return out
+
+        for texts in batches:
+            yield pa.array([hits(t or "") for t in texts.to_pylist()], run_type)
+
+    run_type = pa.list_(pa.struct([("query_ix", pa.int32()), ("chunk_ix", pa.int32()), ("rank", pa.int32()), ("score", pa.float64())]))
+    return docs.select("doc_id", F.explode(run("text")).alias("h")).select("doc_id", "h.*")
+
+
+def search_many_rows(docs: DataFrame, split: Splitter, queries: list[str], top_k: int = SETTINGS.top_k, budget: int | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """(doc_id, chunk_ix, score): :func:`search_many` over the units of each text, in its row."""
+    bounded()
+    embedder = embedder or HashingEmbedder()
+    run_type = pa.list_(pa.struct([("chunk_ix", pa.int32()), ("score", pa.float64())]))
+
+    @F.arrow_udf("array<struct<chunk_ix:int,score:double>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, asked = [_TOKENS.findall(q.lower()) for q in queries], embedder.encode(queries)
+
+        def hits(text: str) -> list[dict]:
+            spans = split(text)
+            if not spans:
+                return []
+            if budget is None and len(spans) <= max(top_k, SETTINGS.top_k_max):
+                return [{"chunk_ix": k, "score": None} for k in range(len(spans))]
+            blend, _ = _scores([text[a:b] for a, b in spans], words, asked, embedder)
+            return [{"chunk_ix": k, "score": x} for k, x in zip(*kernels.retrieved(blend, top_k, budget), strict=True)]
+
+        for texts in batches:
+            yield pa.array([hits(t or "") for t in texts.to_pylist()], run_type)
+
+    return docs.select("doc_id", F.explode(run("text")).alias("h")).select("doc_id", "h.*")
+
+
 #: Rows of one cell, which is one dense product: vectors and queries.
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 10_000
 #: Of a product that is looked through at once: its queries; and pairs whose cosines are summed at once.

@@ -73,7 +73,7 @@ def chosen_chunks(text: Column, queries: list[str], top_k: int, budget: int | No
                     parts = [text[a:b] for a, b in spans]
                     sparse = kernels.scaled(kernels.bm25([_TOKENS.findall(p.lower()) for p in parts], words))
                     dense = kernels.scaled(asked @ embedder.encode(parts).T)
-                    kept = kernels.retrieved(SETTINGS.dense_weight * dense + (1 - SETTINGS.dense_weight) * sparse, top_k, budget)
+                    kept, _ = kernels.retrieved(SETTINGS.dense_weight * dense + (1 - SETTINGS.dense_weight) * sparse, top_k, budget)
                 out.append([{"ix": k, "start": spans[k][0], "end": spans[k][1]} for k in kept])
             yield pd.Series(out, dtype=object)
 

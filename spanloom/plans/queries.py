@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ABBREVIATIONS, ASPECTS, SETTINGS
+from ..functions import kernels
 from ..functions import text as T
 from ..operators import backends, compare, ground, metrics, report, retrieve, segment, summarise, validate
 from ..operators.embedders import HashingEmbedder
@@ -83,11 +84,6 @@ def sentences_within(spark, sf_dir):
 # ---------------------------------------------------------------- retrieval
 
 
-def _units(spark, sf_dir) -> DataFrame:
-    """Sentences as the units that are ranked."""
-    return segment.sentences(_docs(spark, sf_dir)).withColumnRenamed("sent_ix", "chunk_ix")
-
-
 def _ranked(hits: DataFrame) -> DataFrame:
     return hits.select(
         "doc_id", F.col("query_ix").cast("long"), F.col("chunk_ix").cast("long"), F.col("rank").cast("long"), F.round("score", 7).alias("score")
@@ -95,12 +91,12 @@ def _ranked(hits: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark, sf_dir):
-    scores = retrieve.bm25(_units(spark, sf_dir), QUERIES).withColumnRenamed("sparse_score", "score")
-    return _ranked(retrieve.top(scores, 3))
+    """Sentences as the units that are ranked."""
+    return _ranked(retrieve.search_rows(_docs(spark, sf_dir), kernels.sentence_spans, QUERIES, 3, dense=False))
 
 
 def hybrid_topk(spark, sf_dir):
-    return _ranked(retrieve.search(_units(spark, sf_dir), QUERIES, 3, HashingEmbedder(64)))
+    return _ranked(retrieve.search_rows(_docs(spark, sf_dir), kernels.sentence_spans, QUERIES, 3, HashingEmbedder(64)))
 
 
 def cosine_topk(spark, sf_dir):
@@ -110,8 +106,7 @@ def cosine_topk(spark, sf_dir):
 
 
 def retrieved_chunks(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    hits = retrieve.search_many(segment.chunks(docs), QUERIES, budget=4)
+    hits = retrieve.search_many_rows(_docs(spark, sf_dir), kernels.chunk_spans, QUERIES, budget=4)
     return hits.select("doc_id", F.col("chunk_ix").cast("long"), F.round("score", 6).alias("score"))
 
 

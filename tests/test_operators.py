@@ -428,3 +428,29 @@ def test_cosine_topk_hands_on_few_rows_of_many_pairs(spark):
     assert "NestedLoopJoin" not in plan._jdf.queryExecution().executedPlan().toString()
     nearest = np.argsort(-(vectors @ vectors.T), axis=1, kind="stable")[:, :3]
     assert {(r.query_id, r.hit_id, r["rank"]) for r in plan.collect()} == {(q, int(h), n + 1) for q, hs in enumerate(nearest) for n, h in enumerate(hs)}
+
+
+def test_rows_are_searched_without_a_shuffle_as_joins_search_them(spark, documents):
+    from spanloom.functions import kernels
+
+    queries = ["topic 3 of the report, the number", "sentence 12"]
+    rows = lambda df, *c: sorted((*[r[k] for k in c], None if r["score"] is None else round(r["score"], 9)) for r in df.collect())
+    key = ("doc_id", "query_ix", "chunk_ix", "rank")
+    chunks = segment.chunks(documents)
+    inside = retrieve.search_rows(documents, kernels.chunk_spans, queries, 3)
+    assert rows(inside, *key) == rows(retrieve.search(chunks, queries, 3), *key)
+    sparse = retrieve.top(retrieve.bm25(chunks, queries).withColumnRenamed("sparse_score", "score"), 3)
+    assert rows(retrieve.search_rows(documents, kernels.chunk_spans, queries, 3, dense=False), *key) == rows(sparse, *key)
+    for budget in (None, 4):
+        many = retrieve.search_many_rows(documents, kernels.chunk_spans, queries, budget=budget)
+        joined = {(d, c) for d, c, _ in rows(retrieve.search_many(chunks, queries, budget=budget), "doc_id", "chunk_ix")}
+        assert {(d, c) for d, c, _ in rows(many, "doc_id", "chunk_ix")} == joined
+        assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in inside._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_topk", "retrieved_chunks"])
+def test_retrieval_queries_shuffle_nothing(spark, sf, name):
+    from spanloom.plans import queries
+
+    assert "Exchange" not in queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
