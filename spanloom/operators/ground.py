@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ from ..config import SETTINGS
 from ..functions.batches import bounded
 from ..functions import kernels
 from ..functions.text import TYPOGRAPHIC, fold_typography, quote_pattern, strip, strip_artifacts, tokens
-from .embedders import _TOKENS, Embedder, HashingEmbedder
-from .summarise import FACTS
+from .embedders import _TOKENS, Embedder, HashingEmbedder, encoded
+from .summarise import FACTS, FACTS_ARROW, candidates
 
 CLAIMS = "array<struct<claim:string,quote:string>>"
 
@@ -32,10 +32,11 @@ def _supports(claims: list[str], pool: list[tuple[str, int, int, int]], embedder
     """
     if not claims or not pool:
         return [[] for _ in claims]
-    sides = [embedder.encode(claims), embedder.encode([p[0] for p in pool])]
+    found = [_TOKENS.findall(text.lower()) for text, *_ in pool]
+    sides = [embedder.encode(claims), encoded(embedder, [p[0] for p in pool], found)]
     words: dict[str, list[int]] = {}
-    for k, (text, *_) in enumerate(pool):
-        for t in set(_TOKENS.findall(text.lower())):
+    for k, toks in enumerate(found):
+        for t in set(toks):
             words.setdefault(t, []).append(k)
     out, w = [], SETTINGS.align_dense_weight
     for claim, vector in zip(claims, sides[0], strict=True):
@@ -59,20 +60,16 @@ def ground(summary: Column, text: Column, chunks_used: Column, embedder: Embedde
     embedder = embedder or HashingEmbedder()
 
     bounded()
-    @F.pandas_udf(FACTS)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for summaries, texts, used in batches:
+    @F.arrow_udf(FACTS)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
             out = []
-            for said, source, chunks in zip(summaries, texts, used, strict=True):
-                said, source = said or "", source or ""
+            for said, source, chunks in zip(*[column.to_pylist() for column in batch], strict=True):
+                said = said or ""
                 claims = [said[a:b] for a, b in kernels.sentence_spans(said)]
-                spans = [(c["start"], c["end"]) for c in chunks] if chunks is not None else []
-                pool = [s for s in kernels.sentence_spans(source) if s[1] - s[0] >= min_chars] if spans else []
-                owned = zip(pool, kernels.owners(pool, spans), strict=True)
-                candidates = [(source[a:b], int(chunks[k]["ix"]), a, b) for (a, b), k in owned if k is not None]
-                found = _supports(claims, candidates, embedder)
+                found = _supports(claims, candidates(source or "", chunks or [], min_chars=min_chars) if claims else [], embedder)
                 out.append([{"text": c, "sources": s} for c, s in zip(claims, found, strict=True)])
-            yield pd.Series(out, dtype=object)
+            yield pa.array(out, FACTS_ARROW)
 
     return run(summary, text, chunks_used)
 
@@ -112,7 +109,7 @@ def locate_quotes(quotes: DataFrame, chunk_rows: DataFrame, *keys: str) -> DataF
     return row.join(first, same, "left").select(*[F.col(f"row.`{c}`").alias(c) for c in quotes.columns], "place.chunk_ix", "place.start", "place.end")
 
 
-CHECKED = f"facts {FACTS}, quotes_asserted int, quotes_verified int, rejected_quotes array<string>"
+CHECKED = f"facts:{FACTS},quotes_asserted:int,quotes_verified:int,rejected_quotes:array<string>"
 _FOLD = str.maketrans(*TYPOGRAPHIC)
 
 
@@ -149,11 +146,13 @@ def verify(claims: Column, text: Column, chunks_used: Column) -> Column:
     """
 
     bounded()
-    @F.pandas_udf(CHECKED)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for replies, texts, used in batches:
-            rows = [_check_claims([] if c is None else list(c), t or "", [] if u is None else list(u)) for c, t, u in zip(replies, texts, used, strict=True)]
-            yield pd.DataFrame(rows, columns=["facts", "quotes_asserted", "quotes_verified", "rejected_quotes"])
+    checked = pa.struct([("facts", FACTS_ARROW), ("quotes_asserted", pa.int32()), ("quotes_verified", pa.int32()), ("rejected_quotes", pa.list_(pa.string()))])
+
+    @F.arrow_udf(f"struct<{CHECKED}>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [_check_claims(c or [], t or "", u or []) for c, t, u in zip(*[column.to_pylist() for column in batch], strict=True)]
+            yield pa.array([dict(zip(checked.names, row, strict=True)) for row in rows], checked)
 
     return run(claims, text, chunks_used)
 

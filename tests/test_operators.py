@@ -454,3 +454,13 @@ def test_retrieval_queries_shuffle_nothing(spark, sf, name):
     from spanloom.plans import queries
 
     assert "Exchange" not in queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_summary_is_one_pass_and_small_batches(spark, documents):
+    """Each pass is another worker that holds a batch of texts."""
+    out = summarise.summarise_extractive(documents)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64
+    apart = summarise.summarise_extractive(documents, chosen=summarise.select_chunks(documents.select("doc_id", "text"), summarise.aspect_queries("generic")))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(out) == rows(apart.select(out.columns))
