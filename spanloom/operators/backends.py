@@ -8,14 +8,14 @@ values in the ``error`` column: a document that fails never fails its task.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULT_LENGTH, LENGTH_SENTENCES, SETTINGS, aspect_queries
 from ..functions import kernels
@@ -27,6 +27,11 @@ from .summarise import FACTS, select_chunks, summarise_extractive
 from .transport import ChatClient, GenerationError, LocalModel, Pacer, QuotaExhausted, Truncated, parse_wait, required_key  # noqa: F401
 
 REPLY = "content string, blocks array<struct<text:string,citations:array<struct<type:string,cited_text:string,document_index:int,start_char_index:int,end_char_index:int>>>>, stop_reason string, model string, input_tokens long, output_tokens long, error string"
+_CITATION = pa.struct([("type", pa.string()), ("cited_text", pa.string()), ("document_index", pa.int32()), ("start_char_index", pa.int32()), ("end_char_index", pa.int32())])
+REPLY_ARROW = pa.struct([
+    ("content", pa.string()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("citations", pa.list_(_CITATION))]))), ("stop_reason", pa.string()),
+    ("model", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("error", pa.string()),
+])
 LENGTH_NOTES = {
     "brief": "Keep to the three or four facts that matter most.",
     "standard": "Write a short paragraph of the main facts.",
@@ -62,6 +67,8 @@ class EchoGenerator:
     def complete(self, prompt: dict) -> dict:
         said = []
         for k, text in enumerate(prompt["excerpts"]):
+            if len(said) >= self.sentences:
+                break
             said += [(k, a, b, text[a:b]) for a, b in kernels.sentence_spans(text)]
         said = said[: self.sentences]
         cite = lambda k, a, b, t: {"type": "char_location", "cited_text": t, "document_index": k, "start_char_index": a, "end_char_index": b}
@@ -87,24 +94,32 @@ class RefusingGenerator:
 # ---------------------------------------------------------------- generation on Spark
 
 
+def _replies(rows: list[dict]) -> pa.Array:
+    """Replies as REPLY has them, missing fields null; one of other types is an error of its document."""
+    try:
+        return pa.array(rows, REPLY_ARROW)
+    except (pa.ArrowException, TypeError, ValueError) as e:
+        if len(rows) == 1:
+            return pa.array([{"error": f"{type(e).__name__}: {e}"}], REPLY_ARROW)
+        return pa.concat_arrays([_replies([row]) for row in rows])
+
+
 def _complete(excerpts: Column, documents: Column, generator: Generator, task: str, as_json: bool, max_tokens: int) -> Column:
     """The replies to prompts over (texts, blocks); a document without texts is not asked for."""
     bounded()
-    names = [part.split()[0] for part in re.split(r", (?=\w+ (?:string|long)\b)|, (?=blocks )", REPLY)]
 
-    @F.pandas_udf(REPLY)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def reply(texts: list[str] | None, blocks: str | None) -> dict:
+        if not texts:
+            return {}
+        try:
+            return generator.complete({"task": task, "excerpts": texts, "documents": blocks, "json": as_json, "max_tokens": max_tokens})
+        except Exception as e:  # noqa: BLE001  a failed document is a row, not a failed task
+            return {"error": f"{type(e).__name__}: {e}"}
+
+    @F.arrow_udf(StructType.fromDDL(REPLY))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = []
-            for texts, blocks in zip(*batch, strict=True):
-                reply: dict = {}
-                if texts is not None and len(texts):
-                    try:
-                        reply = generator.complete({"task": task, "excerpts": list(texts), "documents": blocks, "json": as_json, "max_tokens": max_tokens})
-                    except Exception as e:  # noqa: BLE001  a failed document is a row, not a failed task
-                        reply = {"error": f"{type(e).__name__}: {e}"}
-                rows.append([reply.get(n) for n in names])
-            yield pd.DataFrame(rows, columns=names)
+            yield _replies([reply(*row) for row in zip(*[column.to_pylist() for column in batch], strict=True)])
 
     return run(excerpts, documents)
 

@@ -114,7 +114,8 @@ _FOLD = str.maketrans(*TYPOGRAPHIC)
 
 
 def _check_claims(claims: list, text: str, chunks: list) -> tuple[list, int, int, list[str]]:
-    shown = [(int(c["ix"]), c["start"], text[c["start"] : c["end"]].translate(_FOLD)) for c in chunks]
+    folded = text if text.isascii() else text.translate(_FOLD)
+    shown = [(int(c["ix"]), c["start"], folded[c["start"] : c["end"]]) for c in chunks]
     facts, asserted, rejected = [], 0, []
     for entry in claims:
         claim, quote = (entry["claim"] or "").strip(), (entry["quote"] or "").strip()

@@ -459,8 +459,22 @@ def test_retrieval_queries_shuffle_nothing(spark, sf, name):
 def test_a_summary_is_one_pass_and_small_batches(spark, documents):
     """Each pass is another worker that holds a batch of texts."""
     out = summarise.summarise_extractive(documents)
-    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.count("Scan ")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64
     apart = summarise.summarise_extractive(documents, chosen=summarise.select_chunks(documents.select("doc_id", "text"), summarise.aspect_queries("generic")))
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(out) == rows(apart.select(out.columns))
+
+
+def test_a_reply_of_other_types_is_an_error_of_its_document():
+    first, second = backends._replies([{"content": "a", "more": 1}, {"content": 3}]).to_pylist()
+    assert first["content"] == "a" and first["error"] is None
+    assert second["content"] is None and second["error"]
+
+
+def test_the_stand_in_splits_no_more_excerpts_than_it_says(monkeypatch):
+    split = []
+    monkeypatch.setattr(backends.kernels, "sentence_spans", lambda text: split.append(text) or [(0, len(text))])
+    reply = backends.EchoGenerator(sentences=2).complete({"excerpts": ["One.", "Two.", "Three."], "json": False})
+    assert split == ["One.", "Two."] and reply["content"].startswith("One. Two.")
