@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected
-from .near_copies import likeness_links, set_ids
+from .near_copies import likeness_links, set_id, shingle_set
 
 #: Fixed values of the contract: words in a shingle, differing bits of a link, hash seed.
 SHINGLE, BUDGET, SEED = 3, 2, 42
@@ -64,6 +64,21 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return signed(text)
 
 
+def fingerprints_and_sets(text: Column, shingle: int = SHINGLE) -> Column:
+    """A struct of :func:`simhash` (fp) and of the digest of the text's set of shingles (set).
+
+    Both come from one worker: two iterator UDFs side by side keep two for each task, and those live on.
+    """
+
+    @F.pandas_udf("fp long, set long")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            fp = np.array([simhash(t, shingle) for t in texts], np.uint64).astype(np.int64)
+            yield pd.DataFrame({"fp": fp, "set": pd.array([set_id(shingle_set(t)) for t in texts], dtype="Int64")})
+
+    return both(text)
+
+
 def trie_groups(prints: np.ndarray, budget: int) -> np.ndarray:
     """For sorted distinct uint64 fingerprints: the index of each one's group representative.
 
@@ -203,8 +218,12 @@ def near_duplicate_groups(
     table gives no rows; other columns are not read.
     """
     common.small_batches(docs.sparkSession)
-    sets = [set_ids(F.col("text")).alias("set"), F.xxhash64("text").alias("digest")] if likeness else []
-    prints = common.materialise(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp"), *sets), "simhash")
+    if likeness:
+        prints = docs.select("doc_id", fingerprints_and_sets(F.col("text"), shingle).alias("both"), F.xxhash64("text").alias("digest"))
+        prints = prints.select("doc_id", "both.fp", "both.set", "digest")
+    else:
+        prints = docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp"))
+    prints = common.materialise(prints, "simhash")
     classes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     links = hamming_links(classes.select("fp"), budget, max_trie)
     if likeness:

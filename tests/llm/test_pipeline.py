@@ -53,3 +53,35 @@ def test_awkward_rows(spark, tmp_path):
         for _, stage in pipeline.STAGES[:-1]:
             docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
         pipeline.STAGES[-1][1](spark, docs, folder).collect()
+
+
+def most_workers(df):
+    """The most Python workers that one task of the plan keeps: its Python nodes between two exchanges."""
+    most = 0
+
+    def of(node):
+        nonlocal most
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return of(node.initialPlan())
+        name, children = node.nodeName(), node.children()
+        below = [of(children.apply(i)) for i in range(children.size())]
+        n = (max if name == "Union" else sum)(below or [0]) + ("EvalPython" in name or "InPandas" in name)
+        most = max(most, n)
+        return 0 if "Exchange" in name else n
+
+    of(df._jdf.queryExecution().executedPlan())
+    return most
+
+
+def test_a_task_keeps_one_python_worker(spark, sf, tmp_path, monkeypatch):
+    """Workers live on from stage to stage, so every further one of a task is paid for by all of them."""
+    written, materialise = [], simhash_dedup.common.materialise
+    monkeypatch.setattr(simhash_dedup.common, "materialise", lambda df, name: written.append((name, most_workers(df))) or materialise(df, name))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        written.append((name, most_workers(out)))
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert ("simhash", 1) in written
+    assert [x for x in written if x[1] > 1] == []
