@@ -8,8 +8,9 @@ values in the ``error`` column: a document that fails never fails its task.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
@@ -63,14 +64,21 @@ class EchoGenerator:
     sentences: int = 3
     invent: bool = True
     invented: str = "The committee approved 731 spacecraft on the moon."
+    #: The last list of excerpts and its sentences: backends that are compared ask with one list.
+    last: tuple = field(default=(None, ()), init=False, repr=False, compare=False)
+
+    def _said(self, excerpts: list[str]) -> list[tuple[int, int, int, str]]:
+        if self.last[0] is not excerpts:
+            said = []
+            for k, text in enumerate(excerpts):
+                if len(said) >= self.sentences:
+                    break
+                said += [(k, a, b, text[a:b]) for a, b in kernels.sentence_spans(text)]
+            self.last = excerpts, said[: self.sentences]
+        return self.last[1]
 
     def complete(self, prompt: dict) -> dict:
-        said = []
-        for k, text in enumerate(prompt["excerpts"]):
-            if len(said) >= self.sentences:
-                break
-            said += [(k, a, b, text[a:b]) for a, b in kernels.sentence_spans(text)]
-        said = said[: self.sentences]
+        said = self._said(prompt["excerpts"])
         cite = lambda k, a, b, t: {"type": "char_location", "cited_text": t, "document_index": k, "start_char_index": a, "end_char_index": b}
         blocks = [{"text": t, "citations": [cite(k, a, b, t)]} for k, a, b, t in said]
         claims = [{"claim": t, "quote": t} for *_, t in said]
@@ -104,22 +112,81 @@ def _replies(rows: list[dict]) -> pa.Array:
         return pa.concat_arrays([_replies([row]) for row in rows])
 
 
-def _complete(excerpts: Column, documents: Column, generator: Generator, task: str, as_json: bool, max_tokens: int) -> Column:
-    """The replies to prompts over (texts, blocks); a document without texts is not asked for."""
-    bounded()
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _is_plain(row: dict) -> bool:
+    """Whether a reply is certain to come back from an Arrow array as it is, but for missing fields."""
+    texts, short, long = [row.get(n) for n in ("content", "stop_reason", "model", "error")], [], [row.get(n) for n in ("input_tokens", "output_tokens")]
+    blocks = row.get("blocks")
+    if blocks is not None:
+        if type(blocks) is not list:
+            return False
+        for block in blocks:
+            if type(block) is not dict or type(block.get("citations", [])) is not list:
+                return False
+            texts.append(block.get("text"))
+            for c in block.get("citations", []):
+                if type(c) is not dict:
+                    return False
+                texts += c.get("type"), c.get("cited_text")
+                short += c.get("document_index"), c.get("start_char_index"), c.get("end_char_index")
+    none = type(None)
+    if not set(map(type, texts)) <= {str, none} or not set(map(type, short + long)) <= {int, none}:
+        return False
+    if not all(n is None or -(1 << 31) <= n < 1 << 31 for n in short) or not all(n is None or -(1 << 63) <= n < 1 << 63 for n in long):
+        return False
+    return not any(t and not t.isascii() and _SURROGATE.search(t) for t in texts)
+
+
+def checked_reply(row: dict) -> dict:
+    """The same for one reply, on values of Python."""
+    if type(row) is dict and _is_plain(row):
+        return row
+    return _replies([row]).to_pylist()[0]
+
+
+@dataclass
+class Request:
+    """What one backend asks of its generator for each document."""
 
-    def reply(texts: list[str] | None, blocks: str | None) -> dict:
+    generator: Generator
+    task: str
+    json: bool
+    max_tokens: int
+
+    def reply(self, texts: list[str] | None, blocks: str | None) -> dict:
+        """The reply, or its error; a document without texts is not asked for."""
         if not texts:
             return {}
         try:
-            return generator.complete({"task": task, "excerpts": texts, "documents": blocks, "json": as_json, "max_tokens": max_tokens})
+            return self.generator.complete({"task": self.task, "excerpts": texts, "documents": blocks, "json": self.json, "max_tokens": self.max_tokens})
         except Exception as e:  # noqa: BLE001  a failed document is a row, not a failed task
             return {"error": f"{type(e).__name__}: {e}"}
 
+
+def request(backend: str, generator: Generator | None, tasks: int, length: str | None = None, instruction: str | None = None) -> Request:
+    """The request of a backend that generates, for one of so many tasks."""
+    limits = {"api": SETTINGS.api_tokens, "local": SETTINGS.local_tokens, "remote": SETTINGS.remote_tokens, "verified": SETTINGS.verified_tokens}
+    if backend not in limits:
+        raise ValueError(f"no backend {backend!r}; there are extractive, {', '.join(limits)}")
+    if generator is None:
+        raise ValueError(f"the {backend} backend needs a generator")
+    verified = backend == "verified"
+    task = f"{instruction or TASK} {CLAIM_TASK}" if verified else task_text(length, instruction, TASK)
+    if isinstance(generator, ChatClient):
+        generator = generator.shared(tasks)
+    return Request(generator, task, verified, limits[backend])
+
+
+def _complete(excerpts: Column, documents: Column, asked: Request) -> Column:
+    """The replies to prompts over (texts, blocks)."""
+    bounded()
+
     @F.arrow_udf(StructType.fromDDL(REPLY))
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield _replies([reply(*row) for row in zip(*[column.to_pylist() for column in batch], strict=True)])
+            yield _replies([asked.reply(*row) for row in zip(*[column.to_pylist() for column in batch], strict=True)])
 
     return run(excerpts, documents)
 
@@ -145,20 +212,13 @@ def summarise(
         out = summarise_extractive(docs, aspects, top_k, chunk_budget, None, length, embedder, chosen)
         none = F.lit(None).cast("string")
         return out.withColumns({"refusal": none, "usage": F.lit(None).cast(usage_type), "error": none})
-    limits = {"api": SETTINGS.api_tokens, "local": SETTINGS.local_tokens, "remote": SETTINGS.remote_tokens, "verified": SETTINGS.verified_tokens}
-    if backend not in limits:
-        raise ValueError(f"no backend {backend!r}; there are extractive, {', '.join(limits)}")
-    if generator is None:
-        raise ValueError(f"the {backend} backend needs a generator")
+    asked = request(backend, generator, docs.sparkSession.sparkContext.defaultParallelism, length, instruction)
     if chosen is None:
         chosen = select_chunks(docs.select("doc_id", "text"), aspect_queries(aspects), top_k, chunk_budget, embedder)
     excerpts = F.transform("chunks_used", lambda c: cut(F.col("text"), c["start"], c["end"]))
     verified = backend == "verified"
-    task = f"{instruction or TASK} {CLAIM_TASK}" if verified else task_text(length, instruction, TASK)
-    if isinstance(generator, ChatClient):
-        generator = generator.shared(docs.sparkSession.sparkContext.defaultParallelism)
     blocks = document_blocks(F.col("text"), F.col("chunks_used")) if backend == "api" else F.lit(None).cast("string")
-    df = chosen.withColumn("__r", _complete(excerpts, blocks, generator, task, verified, limits[backend]))
+    df = chosen.withColumn("__r", _complete(excerpts, blocks, asked))
     refused = F.col("__r.stop_reason") == "refusal"
     content, blank = F.coalesce(F.col("__r.content"), F.lit("")), F.from_json(F.lit("[]"), FACTS)
     checked = None
@@ -198,3 +258,15 @@ def document_blocks(text: Column, chunks_used: Column) -> Column:
         F.struct(F.lit(True).alias("enabled")).alias("citations"),
     )
     return F.to_json(F.transform(chunks_used, block))
+
+
+def block_json(text: str, chunks: list[dict]) -> str:
+    """The same for one text, on values of Python."""
+    return json.dumps([
+        {
+            "type": "document", "source": {"type": "text", "media_type": "text/plain", "data": text[c["start"] : c["end"]]},
+            "title": f"[{c['ix']}] chars {c['start']}-{c['end']}",
+            "context": f"Excerpt {c['ix'] + 1} of the document, characters {c['start']} to {c['end']}.", "citations": {"enabled": True},
+        }
+        for c in chunks
+    ], ensure_ascii=False, separators=(",", ":"))

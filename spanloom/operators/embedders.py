@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,15 @@ import numpy as np
 from ..functions.text import TOKEN
 
 _TOKENS = re.compile(TOKEN)
+_DECIMAL, _APART = re.compile(r"\.[0-9]"), bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def token_list(text: str) -> list[str]:
+    """The matches of TOKEN in a text's lower case. Without decimals they are what other characters part."""
+    low = text.lower()
+    if _DECIMAL.search(low):
+        return _TOKENS.findall(low)
+    return low.encode(errors="replace").translate(_APART).decode("ascii").split()
 
 
 class Embedder(Protocol):
@@ -20,10 +30,25 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
-@lru_cache(maxsize=1 << 16)
 def bucket(token: str, dims: int) -> int:
     """The first 32 bits of the token's MD5, modulo ``dims``."""
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dims
+    return int.from_bytes(hashlib.md5(token.encode(), usedforsecurity=False).digest()[:4], "big") % dims
+
+
+class _Buckets(dict):
+    """Buckets of the tokens met by a worker; begun anew when it holds the most that it may."""
+
+    def __init__(self, dims: int, most: int = 1 << 16):
+        self.dims, self.most = dims, most
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = found = bucket(token, self.dims)
+        return found
+
+
+_buckets = lru_cache(maxsize=4)(_Buckets)
 
 
 class HashingEmbedder:
@@ -33,12 +58,12 @@ class HashingEmbedder:
         self.dims = dims
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        return self.encode_tokens([_TOKENS.findall(text.lower()) for text in texts])
+        return self.encode_tokens([token_list(text) for text in texts])
 
     def encode_tokens(self, texts: list[list[str]]) -> np.ndarray:
         """The same from the texts' tokens, for callers that need them anyway. All counts are made at once."""
         n, dims = len(texts), self.dims
-        places = np.array([bucket(t, dims) for tokens in texts for t in tokens], np.intp)
+        places = np.fromiter(map(_buckets(dims).__getitem__, chain.from_iterable(texts)), np.intp)
         places += np.repeat(np.arange(0, n * dims, dims), [len(tokens) for tokens in texts])
         out = np.bincount(places, minlength=n * dims).astype(float).reshape(n, dims)
         norm = np.linalg.norm(out, axis=1, keepdims=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions.batches import bounded
-from ..functions import kernels
+from ..functions import kernels, plain
 from ..functions.text import TYPOGRAPHIC, fold_typography, quote_pattern, strip, strip_artifacts, tokens
-from .embedders import _TOKENS, Embedder, HashingEmbedder, encoded
+from .embedders import Embedder, HashingEmbedder, encoded, token_list
 from .summarise import FACTS, FACTS_ARROW, candidates
 
 CLAIMS = "array<struct<claim:string,quote:string>>"
@@ -23,27 +24,29 @@ CLAIMS = "array<struct<claim:string,quote:string>>"
 # ---------------------------------------------------------------- by similarity
 
 
-def _supports(claims: list[str], pool: list[tuple[str, int, int, int]], embedder: Embedder) -> list[list[dict]]:
+Candidates = list[tuple[str, int, int, int]]
+
+
+def _sides(pool: Candidates, embedder: Embedder) -> tuple[list[list[str]], np.ndarray]:
+    """Tokens and vectors of candidates."""
+    found = [token_list(text) for text, *_ in pool]
+    return found, encoded(embedder, [p[0] for p in pool], found)
+
+
+def _supports(claims: list[str], pool: Candidates, embedder: Embedder, sides: tuple[list[list[str]], np.ndarray] | None = None) -> list[list[dict]]:
     """Sources of each claim: at most three candidates close to its best one, in document order.
 
-    Token sets are made once for each side. One claim meets all candidates at a time, so memory grows
-    with their sum, not their product. Scores are compared to nine digits, so that a score which is the
-    threshold but for the order of a sum reaches it.
+    Tokens and vectors are made once for each side, those of the pool perhaps by the caller. One claim meets
+    all candidates at a time, so memory grows with their sum, not their product. Scores are compared to nine
+    digits, so that a score which is the threshold but for the order of a sum reaches it.
     """
     if not claims or not pool:
         return [[] for _ in claims]
-    found = [_TOKENS.findall(text.lower()) for text, *_ in pool]
-    sides = [embedder.encode(claims), encoded(embedder, [p[0] for p in pool], found)]
-    words: dict[str, list[int]] = {}
-    for k, toks in enumerate(found):
-        for t in set(toks):
-            words.setdefault(t, []).append(k)
-    out, w = [], SETTINGS.align_dense_weight
-    for claim, vector in zip(claims, sides[0], strict=True):
-        shared, mine = np.zeros(len(pool)), set(_TOKENS.findall(claim.lower()))
-        for t in mine:
-            shared[words.get(t, [])] += 1
-        score = (w * (sides[1] @ vector) + (1 - w) * (shared / len(mine) if mine else shared)).round(9)
+    found, vectors = sides or _sides(pool, embedder)
+    said, w, out = [token_list(claim) for claim in claims], SETTINGS.align_dense_weight, []
+    for mine, vector in zip(map(set, said), encoded(embedder, claims, said), strict=True):
+        shared = np.fromiter(map(len, map(mine.intersection, found)), float, len(pool))
+        score = (w * (vectors @ vector) + (1 - w) * (shared / len(mine) if mine else shared)).round(9)
         near = np.argsort(-score, kind="stable")[: SETTINGS.align_spans]
         floor = max(SETTINGS.align_threshold, (score[near[0]] - SETTINGS.align_margin).round(9))
         kept = sorted((int(k) for k in near if score[k] >= floor), key=lambda k: pool[k][2])
@@ -51,6 +54,12 @@ def _supports(claims: list[str], pool: list[tuple[str, int, int, int]], embedder
     return out
 
 
+def _grounded(said: str, pool: Candidates, embedder: Embedder, sides: tuple[list[list[str]], np.ndarray] | None = None) -> list[dict]:
+    """The sentences of a generated summary with their sources."""
+    claims = [said[a:b] for a, b in kernels.sentence_spans(said)]
+    return [{"text": c, "sources": s} for c, s in zip(claims, _supports(claims, pool, embedder, sides), strict=True)]
+
+
 def ground(summary: Column, text: Column, chunks_used: Column, embedder: Embedder | None = None, min_chars: int = SETTINGS.min_sentence) -> Column:
     """Facts of a generated summary: its sentences, each with the source sentences that support it.
 
@@ -66,9 +75,7 @@ def ground(summary: Column, text: Column, chunks_used: Column, embedder: Embedde
             out = []
             for said, source, chunks in zip(*[column.to_pylist() for column in batch], strict=True):
                 said = said or ""
-                claims = [said[a:b] for a, b in kernels.sentence_spans(said)]
-                found = _supports(claims, candidates(source or "", chunks or [], min_chars=min_chars) if claims else [], embedder)
-                out.append([{"text": c, "sources": s} for c, s in zip(claims, found, strict=True)])
+                out.append(_grounded(said, candidates(source or "", chunks or [], min_chars=min_chars) if said.strip() else [], embedder))
             yield pa.array(out, FACTS_ARROW)
 
     return run(summary, text, chunks_used)
@@ -87,6 +94,33 @@ def parse_claims(content: Column) -> Column:
     return F.filter(found, lambda c: F.coalesce(c["claim"], F.lit("")) != "")
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+#: Longer replies are left to the engine's parser, which has limits of its own.
+_PLAIN_REPLY = 1 << 20
+
+
+def plain_claims(content: str) -> list[dict] | None:
+    """What :func:`parse_claims` reads from a reply that is only an object of claims of two strings each; None for any other.
+
+    Such a reply has one reading. Others (prose around the object, other types, fields named twice) are the engine's to read.
+    """
+    bare = plain.strip_artifacts(content)
+    if not bare.startswith("{") or len(bare) > _PLAIN_REPLY:
+        return None
+    try:
+        (key, entries), *more = json.loads(bare, object_pairs_hook=tuple)
+    except ValueError:
+        return None
+    if more or key != "claims" or type(entries) is not list:
+        return None
+    out = []
+    for entry in entries:
+        if type(entry) is not tuple or [name for name, _ in entry] != ["claim", "quote"] or not all(type(v) is str and not _SURROGATE.search(v) for _, v in entry):
+            return None
+        out.append(dict(entry))
+    return [c for c in out if c["claim"]]
+
+
 def locate_quotes(quotes: DataFrame, chunk_rows: DataFrame, *keys: str) -> DataFrame:
     """``quotes`` (keys..., quote) plus chunk_ix, start and end of the first chunk that holds it; null if none does.
 
@@ -113,8 +147,36 @@ CHECKED = f"facts:{FACTS},quotes_asserted:int,quotes_verified:int,rejected_quote
 _FOLD = str.maketrans(*TYPOGRAPHIC)
 
 
+_FOLDED = re.compile(f"[{''.join(map(chr, _FOLD))}]")
+
+
+def _folded(text: str) -> str:
+    return text.translate(_FOLD) if not text.isascii() and _FOLDED.search(text) else text
+
+
+def _place(words: list[str], text: str) -> kernels.Span | None:
+    """Where words first stand in a text, one after another with any white space between them."""
+    if max(words, key=len) not in text:
+        return None
+    first, *rest = words
+    start = text.find(first)
+    while start >= 0:
+        end = start + len(first)
+        for word in rest:
+            at = end
+            while text[at : at + 1].isspace():
+                at += 1
+            if at == end or not text.startswith(word, at):
+                break
+            end = at + len(word)
+        else:
+            return start, end
+        start = text.find(first, start + 1)
+    return None
+
+
 def _check_claims(claims: list, text: str, chunks: list) -> tuple[list, int, int, list[str]]:
-    folded = text if text.isascii() else text.translate(_FOLD)
+    folded = _folded(text)
     shown = [(int(c["ix"]), c["start"], folded[c["start"] : c["end"]]) for c in chunks]
     facts, asserted, rejected = [], 0, []
     for entry in claims:
@@ -124,15 +186,14 @@ def _check_claims(claims: list, text: str, chunks: list) -> tuple[list, int, int
         sources = []
         if quote:
             asserted += 1
-            words = quote.translate(_FOLD).strip()
-            pattern = re.compile(r"\s+".join(map(re.escape, words.split())))
-            hits = ((ix, at, m) for ix, at, part in shown if (m := pattern.search(part))) if len(words) >= SETTINGS.min_quote else ()
+            words = _folded(quote).strip()
+            hits = ((ix, at, place) for ix, at, part in shown if (place := _place(words.split(), part))) if len(words) >= SETTINGS.min_quote else ()
             found = next(iter(hits), None)
             if found is None:
                 rejected.append(quote)
             else:
-                ix, at, m = found
-                a, b = at + m.start(), at + m.end()
+                ix, at, (a, b) = found
+                a, b = at + a, at + b
                 sources = [{"cited_text": text[a:b], "chunk_ix": ix, "start": a, "end": b, "support": 1.0}]
         facts.append({"text": claim, "sources": sources})
     return facts, asserted, asserted - len(rejected), rejected
@@ -190,6 +251,20 @@ def shift_citations(blocks: Column, text: Column, chunks_used: Column) -> Column
     return F.transform(said, lambda b: F.struct(b["text"].alias("text"), cited(b).alias("sources")))
 
 
+def _shifted(blocks: list[dict | None] | None, chunks: list[dict]) -> list[dict]:
+    """The same for one reply, on values of Python."""
+
+    def source(c: dict) -> dict:
+        chunk = chunks[c["document_index"]]
+        a, b = (None if c.get(k) is None else chunk["start"] + c[k] for k in ("start_char_index", "end_char_index"))
+        return {"cited_text": c.get("cited_text"), "chunk_ix": chunk["ix"], "start": a, "end": b, "support": None}
+
+    def usable(c: dict | None) -> bool:
+        return c is not None and c.get("type") == "char_location" and c.get("document_index") is not None and 0 <= c["document_index"] < len(chunks)
+
+    return [{"text": b["text"], "sources": [source(c) for c in b.get("citations") or [] if usable(c)]} for b in blocks or [] if b and b.get("text")]
+
+
 def aligned(claims: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Best token containment of each claim among the sources with the same key: (key, claim_ix, containment, source_ix)."""
     from pyspark.sql import Window

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import plain
 from ..functions.batches import bounded
 from ..functions.kernels import lcs_length
 from ..functions.text import cut, is_claim_like, let, numbers, numeric_forms, squeeze, strip, tokens
@@ -128,15 +129,52 @@ SCORES = (
 )
 
 
+def _is_invalid(s: dict, text: str) -> bool:
+    a, b = s["start"], s["end"]
+    if (a is not None and a < 0) or (b is not None and b > len(text)) or (None not in (a, b) and a > b):
+        return True
+    if None in (a, b, s["cited_text"]):
+        return False
+    return text[a:b] != s["cited_text"] and plain.squeeze(text[a:b]) != plain.squeeze(s["cited_text"])
+
+
+#: Scores of facts without a reference: not rounded, on values of Python.
+FACT_SCORES = "attribution_coverage double, citation_integrity double, numeric_fidelity double, invalid_citations int, n_claims int, n_spans int"
+
+
+def source_forms(text: str) -> set[str]:
+    """All forms of a source's numbers."""
+    return {form for n in set(plain.numbers(text)) for form in plain.numeric_forms(n)}
+
+
+def fact_scores(summary: str, facts: list[dict], text: str, supported: set[str]) -> dict:
+    """FACT_SCORES of one summary, as the columns above give them; ``supported`` are the forms of its source's numbers."""
+    sizes = [len(plain.strip(f["text"])) for f in facts]
+    total, cited = sum(sizes), sum(n for n, f in zip(sizes, facts, strict=True) if f["sources"])
+    spans = [s for f in facts for s in f["sources"]]
+    wrong = sum(_is_invalid(s, text) for s in spans)
+    said = plain.numbers(summary)
+    missing = sum(supported.isdisjoint(plain.numeric_forms(n)) for n in said)
+    return {
+        "attribution_coverage": cited / total if total else 0.0, "citation_integrity": (len(spans) - wrong) / len(spans) if spans else 1.0,
+        "numeric_fidelity": (len(said) - missing) / len(said) if said else 1.0, "invalid_citations": wrong,
+        "n_claims": sum(plain.is_claim_like(f["text"]) for f in facts), "n_spans": len(spans),
+    }
+
+
+def rouge_scores(summary: Column, reference: Column | None) -> list[Column]:
+    """ROUGE-1, 2 and L against a reference; 0 without one."""
+    if reference is None:
+        return [F.lit(0.0)] * 3
+    has = F.coalesce(reference, F.lit("")) != ""
+    pick = lambda s: F.when(has, s["f1"]).otherwise(0.0)
+    return [pick(rouge_n_column(summary, reference, n)) for n in (1, 2)] + [pick(rouge_l(summary, reference))]
+
+
 def score(results: DataFrame, reference: str | None = None) -> DataFrame:
     """``results`` (doc_id, text, summary, facts) with a column for each score, rates rounded to four digits."""
     summary, source, facts = F.col("summary"), F.col("text"), F.col("facts")
-    if reference:
-        has = F.coalesce(F.col(reference), F.lit("")) != ""
-        pick = lambda s: F.when(has, s["f1"]).otherwise(0.0)
-        rouge = [pick(rouge_n_column(summary, F.col(reference), n)) for n in (1, 2)] + [pick(rouge_l(summary, F.col(reference)))]
-    else:
-        rouge = [F.lit(0.0)] * 3
+    rouge = rouge_scores(summary, F.col(reference) if reference else None)
     rates = [*rouge, coverage(facts), citation_integrity(facts, source), numeric_fidelity(summary, source)]
     counts = [invalid_citations(facts, source), F.size(F.filter(facts, lambda f: is_claim_like(f["text"]))), F.size(all_spans(facts))]
     values = [F.round(r, 4) for r in rates] + counts

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS, aspect_queries, sentence_cap
 from ..functions.batches import bounded
 from ..functions import kernels
-from .embedders import _TOKENS, Embedder, HashingEmbedder, encoded
+from .embedders import Embedder, HashingEmbedder, encoded, token_list
 
 #: One source span of a fact; support is null where the span is authoritative.
 SOURCE = "struct<cited_text:string,chunk_ix:int,start:int,end:int,support:double>"
@@ -44,17 +44,17 @@ def _chosen(text: str, spans: list[kernels.Span], words: list[list[str]], asked:
     kept = range(len(spans))
     if spans and (budget is not None or len(spans) > max(top_k, SETTINGS.top_k_max)):
         parts = [text[a:b] for a, b in spans]
-        found = [_TOKENS.findall(p.lower()) for p in parts]
+        found = [token_list(p) for p in parts]
         sparse, dense = kernels.scaled(kernels.bm25(found, words)), kernels.scaled(asked @ encoded(embedder, parts, found).T)
         kept, _ = kernels.retrieved(SETTINGS.dense_weight * dense + (1 - SETTINGS.dense_weight) * sparse, top_k, budget)
     return [{"ix": k, "start": spans[k][0], "end": spans[k][1]} for k in kept]
 
 
-def _facts(owned: list[tuple[str, int, int, int]], asked: np.ndarray, cap: int | None, embedder: Embedder) -> list[dict]:
-    """Facts of a text from its candidates."""
+def _facts(owned: list[tuple[str, int, int, int]], asked: np.ndarray, cap: int | None, embedder: Embedder, mine: np.ndarray | None = None) -> list[dict]:
+    """Facts of a text from its candidates, whose vectors may be given."""
     if not owned:
         return []
-    mine = embedder.encode([c[0] for c in owned])
+    mine = embedder.encode([c[0] for c in owned]) if mine is None else mine
     picked = sorted(kernels.select(asked @ mine.T, mine, cap or kernels.sentence_budget(len(owned))))
     return [{"text": t, "sources": [{"cited_text": t, "chunk_ix": ix, "start": a, "end": b, "support": None}]} for t, ix, a, b in map(owned.__getitem__, picked)]
 
@@ -65,7 +65,7 @@ def chosen_chunks(text: Column, queries: list[str], top_k: int, budget: int | No
 
     @F.arrow_udf(CHUNKS)
     def choose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        asked, words = embedder.encode(queries), [_TOKENS.findall(q.lower()) for q in queries]
+        asked, words = embedder.encode(queries), [token_list(q) for q in queries]
         for texts in batches:
             yield pa.array([_chosen(t, kernels.chunk_spans(t), words, asked, top_k, budget, embedder) for t in (t or "" for t in texts.to_pylist())], CHUNKS_ARROW)
 
@@ -93,7 +93,7 @@ def summary_parts(text: Column, queries: list[str], top_k: int, budget: int | No
 
     @F.arrow_udf(f"struct<chunks_used:{CHUNKS},facts:{FACTS}>")
     def choose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        asked, words = embedder.encode(queries), [_TOKENS.findall(q.lower()) for q in queries]
+        asked, words = embedder.encode(queries), [token_list(q) for q in queries]
 
         def both(text: str) -> dict:
             sentences = kernels.sentence_spans(text)

@@ -478,3 +478,134 @@ def test_the_stand_in_splits_no_more_excerpts_than_it_says(monkeypatch):
     monkeypatch.setattr(backends.kernels, "sentence_spans", lambda text: split.append(text) or [(0, len(text))])
     reply = backends.EchoGenerator(sentences=2).complete({"excerpts": ["One.", "Two.", "Three."], "json": False})
     assert split == ["One.", "Two."] and reply["content"].startswith("One. Two.")
+
+
+class Odd:
+    """Replies of many kinds, by their prompt: prose, JSON in several forms, citations, refusals, errors and wrong types."""
+
+    def complete(self, prompt):
+        said = prompt["excerpts"][0]
+        first, kind = said[:120], len(said) % 12
+        number = "It cost 1,234 or 01/02 and 25 000 and ٣٤."
+        reply = {"content": [first, f"<think>x</think>Here is it:  {first} {number}\x1c", f"SUMMARY: {number}", ""][kind % 4], "stop_reason": "stop"}
+        if prompt["json"]:
+            pair = json.dumps({"claims": [{"claim": first, "quote": first}, {"claim": number, "quote": number}, {"claim": "", "quote": "x"}]})
+            forms = [pair, f"Sure: {pair} done", json.dumps([{"claim": first, "quote": "  " + first.replace(" ", "\n\t")}]), '{"claims":[{"claim":5,"quote":null}]}',
+                     '{"claims":[{"claim":"a","quote":"b","claim":"c"}]}', "{'claims':[{'claim':'a b c d e','quote':'f'}]}", '{"claims": 3}', "not json", '{"claims":[{"claim":"\\ud800","quote":"q"}]}']
+            reply["content"] = forms[kind % 9]
+        good = {"type": "char_location", "cited_text": said[2:30], "document_index": 0, "start_char_index": 2, "end_char_index": 30}
+        wrong = [{"cited_text": "other"}, {"document_index": 99}, {"document_index": None}, {"start_char_index": -5000}, {"end_char_index": 10**6}, {"end_char_index": 1},
+                 {"start_char_index": None}, {"cited_text": None}, {"type": "page"}, {"type": None}, {"cited_text": said[2:30].replace(" ", "  ")}]
+        reply["blocks"] = [{"text": f"{first}　", "citations": [good, good | wrong[len(said) % 11]]}, {"text": number, "citations": None}, {"text": "", "citations": [good]}, None]
+        if kind == 5:
+            return {"content": "no", "stop_reason": "refusal"}
+        if kind == 6:
+            raise RuntimeError("down")
+        return reply | [{}, {"content": 3}, {"blocks": "b"}, {"input_tokens": 2.0}, {"model": None, "more": 1}, {"blocks": None}, {}][len(said) % 7]
+
+
+ODD_TEXTS = [
+    "", None, "  \n", "Es waren 25 000 Stück und 01/02 am Tag, dazu ٣٤ weitere in der Liste. Noch ein Satz steht hier, der lang genug für alles ist.",
+    "A “quoted” line — with 1,234 dashes and 3.5 parts stands here for long. B\u0085C comes\x1cafter it, and the text goes on for some more words.",
+] + [f"{'x' * n} stands first here, then come words enough to make this a candidate of {n} letters. It cost 1234 in the year {n}, they say, and more was not found. Short one." for n in range(25)]
+
+
+def test_backends_compared_in_one_pass_score_as_they_do_apart(spark, documents):
+    docs = documents.where("doc_id < 60").unionByName(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(ODD_TEXTS)], "doc_id long, text string"))
+    docs = docs.withColumn("ref", F.expr("if(doc_id % 3 = 0, null, left(text, 200))"))
+    for generator in (Odd(), backends.EchoGenerator()):
+        kinds = {"extractive": None} | dict.fromkeys(("api", "local", "remote", "verified"), generator)
+        for reference in (None, "ref"):
+            got = compare.compare(docs, kinds, reference=reference)
+            want = set()
+            for name in kinds:
+                out = backends.summarise(docs, name, kinds[name]).join(docs.select("doc_id", "ref"), "doc_id")
+                out = metrics.score(out, reference).withColumn("failed", F.col("error").isNotNull() | F.col("refusal").isNotNull())
+                want |= {repr(tuple(r)) for r in out.select(F.lit(name), "doc_id", *metrics.SCORES, "failed", F.coalesce("error", "refusal")).collect()}
+            assert got.columns == ["backend", "doc_id", *metrics.SCORES, "failed", "error"]
+            rows = [repr(tuple(r)) for r in got.collect()]
+            assert set(rows) == want and len(rows) == 5 * docs.count()
+
+
+class Counted:
+    """The stand-in, with a line in a file for each time that it is asked."""
+
+    def __init__(self, path):
+        self.path, self.echo = path, backends.EchoGenerator()
+
+    def complete(self, prompt):
+        with open(self.path, "a") as f:
+            f.write("asked\n")
+        return self.echo.complete(prompt)
+
+
+def test_a_comparison_asks_once_and_reads_a_text_once(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id between 0 and 19")
+    kinds = {"extractive": None} | dict.fromkeys(("api", "local", "remote", "verified"), Counted(str(tmp_path / "asked")))
+    out = compare.rollup(compare.compare(docs, kinds))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan and "InMemoryTableScan" not in plan
+    assert {r["n_docs"] for r in out.collect()} == {docs.count()}
+    n = docs.where("text rlike '(?U)\\\\S'").count()
+    assert (tmp_path / "asked").read_text().count("asked") == 4 * n
+
+
+def test_a_backend_without_a_success_has_no_means(spark, documents):
+    row = compare.rollup(compare.compare(documents.where("doc_id between 0 and 3"), {"remote": Broken()})).first()
+    assert row["failed"] == 4 and row["n_docs"] is None and row["n_claims"] is None and "no host" in row["error"]
+
+
+def test_plain_replies_are_read_as_the_engine_reads_them(spark):
+    replies = [
+        '{"claims":[{"claim":"a","quote":"b"},{"claim":"","quote":"b"}]}', '<think>x</think> {"claims": [{"claim": "a\\u00e9\\n", "quote": ""}]} ', '{"claims":[]}',
+        '{"claims":[{"quote":"b","claim":"a"}]}', '{"claims":[{"claim":"a","quote":"b"}],"x":1}', '{"claims":[{"claim":"a","claim":"c","quote":"b"}]}', '{"claims":{}}',
+        '[{"claim":"a","quote":"b"}]', '{"claims":[{"claim":null,"quote":"b"}]}', '{"claims":[{"claim":"\\ud800","quote":"b"}]}', "{", "{}", "", '{"claims":[1]}', '{"claims":[[["claim","a"],["quote","b"]]]}',
+    ]
+    read = spark.createDataFrame([(r,) for r in replies], "r string").select("r", ground.parse_claims(F.col("r")).alias("c")).collect()
+    plain = {r: ground.plain_claims(r) for r in replies}
+    assert [plain[r] is not None for r in replies] == [True] * 3 + [False] * 12
+    assert all(plain[r["r"]] is None or plain[r["r"]] == [c.asDict() for c in r["c"]] for r in read)
+
+
+def test_words_are_placed_as_a_pattern_places_them():
+    import re
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ab \n\x1c ."), 30)) for _ in range(300)]
+    for text, other in zip(texts, texts[1:], strict=False):
+        for words in (text[5:11].split(), other[:4].split()):
+            if words:
+                m = re.search(r"\s+".join(map(re.escape, words)), text)
+                assert ground._place(words, text) == (m.span() if m else None)
+
+
+def test_texts_in_python_are_read_as_columns_read_them(spark):
+    from spanloom.functions import plain
+
+    rng = np.random.default_rng(6)
+    chars = list("aB0 17,./\n\t\x1c    　\u0085 ٣é_-:<>") + ["Summary:", "here is x:", "<think>", "</think>"]
+    texts = ["".join(rng.choice(chars, int(n))) for n in rng.integers(0, 25, 600)] + ["ſUMMARY: x", "HERE'S y: z", "a \n", "007/0/x/12,000"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    forms = F.transform(T.numbers(t), T.numeric_forms)
+    for r in df.select("t", T.strip(t).alias("strip"), T.squeeze(t).alias("squeeze"), T.is_claim_like(t).alias("claim"), T.strip_artifacts(t).alias("bare"), T.numbers(t).alias("numbers"), forms.alias("forms")).collect():
+        s = r["t"]
+        assert (plain.strip(s), plain.squeeze(s), plain.is_claim_like(s), plain.strip_artifacts(s), plain.numbers(s)) == (r["strip"], r["squeeze"], r["claim"], r["bare"], r["numbers"])
+        assert [plain.numeric_forms(n) for n in plain.numbers(s)] == [set(f) for f in r["forms"]]
+
+
+def test_tokens_without_decimals_are_parted_by_other_characters():
+    import re
+
+    from spanloom.operators.embedders import token_list
+
+    rng = np.random.default_rng(7)
+    for n in rng.integers(0, 20, 500):
+        text = "".join(rng.choice(list("aZ09. éKİ-_\n٣"), int(n)))
+        assert token_list(text) == re.findall(T.TOKEN, text.lower())
+
+
+def test_blocks_of_a_text_are_those_of_the_column(spark):
+    text, chunks = 'One "line"\né  and more.', [{"ix": 0, "start": 0, "end": 12}, {"ix": 3, "start": 5, "end": 20}]
+    df = spark.createDataFrame([(text, chunks)], f"t string, c {summarise.CHUNKS}")
+    assert df.select(backends.document_blocks(F.col("t"), F.col("c"))).first()[0] == backends.block_json(text, chunks)
