@@ -8,7 +8,7 @@ from .text import _SEPARATED, NUMBER
 
 #: Fixed value: what is white space to the patterns of ``text``; Python's own class has four characters more.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACES, _WORD = re.compile(f"[{_SPACE}]+"), re.compile(f"[^{_SPACE}]+")
+_SPACES, _FIVE_WORDS = re.compile(f"[{_SPACE}]+"), re.compile(f"[{_SPACE}]*+(?:[^{_SPACE}]++[{_SPACE}]++){{4}}[^{_SPACE}]")
 _STRIPPED = "".join(c for c in map(chr, range(0x3001)) if _SPACES.match(c))
 _NUMBER, _JOINED, _DIGIT = re.compile(NUMBER.removeprefix("(?U)")), re.compile(_SEPARATED.removeprefix("(?U)")), re.compile(r"\d")
 _THINKING, _LEAD = re.compile(r"(?s)<think>.*?</think>"), re.compile(rf"(?i)\A[{_SPACE}]*(here is[^\n:]*:|here's[^\n:]*:|summary:)[{_SPACE}]*")
@@ -23,7 +23,7 @@ def squeeze(text: str) -> str:
 
 
 def is_claim_like(text: str) -> bool:
-    return bool(_DIGIT.search(text)) or len(_WORD.findall(text)) >= 5
+    return bool(_FIVE_WORDS.match(text) or _DIGIT.search(text))
 
 
 def strip_artifacts(text: str) -> str:

@@ -51,7 +51,7 @@ def _all_backends(text: Column, names: list[str], asked: dict[str, Request], que
     """A document under every backend in one pass of one worker.
 
     It is split, chunked and ranked once, its candidates are embedded once for the extractive summary and all
-    grounding, and the numbers of the source are read once. Equal replies are grounded once.
+    grounding, and the numbers of the source are read once. Equal replies are grounded and scored once.
     """
     bounded()
 
@@ -79,8 +79,9 @@ def _all_backends(text: Column, names: list[str], asked: dict[str, Request], que
                     facts = _check_claims(claims, text, chunks)[0]
                 else:
                     if said not in grounded:
-                        grounded[said] = _grounded(said, pool, embedder, sides)
-                    facts = grounded[said]
+                        grounded[said] = _scored(name, said, _grounded(said, pool, embedder, sides), text, forms, keep=keep)
+                    out["scored"].append(grounded[said] | {"backend": name})
+                    continue
             out["scored"].append(_scored(name, _joined(facts, JOINED[name]) if name in JOINED else said, facts, text, forms, refusal, error, keep))
         return out
 
